@@ -283,7 +283,7 @@ def b17_filter(spark, folder):
 
 @query("b18_select_rename", "SELECT o_orderkey AS order_id, o_totalprice AS amount FROM orders")
 def b18_select_rename(spark, folder):
-    return clean.pick(table(spark, folder, "orders"), {"order_id": "o_orderkey", "amount": "o_totalprice"})
+    return clean.pick(table(spark, folder, "orders"), {"o_orderkey": "order_id", "o_totalprice": "amount"})
 
 
 @query(

@@ -99,11 +99,12 @@ def lineitem_frame(spark: SparkSession, folder: str) -> AuditFrame:
 
 
 # ------------------------------------------------------------------------------------------------
-# The same frames for the oracle. Every frame has row_id, label and s (the sensitive value).
+# The same frames for the oracle. Every frame has row_id, label and s (the sensitive
+# value); ``pos`` is the dense row number.
 # ------------------------------------------------------------------------------------------------
 
 ORDERS_CTE = """oa AS (
-  SELECT o_orderkey AS row_id,
+  SELECT o_orderkey AS row_id, o_orderkey AS pos,
          CAST(o_orderpriority IN ('1-URGENT','2-HIGH') AS INTEGER) AS label,
          o_orderpriority, o_totalprice, c_acctbal, o_orderstatus, r_name, c_mktsegment,
          CASE WHEN c_mktsegment IN ('AUTOMOBILE','BUILDING') THEN 'a'
@@ -114,7 +115,7 @@ ORDERS_CTE = """oa AS (
        LEFT JOIN region ON n_regionkey = r_regionkey)"""
 
 DOCS_CTE = """da AS (
-  SELECT l.doc_id AS row_id, quality AS label, toxic, n_chars, source, lang, lang AS s
+  SELECT l.doc_id AS row_id, row_number() OVER (ORDER BY l.doc_id) - 1 AS pos, quality AS label, toxic, n_chars, source, lang, lang AS s
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 LINEITEM_CTE = """la AS (

@@ -79,7 +79,7 @@ def g6_g7_overall_status(spark, folder):
         "fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY source_group, target_group) AS rn "
         "FROM prs WHERE status = 'sat') WHERE rn = 1)",
         select="""SELECT f.model, f.source_group, f.target_group, f.first_row AS row_id,
-  round(x.score, 9) AS score_x, round(y.score, 9) AS score_y, x.pred AS prediction_x, y.pred AS prediction_y,
+  x.score AS score_x, y.score AS score_y, x.pred AS prediction_x, y.pred AS prediction_y,
   f.source_group AS group_x, f.target_group AS group_y, r.o_orderstatus AS status_x, r.r_name AS region_y,
   r.o_totalprice AS price_x, CAST(5 AS INTEGER) AS n_features
 FROM fst f JOIN pinned x ON x.model = f.model AND x.row_id = f.first_row AND x.g = f.source_group
@@ -92,7 +92,7 @@ def g8_first_counterexample(spark, folder):
     x, y = F.col("example_x"), F.col("example_y")
     return out.select(
         "model", "source_group", "target_group", "row_id",
-        F.round("score_x", 9).alias("score_x"), F.round("score_y", 9).alias("score_y"),
+        "score_x", "score_y",
         "prediction_x", "prediction_y",
         x["c_mktsegment"].alias("group_x"), y["c_mktsegment"].alias("group_y"),
         x["o_orderstatus"].alias("status_x"), y["r_name"].alias("region_y"),

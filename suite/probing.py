@@ -39,7 +39,7 @@ def f1_alternatives(spark, folder):
     "f2_flip",
     sql.with_(
         sql.frame(), "grp AS (SELECT 'HOUSEHOLD' AS g)", sql.pinned(models=("logreg",)),
-        select="SELECT row_id, s AS orig_group, g AS alt_group, round(score, 9) AS score, pred FROM pinned",
+        select="SELECT row_id, s AS orig_group, g AS alt_group, score, pred FROM pinned",
     ),
 )
 def f2_flip(spark, folder):
@@ -49,7 +49,7 @@ def f2_flip(spark, folder):
         "row_id",
         F.col("c_mktsegment").alias("orig_group"),
         F.lit("HOUSEHOLD").alias("alt_group"),
-        F.round(changed.score, 9).alias("score"),
+        changed.score.alias("score"),
         changed.pred.alias("pred"),
     )
 
@@ -58,7 +58,7 @@ _DRAWS = f"""draws AS (
   SELECT range AS draw, ('0x' || substr(md5('{SEED}:' || range), 1, 15))::BIGINT % (SELECT count(*) FROM oa) AS pick
   FROM range({DRAWS}) WHERE range < (SELECT count(*) FROM oa)),
 opts AS (
-  SELECT draw, row_id, s, list(g ORDER BY g) AS alts FROM draws JOIN oa ON row_id = pick JOIN grp ON s IS NULL OR s <> g
+  SELECT draw, row_id, s, list(g ORDER BY g) AS alts FROM draws JOIN oa ON pos = pick JOIN grp ON s IS NULL OR s <> g
   GROUP BY 1, 2, 3),
 chosen AS (
   SELECT draw, row_id, alts[1 + ('0x' || substr(md5('{SEED + 1}:' || draw), 1, 15))::BIGINT % len(alts)] AS alt FROM opts)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from suite.frames import FRAME_CTE
 from suite.models import SQL_BLIND, SQL_MODELS
 
@@ -53,3 +55,12 @@ def f1(prefix: str = "") -> str:
 
 
 ACCURACY = "avg(CAST(label = pred AS INTEGER))"
+
+_LOCAL = "grp|own|blind|scored|pinned|draws|opts|chosen|rnd|near|bnd|det|prs|fst|cells|qual|r"
+
+
+def suffixed(text: str, mark: str, frame_name: str) -> str:
+    """The same blocks for a second data set in one query: local names get a mark, and the orders
+    frame is replaced by another one."""
+    out = re.sub(rf"(?<![\w'.])({_LOCAL})(?=\b(?!'))", rf"\1{mark}", text)
+    return re.sub(r"\boa\b", frame_name, out)
