@@ -46,6 +46,6 @@ def mismatches(both: DataFrame, row_id: str, left: str, right: str, n: int = SHO
 
 def check_fitted(fitted, df: DataFrame, row_id: str, dataset: str, n: int | None = SAMPLES) -> DataFrame:
     """MLlib's own prediction beside the generated expression on the same rows."""
-    rows = first_rows(df, row_id, n).withColumn("expression_pred", fitted.scorer(F.col).pred)
+    rows = first_rows(df, row_id, n).withColumn("expression_pred", fitted.scorer().pred)
     both = fitted.library_predictions(rows, [row_id, "expression_pred"])
     return agreement(both, "library_pred", "expression_pred", dataset, fitted.scorer.name)

@@ -7,24 +7,18 @@ projection of built-in expressions, so it stays inside the scan stage.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
+from evenhand.functions.expressions import Lookup, literal, number, plain
 from evenhand.operators.ranks import exact_medians
 
-Lookup = Callable[[str], Column]
 MAX_CATEGORIES = 10_000
 
 
-def substitute(lookup: Lookup, column: str, value: Column) -> Lookup:
-    """The same lookup with one column replaced: the counterfactual of a row."""
-    return lambda name: value if name == column else lookup(name)
-
-
 @dataclass(frozen=True)
 class NumericFeature:
     source: str
@@ -36,13 +30,13 @@ class NumericFeature:
     def name(self) -> str:
         return self.source
 
-    def column(self, lookup: Lookup) -> Column:
-        raw = lookup(self.source).cast("double")
+    def text(self, lookup: Lookup = plain) -> str:
+        raw = f"CAST({lookup(self.source)} AS DOUBLE)"
         if self.median is not None:
-            raw = F.coalesce(raw, F.lit(float(self.median)))
+            raw = f"coalesce({raw}, {number(self.median)})"
         if self.mean == 0.0 and self.scale == 1.0:
             return raw
-        return (raw - F.lit(float(self.mean))) / F.lit(float(self.scale))
+        return f"(({raw} - {number(self.mean)}) / {number(self.scale)})"
 
 
 @dataclass(frozen=True)
@@ -51,17 +45,16 @@ class CategoricalBlock:
     categories: tuple[str, ...]
     mode: str | None = None
 
-    def value(self, lookup: Lookup) -> Column:
-        raw = lookup(self.source).cast("string")
-        return raw if self.mode is None else F.coalesce(raw, F.lit(self.mode))
+    def value(self, lookup: Lookup = plain) -> str:
+        raw = f"CAST({lookup(self.source)} AS STRING)"
+        return raw if self.mode is None else f"coalesce({raw}, {literal(self.mode)})"
 
     def names(self) -> list[str]:
         return [f"{self.source}={c}" for c in self.categories]
 
-    def columns(self, lookup: Lookup) -> list[Column]:
-        """One 0/1 column per category; an unseen or missing value gives zeros only."""
-        value = self.value(lookup)
-        return [F.coalesce((value == F.lit(c)).cast("double"), F.lit(0.0)) for c in self.categories]
+    def indicator(self, category: str, lookup: Lookup = plain) -> str:
+        """1.0 for the category and 0.0 for anything else, an unseen or missing value included."""
+        return f"CASE WHEN {self.value(lookup)} = {literal(category)} THEN 1D ELSE 0D END"
 
 
 @dataclass(frozen=True)
@@ -75,24 +68,34 @@ class Encoder:
     def names(self) -> list[str]:
         return [f.name for f in self.numeric] + [n for b in self.blocks for n in b.names()]
 
-    def columns(self, lookup: Lookup) -> dict[str, Column]:
-        out = {f.name: f.column(lookup) for f in self.numeric}
-        for b in self.blocks:
-            out.update(zip(b.names(), b.columns(lookup)))
-        return out
-
-    def column(self, feature: str, lookup: Lookup) -> Column:
-        """One feature by name, without building the others."""
+    def _owners(self) -> dict:
         if not self._index:
             self._index.update({f.name: (f, None) for f in self.numeric})
             for b in self.blocks:
                 self._index.update({f"{b.source}={c}": (b, c) for c in b.categories})
-        if feature not in self._index:
+        return self._index
+
+    def text(self, feature: str, lookup: Lookup = plain) -> str:
+        """The expression of one feature."""
+        if feature not in self._owners():
             raise ValueError(f"unknown feature {feature!r}")
-        owner, category = self._index[feature]
-        if category is None:
-            return owner.column(lookup)
-        return F.coalesce((owner.value(lookup) == F.lit(category)).cast("double"), F.lit(0.0))
+        owner, category = self._owners()[feature]
+        return owner.text(lookup) if category is None else owner.indicator(category, lookup)
+
+    def condition(self, feature: str, op: str, threshold: float, lookup: Lookup = plain) -> str:
+        """``feature <= threshold`` or ``feature > threshold``.
+
+        A test of a 0/1 column is written as a test of its category, which folds away when the
+        column is pinned to a group.
+        """
+        owner, category = self._owners().get(feature, (None, None))
+        if category is not None and 0.0 <= threshold < 1.0:
+            hit = f"{owner.value(lookup)} <=> {literal(category)}"
+            return f"({hit})" if op == ">" else f"(NOT ({hit}))"
+        return f"({self.text(feature, lookup)} {'<=' if op == '<=' else '>'} {number(threshold)})"
+
+    def columns(self, lookup: Lookup = plain) -> dict[str, Column]:
+        return {n: F.expr(self.text(n, lookup)) for n in self.names()}
 
     def block(self, source: str) -> CategoricalBlock | None:
         return next((b for b in self.blocks if b.source == source), None)
@@ -104,7 +107,7 @@ class Encoder:
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """Kept columns plus every feature as a plain double column."""
-        features = self.columns(F.col)
+        features = self.columns()
         return df.select(*keep, *[c.alias(n) for n, c in features.items()])
 
     def schema_table(self, spark: SparkSession) -> DataFrame:
@@ -125,7 +128,7 @@ class Encoder:
 
     def bounds_table(self, df: DataFrame) -> DataFrame:
         """Min and max of every transformed feature in one pass: ``(feature, lo, hi)``."""
-        features = self.columns(F.col)
+        features = self.columns()
         wide = df.agg(
             *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(features.values())],
             *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(features.values())],

@@ -38,7 +38,7 @@ class Fitted:
 
 
 def assemble(df: DataFrame, encoder: Encoder, keep: list[str]) -> DataFrame:
-    features = encoder.columns(F.col)
+    features = encoder.columns()
     plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(features.values())])
     assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features")
     return assembler.transform(plain).select(*keep, "features")

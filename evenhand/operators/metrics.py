@@ -1,7 +1,7 @@
 """Quality and group metrics.
 
-All of them start from one table of counts per (model, mode, group), which is one partially
-aggregated job over the scored rows; everything after it works on a few rows.
+All of them start from one table of counts per outcome (:func:`prediction_counts`), which is one
+partially aggregated job over the rows; everything after it works on a few lines.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
+from evenhand.functions.expressions import as_group
 from evenhand.functions.groups import swapped
-from evenhand.operators.features import substitute
-from evenhand.operators.scorers import score_models
+from evenhand.operators.scorers import count_models
 
 MODEL_KEYS = ["model", "include_sensitive"]
 MAX_GROUPS = 1_000
@@ -44,27 +44,29 @@ def resolve_groups(frame: AuditFrame, groups: list[str] | None = None, limit: in
     return sorted(r["g"] for r in rows)
 
 
-def scored_rows(frame: AuditFrame, scorers: list) -> DataFrame:
-    """``(label, grp, model, include_sensitive, pred)`` for all models in one scan."""
-    df = frame.df.withColumn("_label", F.col(frame.label)).withColumn("_grp", F.col(frame.sensitive).cast("string"))
-    scored = score_models(df, scorers, ["_label", "_grp"])
-    return scored.select(F.col("_label").alias("label"), F.col("_grp").alias("grp"), *MODEL_KEYS, "pred")
+def prediction_counts(frame: AuditFrame, scorers: list) -> DataFrame:
+    """``(label, grp, model, include_sensitive, pred, n)``: rows per outcome, for all models in one scan."""
+    df = frame.df.withColumns({"_label": F.col(frame.label), "_grp": F.col(frame.sensitive).cast("string")})
+    counts = count_models(df, ["_label", "_grp"], [(s, {"pred": s().pred_text}) for s in scorers])
+    return counts.withColumnsRenamed({"_label": "label", "_grp": "grp"})
 
 
-def count_cells(scored: DataFrame, by: list[str]) -> DataFrame:
+def count_cells(counts: DataFrame, by: list[str]) -> DataFrame:
     """Confusion counts of class 1 per key."""
 
-    def hits(label: int, pred: int) -> Column:
-        return F.count_if((F.col("label") == label) & (F.col("pred") == pred))
-
-    return scored.groupBy(*by).agg(
-        F.count("pred").alias("n_rows"),
-        F.count("label").alias("n_labelled"),
-        F.sum("pred").alias("n_pos"),
-        hits(1, 1).alias("tp"),
-        hits(0, 1).alias("fp"),
-        hits(1, 0).alias("fn"),
-        hits(0, 0).alias("tn"),
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    def cell(label: int, pred: int) -> Column:
+        return total((F.col("label") == label) & (F.col("pred") == pred))
+
+    return counts.groupBy(*by).agg(
+        F.sum("n").alias("n_rows"),
+        total(F.col("pred") == 1).alias("n_pos"),
+        cell(1, 1).alias("tp"),
+        cell(0, 1).alias("fp"),
+        cell(1, 0).alias("fn"),
+        cell(0, 0).alias("tn"),
     )
 
 
@@ -77,10 +79,10 @@ def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, (2 * tp + fp + fn).cast("double")), F.lit(0.0))
 
 
-def quality(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+def quality(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Accuracy and F1 per model."""
     keys = by or MODEL_KEYS
-    c = count_cells(scored, keys)
+    c = count_cells(counts, keys)
     return c.select(
         *keys,
         accuracy_of(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("accuracy"),
@@ -89,10 +91,10 @@ def quality(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def classification_report(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+def classification_report(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Precision, recall, F1 and support per class, with accuracy, macro and weighted averages."""
     keys = by or MODEL_KEYS
-    c = count_cells(scored, keys)
+    c = count_cells(counts, keys)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
 
     def ratio(a: Column, b: Column) -> Column:
@@ -139,14 +141,12 @@ def classification_report(scored: DataFrame, by: list[str] | None = None) -> Dat
     )
 
 
-def group_rates(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+def group_rates(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Positive rate per sensitive group; rows without a group are left out."""
     keys = by or MODEL_KEYS
-    return (
-        scored.filter("grp is not null")
-        .groupBy(*keys, "grp")
-        .agg(F.avg("pred").alias("positive_rate"), F.count("*").alias("n_rows"))
-    )
+    cells = count_cells(counts.filter("grp is not null"), [*keys, "grp"])
+    rate = F.col("n_pos").cast("double") / F.col("n_rows")
+    return cells.select(*keys, "grp", rate.alias("positive_rate"), "n_rows")
 
 
 def parity_gap(rates: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -166,17 +166,11 @@ def binary_flip_rate(frame: AuditFrame, scorers: list) -> DataFrame:
     """
     groups = groups_array(frame.df, frame.sensitive).scalar()
     s = F.col(frame.sensitive).cast("string")
-    other = swapped(s, F.get(groups, F.lit(0)), F.get(groups, F.lit(1)))
-    df = frame.df.withColumn("_other", other)
-    parts = [
-        F.struct(
-            F.lit(m.name).alias("model"),
-            (m(F.col).pred != m(substitute(F.col, frame.sensitive, F.col("_other"))).pred).cast("int").alias("flip"),
-        )
-        for m in scorers
-    ]
-    sums = df.select(F.inline(F.array(*parts))).groupBy("model").agg(
-        F.sum("flip").alias("flips"), F.count("*").alias("n_rows")
+    df = frame.df.withColumn("_other", swapped(s, F.get(groups, F.lit(0)), F.get(groups, F.lit(1))))
+    changed = as_group(frame.sensitive, "_other")
+    flips = [(m, {"flip": f"CAST({m().pred_text} <> {m(changed).pred_text} AS INT)"}) for m in scorers]
+    sums = count_models(df, [], flips).groupBy("model").agg(
+        F.sum(F.col("flip") * F.col("n")).alias("flips"), F.sum("n").alias("n_rows")
     )
     two = F.size(groups) == 2
     return sums.select(
@@ -193,10 +187,10 @@ def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
 def experiment_summary(frame: AuditFrame, scorers: list, dataset: str) -> DataFrame:
     """One row per (model, mode): accuracy, F1, parity gap, group rates and size.
 
-    A single scan scores every model in both modes; the only shuffle of that scan carries one row
-    per (model, mode, group) and task. The gap of a blind model is NULL.
+    A single scan scores every model in both modes; the only shuffle of that scan carries one line
+    per outcome, group and task. The gap of a blind model is NULL.
     """
-    cells = count_cells(scored_rows(frame, scorers), [*MODEL_KEYS, "grp"])
+    cells = count_cells(prediction_counts(frame, scorers), [*MODEL_KEYS, "grp"])
     rate = F.col("n_pos").cast("double") / F.col("n_rows")
     shown = F.col("include_sensitive") & F.col("grp").isNotNull()
     per_model = cells.withColumn("rate", F.when(shown, rate)).groupBy(*MODEL_KEYS).agg(

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
-from evenhand.operators.features import Encoder, substitute
+from evenhand.functions.expressions import Lookup, as_group, plain
+from evenhand.operators.features import Encoder
 from evenhand.operators.metrics import resolve_groups
 from evenhand.operators.probes import bit_of, mask_columns, response_counts
+from evenhand.operators.scorers import of_model
 
 PROPERTY = (
     "existence of two inputs equal on all non-sensitive transformed features, "
@@ -90,12 +92,12 @@ def first_pairs(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def example_map(frame: AuditFrame, lookup=F.col) -> Column:
+def example_map(frame: AuditFrame, lookup: Lookup = plain) -> Column:
     """The row's features as ``map<string,string>``."""
     numeric, categorical = frame.features()
     pairs = []
     for c in [*numeric, *categorical]:
-        pairs += [F.lit(c), lookup(c).cast("string")]
+        pairs += [F.lit(c), F.expr(lookup(c)).cast("string")]
     return F.create_map(*pairs)
 
 
@@ -107,25 +109,17 @@ def first_counterexample(frame: AuditFrame, scorers: list, pairs: DataFrame) ->
     row_id = frame.needs_row_id("a counterexample")
     wanted = first_pairs(pairs).select("model", "source_group", "target_group", "first_row")
     rows = frame.df.join(F.broadcast(wanted), F.col(row_id) == F.col("first_row"))  # ≤ one row per model
-    x = substitute(F.col, frame.sensitive, F.col("source_group"))
-    y = substitute(F.col, frame.sensitive, F.col("target_group"))
-
-    def of_model(value) -> Column:
-        out = None
-        for m in scorers:
-            hit = F.col("model") == F.lit(m.name)
-            out = F.when(hit, value(m)) if out is None else out.when(hit, value(m))
-        return out
-
+    x = as_group(frame.sensitive, "source_group")
+    y = as_group(frame.sensitive, "target_group")
     return rows.select(
         "model",
         "source_group",
         "target_group",
         F.col("first_row").alias("row_id"),
-        of_model(lambda m: m(x).score).alias("score_x"),
-        of_model(lambda m: m(y).score).alias("score_y"),
-        of_model(lambda m: m(x).pred).alias("prediction_x"),
-        of_model(lambda m: m(y).pred).alias("prediction_y"),
+        of_model(scorers, lambda m: m(x).score_text).alias("score_x"),
+        of_model(scorers, lambda m: m(y).score_text).alias("score_y"),
+        of_model(scorers, lambda m: m(x).pred_text).alias("prediction_x"),
+        of_model(scorers, lambda m: m(y).pred_text).alias("prediction_y"),
         example_map(frame, x).alias("example_x"),
         example_map(frame, y).alias("example_y"),
     )

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
+from evenhand.functions.expressions import as_group, literal
 from evenhand.functions.groups import alternatives
-from evenhand.operators.features import substitute
 from evenhand.operators.metrics import MODEL_KEYS, accuracy_of, f1_of, resolve_groups
 from evenhand.operators.ranks import dense_index
+from evenhand.operators.scorers import count_models, of_model
 
 BITS = 62
 BROADCAST_DRAWS = 1_000_000
@@ -40,32 +41,21 @@ def response_counts(frame: AuditFrame, scorers: list, groups: list[str]) -> Data
     shuffle carries distinct patterns only, so neither the alternatives nor the pairs of groups are
     ever expanded over the data. The full probe and the pair check both read this table.
     """
-    s = F.col(frame.sensitive).cast("string")
-    parts = []
+    values = []
     for m in scorers:
-        preds = [m(substitute(F.col, frame.sensitive, F.lit(g))).pred.cast("bigint") for g in groups]
-        masks = []
-        for j in range(0, max(len(groups), 1), BITS):
-            mask = F.lit(0).cast("bigint")
-            for i, p in enumerate(preds[j : j + BITS]):
-                mask = mask + p * F.lit(1 << i).cast("bigint")
-            masks.append(mask.alias(f"mask_{j // BITS}"))
-        parts.append(
-            F.struct(
-                F.lit(m.name).alias("model"),
-                F.lit(m.include_sensitive).alias("include_sensitive"),
-                m(F.col).pred.alias("pred"),
-                *masks,
-            )
-        )
-    keep = [F.col(frame.label).alias("label"), s.alias("grp")]
+        pinned = [m(as_group(frame.sensitive, literal(g))).pred_text for g in groups]
+        texts = {"pred": m().pred_text}
+        for j, name in enumerate(mask_columns(groups)):
+            bits = [f"{1 << i}L * {p}" for i, p in enumerate(pinned[j * BITS : (j + 1) * BITS])]
+            texts[name] = f"({' + '.join(bits) or '0L'})"
+        values.append((m, texts))
+    renamed = {"_label": F.col(frame.label), "_grp": F.col(frame.sensitive).cast("string")}
     if frame.row_id:
-        keep.append(F.col(frame.row_id).alias("row_id"))
-    rows = frame.df.select(*keep, F.inline(F.array(*parts)))
-    first = [F.min("row_id").alias("first_row")] if frame.row_id else []
-    return rows.groupBy(*MODEL_KEYS, "grp", "label", "pred", *mask_columns(groups)).agg(
-        F.count("*").alias("n"), *first
+        renamed["_row"] = F.col(frame.row_id)
+    counts = count_models(
+        frame.df.withColumns(renamed), ["_label", "_grp"], values, "_row" if frame.row_id else None
     )
+    return counts.withColumnsRenamed({"_label": "label", "_grp": "grp"})
 
 
 def mask_columns(groups: list[str]) -> list[str]:
@@ -141,20 +131,16 @@ def full_probe(frame: AuditFrame, scorers: list, groups: list[str] | None = None
 
 
 def _compare(rows: DataFrame, frame: AuditFrame, scorers: list, row_index: Column) -> DataFrame:
-    parts = []
-    for m in scorers:
-        parts.append(
-            F.struct(
-                F.lit(m.name).alias("model"),
-                m(F.col).pred.alias("pred_orig"),
-                m(substitute(F.col, frame.sensitive, F.col("_alt"))).pred.alias("pred_cf"),
-            )
-        )
+    changed = as_group(frame.sensitive, "_alt")
+    parts = ", ".join(
+        f"named_struct('model', {literal(m.name)}, 'pred_orig', {m().pred_text}, 'pred_cf', {m(changed).pred_text})"
+        for m in scorers
+    )
     return rows.select(
         row_index.alias("row_index"),
         F.col(frame.sensitive).cast("string").alias("orig_group"),
         F.col("_alt").alias("alt_group"),
-        F.inline(F.array(*parts)),
+        F.expr(f"inline(array({parts}))"),
     ).select(
         "model", "row_index", "orig_group", "alt_group", "pred_orig", "pred_cf",
         (F.col("pred_orig") != F.col("pred_cf")).cast("int").alias("flipped"),
@@ -219,10 +205,10 @@ def nearest_rows(frame: AuditFrame, scorers: list, k: int) -> DataFrame:
     base = frame.df.select(*frame.roles())
 
     def ranked(models: list) -> DataFrame:
-        parts = [
-            F.struct(F.lit(m.name).alias("model"), boundary_distance(m(F.col).proba).alias("_distance")) for m in models
-        ]
-        return base.select(*frame.roles(), F.inline(F.array(*parts)))
+        parts = ", ".join(
+            f"named_struct('model', {literal(m.name)}, '_distance', abs({m().proba_text} - 0.5D))" for m in models
+        )
+        return base.select(*frame.roles(), F.expr(f"inline(array({parts}))"))
 
     limit = int(base.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if len(scorers) > 1 and k <= limit:
@@ -249,24 +235,17 @@ def boundary_probe(
     s = F.col(frame.sensitive).cast("string")
     rows = nearest_rows(frame, scorers, k).withColumn("_alt", F.explode(alternatives(_array(groups), s)))
 
-    def of_model(value) -> Column:
-        out = None
-        for m in scorers:
-            hit = F.col("model") == F.lit(m.name)
-            out = F.when(hit, value(m)) if out is None else out.when(hit, value(m))
-        return out
-
-    changed = substitute(F.col, frame.sensitive, F.col("_alt"))
+    changed = as_group(frame.sensitive, "_alt")
     return rows.select(
         "model",
         F.col(frame.row_id).alias("row_index"),
         F.col("_distance").alias("boundary_distance"),
         s.alias("orig_group"),
         F.col("_alt").alias("alt_group"),
-        of_model(lambda m: m(F.col).pred).alias("pred_orig"),
-        of_model(lambda m: m(changed).pred).alias("pred_cf"),
-        of_model(lambda m: m(F.col).proba).alias("proba_orig"),
-        of_model(lambda m: m(changed).proba).alias("proba_cf"),
+        of_model(scorers, lambda m: m().pred_text).alias("pred_orig"),
+        of_model(scorers, lambda m: m(changed).pred_text).alias("pred_cf"),
+        of_model(scorers, lambda m: m().proba_text).alias("proba_orig"),
+        of_model(scorers, lambda m: m(changed).proba_text).alias("proba_cf"),
     ).withColumn("flipped", (F.col("pred_orig") != F.col("pred_cf")).cast("int"))
 
 

@@ -12,16 +12,32 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.operators.features import Encoder, Lookup
+from evenhand.functions.expressions import Lookup, literal, number, plain
+from evenhand.operators.features import Encoder
 
-POSITIVE_SCORE = 0.0
+NO_SCORE = "CAST(NULL AS DOUBLE)"
+JOINT_MODELS = 6
 
 
 @dataclass(frozen=True)
 class Scored:
-    score: Column
-    proba: Column
-    pred: Column
+    """Expression texts of one model for one lookup, and the same as columns."""
+
+    score_text: str
+    proba_text: str
+    pred_text: str
+
+    @property
+    def score(self) -> Column:
+        return F.expr(self.score_text)
+
+    @property
+    def proba(self) -> Column:
+        return F.expr(self.proba_text)
+
+    @property
+    def pred(self) -> Column:
+        return F.expr(self.pred_text)
 
 
 @dataclass(frozen=True)
@@ -35,28 +51,24 @@ class LinearScorer:
     include_sensitive: bool = True
     kind: str = "logreg"
 
-    def __call__(self, lookup: Lookup) -> Scored:
-        score = F.lit(float(self.intercept))
+    def __call__(self, lookup: Lookup = plain) -> Scored:
+        terms = [number(self.intercept)]
         for f in self.encoder.numeric:
             w = float(self.weights.get(f.name, 0.0))
             if w != 0.0:
-                score = score + F.lit(w) * f.column(lookup)
-        for b in self.encoder.blocks:
-            term = self._block_term(b, lookup)
-            if term is not None:
-                score = score + term
-        return Scored(score, 1 / (1 + F.exp(-score)), (score > F.lit(POSITIVE_SCORE)).cast("int"))
-
-    def _block_term(self, block, lookup: Lookup) -> Column | None:
+                terms.append(f"{number(w)} * {f.text(lookup)}")
+        terms += [t for b in self.encoder.blocks if (t := self._block_term(b, lookup))]
+        score = f"({' + '.join(terms)})"
+        return Scored(score, f"(1D / (1D + exp(-{score})))", f"CAST({score} > 0D AS INT)")
+
+    def _block_term(self, block, lookup: Lookup) -> str | None:
         """One lookup per categorical column instead of one product per category."""
-        term = None
-        value = block.value(lookup)
-        for c, n in zip(block.categories, block.names()):
-            w = float(self.weights.get(n, 0.0))
-            if w != 0.0:
-                hit = value == F.lit(c)
-                term = F.when(hit, F.lit(w)) if term is None else term.when(hit, F.lit(w))
-        return None if term is None else term.otherwise(F.lit(0.0))
+        weighted = [(c, float(self.weights.get(n, 0.0))) for c, n in zip(block.categories, block.names())]
+        weighted = [(c, w) for c, w in weighted if w != 0.0]
+        if not weighted:
+            return None
+        branches = " ".join(f"WHEN {literal(c)} THEN {number(w)}" for c, w in weighted)
+        return f"CASE {block.value(lookup)} {branches} ELSE 0D END"
 
     def weight_rows(self) -> list[tuple]:
         """``(model, feature, weight)`` with the intercept as a row of its own."""
@@ -83,17 +95,14 @@ class RuleListScorer:
     include_sensitive: bool = True
     kind: str = "rulelist"
 
-    def __call__(self, lookup: Lookup) -> Scored:
-        pred = proba = None
-        for rule in self.rules:
-            hit = all_of(self.encoder, rule.conditions, lookup)
-            p, q = F.lit(int(rule.pred)), F.lit(float(rule.proba))
-            pred = F.when(hit, p) if pred is None else pred.when(hit, p)
-            proba = F.when(hit, q) if proba is None else proba.when(hit, q)
-        d, dp = F.lit(int(self.default)), F.lit(1.0 if self.default == 1 else 0.0)
-        pred = d if pred is None else pred.otherwise(d)
-        proba = dp if proba is None else proba.otherwise(dp)
-        return Scored(F.lit(None).cast("double"), proba, pred)
+    def __call__(self, lookup: Lookup = plain) -> Scored:
+        default, default_proba = str(int(self.default)), "1D" if self.default == 1 else "0D"
+        hits = [all_of(self.encoder, r.conditions, lookup) for r in self.rules]
+        pred = " ".join(f"WHEN {h} THEN {int(r.pred)}" for h, r in zip(hits, self.rules))
+        proba = " ".join(f"WHEN {h} THEN {number(r.proba)}" for h, r in zip(hits, self.rules))
+        if not self.rules:
+            return Scored(NO_SCORE, default_proba, default)
+        return Scored(NO_SCORE, f"CASE {proba} ELSE {default_proba} END", f"CASE {pred} ELSE {default} END")
 
     def rule_rows(self) -> list[tuple]:
         """``(model, rule_no, conds, pred, proba)``; the default is the last, condition-free rule."""
@@ -101,13 +110,9 @@ class RuleListScorer:
         return rows + [(self.name, len(self.rules), [], int(self.default), 1.0 if self.default == 1 else 0.0)]
 
 
-def all_of(encoder: Encoder, conditions, lookup: Lookup) -> Column:
+def all_of(encoder: Encoder, conditions, lookup: Lookup = plain) -> str:
     """Conjunction of threshold conditions; no condition at all is TRUE."""
-    out = F.lit(True)
-    for feature, op, threshold in conditions:
-        x = encoder.column(feature, lookup)
-        out = out & ((x <= F.lit(float(threshold))) if op == "<=" else (x > F.lit(float(threshold))))
-    return out
+    return " AND ".join(encoder.condition(f, op, t, lookup) for f, op, t in conditions) or "TRUE"
 
 
 @dataclass(frozen=True)
@@ -145,10 +150,10 @@ class TreeScorer:
     kind: str = "tree"
     _by_id: dict = field(default_factory=dict, compare=False, repr=False)
 
-    def __call__(self, lookup: Lookup) -> Scored:
-        pred = self._walk(self.root(), lookup, lambda n: F.lit(n.pred))
-        proba = self._walk(self.root(), lookup, lambda n: F.lit(float(n.proba)))
-        return Scored(F.lit(None).cast("double"), proba, pred)
+    def __call__(self, lookup: Lookup = plain) -> Scored:
+        pred = self._walk(self.root(), lookup, lambda n: str(n.pred))
+        proba = self._walk(self.root(), lookup, lambda n: number(n.proba))
+        return Scored(NO_SCORE, proba, pred)
 
     def root(self) -> Node:
         return self.nodes[0]
@@ -158,12 +163,13 @@ class TreeScorer:
             self._by_id.update({n.id: n for n in self.nodes})
         return self._by_id[node_id]
 
-    def _walk(self, node: Node, lookup: Lookup, value) -> Column:
+    def _walk(self, node: Node, lookup: Lookup, value) -> str:
         if node.leaf:
             return value(node)
-        below = self.encoder.column(node.feature, lookup) <= F.lit(float(node.threshold))
+        below = self.encoder.condition(node.feature, "<=", node.threshold, lookup)
         left = self._walk(self.node(node.left), lookup, value)
-        return F.when(below, left).otherwise(self._walk(self.node(node.right), lookup, value))
+        right = self._walk(self.node(node.right), lookup, value)
+        return f"CASE WHEN {below} THEN {left} ELSE {right} END"
 
     def rules(self) -> tuple[Rule, ...]:
         """Every root-to-leaf path as a rule, left branches first."""
@@ -184,14 +190,17 @@ class TreeScorer:
 
 @dataclass(frozen=True)
 class ExpressionScorer:
-    """Your own model: a function from the column lookup to :class:`Scored`."""
+    """Your own model: a function from the column lookup to :class:`Scored`.
+
+    ``ExpressionScorer("rich", lambda c: Scored("NULL", "0.5D", f"CAST({c('income')} > 9000 AS INT)"))``
+    """
 
     name: str
     build: Callable[[Lookup], Scored]
     include_sensitive: bool = True
     kind: str = "expression"
 
-    def __call__(self, lookup: Lookup) -> Scored:
+    def __call__(self, lookup: Lookup = plain) -> Scored:
         return self.build(lookup)
 
 
@@ -213,17 +222,52 @@ def score_models(df: DataFrame, scorers: list, keep: list[str]) -> DataFrame:
     """All models over one scan: one output row per (row, model)."""
     parts = []
     for s in scorers:
-        out = s(F.col)
+        out = s()
         parts.append(
-            F.struct(
-                F.lit(s.name).alias("model"),
-                F.lit(s.include_sensitive).alias("include_sensitive"),
-                out.score.alias("score"),
-                out.proba.alias("proba"),
-                out.pred.alias("pred"),
-            )
+            f"named_struct('model', {literal(s.name)}, 'include_sensitive', {str(s.include_sensitive).lower()}, "
+            f"'score', {out.score_text}, 'proba', {out.proba_text}, 'pred', {out.pred_text})"
         )
-    return df.select(*keep, F.inline(F.array(*parts)))
+    return df.select(*keep, F.expr(f"inline(array({', '.join(parts)}))"))
+
+
+def of_model(scorers: list, value: Callable[[object], str]) -> Column:
+    """For rows that carry ``model``: the value of that row's model."""
+    branches = " ".join(f"WHEN {literal(s.name)} THEN {value(s)}" for s in scorers)
+    return F.expr(f"CASE model {branches} END")
+
+
+def count_models(df: DataFrame, keep: list[str], values: list[tuple], first: str | None = None) -> DataFrame:
+    """Rows per (kept columns, model, values): ``values`` pairs each scorer with named expression texts.
+
+    With few models one aggregate keyed by the values of all of them is enough: a row is hashed once
+    however many models there are, and the short result is turned into one line per model
+    afterwards. The joint keys multiply with every model, so longer lists get a line per model
+    before the aggregate. ``first`` adds the smallest value of a column, such as a row id.
+    """
+    scorers = [s for s, _ in values]
+    names = list(values[0][1])
+    firsts = [F.min(first).alias("first_row")] if first else []
+    carried = [first] if first else []
+
+    def lines(text: Callable[[int, str], str]) -> Column:
+        structs = []
+        for i, s in enumerate(scorers):
+            fields = ", ".join(f"{literal(n)}, {text(i, n)}" for n in names)
+            head = f"'model', {literal(s.name)}, 'include_sensitive', {str(s.include_sensitive).lower()}"
+            structs.append(f"named_struct({head}, {fields})")
+        return F.expr(f"inline(array({', '.join(structs)}))")
+
+    if len(scorers) > JOINT_MODELS:
+        rows = df.select(*keep, *carried, lines(lambda i, n: values[i][1][n]))
+        return rows.groupBy(*keep, "model", "include_sensitive", *names).agg(F.count("*").alias("n"), *firsts)
+    flat = {f"_{n}_{i}": texts[n] for i, (_, texts) in enumerate(values) for n in names}
+    joint = (
+        df.select(*keep, *carried, *[F.expr(t).alias(c) for c, t in flat.items()])
+        .groupBy(*keep, *flat)
+        .agg(F.count("*").alias("n"), *firsts)
+    )
+    kept = [*keep, "n", *(["first_row"] if first else [])]
+    return joint.select(*kept, lines(lambda i, n: f"_{n}_{i}"))
 
 
 def score_rule_table(rows: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:

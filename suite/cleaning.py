@@ -124,7 +124,7 @@ def a6_tagged_files(spark, folder):
 def a9_run_records(spark, folder):
     """Appended to a day-partitioned table and read back."""
     f = orders_frame(spark, folder)
-    q = metrics.quality(metrics.scored_rows(f, models.ORDERS_MODELS)).select(
+    q = metrics.quality(metrics.prediction_counts(f, models.ORDERS_MODELS)).select(
         "model",
         F.format_string("%.6f", "accuracy").alias("accuracy"),
         F.format_string("%.6f", "f1").alias("f1"),

@@ -133,7 +133,7 @@ def orders_terms(spark, folder, by_priority: bool = False):
     weights = S.weight_table(spark, _LINEAR)
     if not by_priority:
         return boxcheck.linear_terms(weights, schema, models.ORDERS_ENCODER.bounds_table(f.df)), schema
-    z = {x.name: x.column(F.col) for x in models.ORDERS_ENCODER.numeric}
+    z = {x.name: F.expr(x.text()) for x in models.ORDERS_ENCODER.numeric}
     bounds = f.df.groupBy("o_orderpriority").agg(
         *[F.min(c).alias(f"{n}_lo") for n, c in z.items()], *[F.max(c).alias(f"{n}_hi") for n, c in z.items()]
     ).select(
@@ -298,7 +298,7 @@ def g9_agreement_fitted(spark, folder):
 
 def _two_models(spark, folder):
     f = orders_frame(spark, folder)
-    return f.df.select("row_id", models.ORDERS_TREE(F.col).pred.alias("l"), models.ORDERS_RULES(F.col).pred.alias("r"))
+    return f.df.select("row_id", models.ORDERS_TREE().pred.alias("l"), models.ORDERS_RULES().pred.alias("r"))
 
 
 @query(

@@ -34,7 +34,7 @@ def c1_median_impute(spark, folder):
     f = gappy(spark, folder)
     n = f.df.agg(F.count("n_chars")).first()[0]
     median = ranks.exact_medians(f.df, ["n_chars"], {"n_chars": n})["n_chars"]
-    return f.df.select("row_id", NumericFeature("n_chars", median).column(F.col).alias("n_chars"))
+    return f.df.select("row_id", F.expr(NumericFeature("n_chars", median).text()).alias("n_chars"))
 
 
 @query("c1_median_large", sql.with_(sql.frame(), select="SELECT median(o_totalprice) AS price, median(c_acctbal) AS balance FROM oa"))
@@ -59,7 +59,7 @@ def c2_mode_impute(spark, folder):
 def c3_standardise(spark, folder):
     f = gappy(spark, folder)
     encoder = features.fit_encoder(f)
-    return f.df.select("row_id", F.round(encoder.numeric[0].column(F.col), 6).alias("n_chars"))
+    return f.df.select("row_id", F.round(F.expr(encoder.numeric[0].text()), 6).alias("n_chars"))
 
 
 _BLOCK = [f"CAST(COALESCE(lang = '{v}', FALSE) AS DOUBLE) AS \"lang={v}\"" for v in models.LANGS]
@@ -70,7 +70,7 @@ def c4_one_hot(spark, folder):
     f = docs_frame(spark, folder)
     encoder = features.fit_encoder(f)
     block = encoder.block("lang")
-    return f.df.select("row_id", *[c.alias(n) for n, c in zip(block.names(), block.columns(F.col))])
+    return f.df.select("row_id", *[F.expr(block.indicator(c)).alias(n) for n, c in zip(block.names(), block.categories)])
 
 
 @query(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evenhand.functions.expressions import as_group, literal
 from evenhand.functions.groups import alternatives
 from evenhand.operators import metrics, probes
-from evenhand.operators.features import substitute
 from evenhand.operators.scorers import score_models
 from suite import models, sql
 from suite.frames import docs_frame, lineitem_frame, orders_frame
@@ -44,7 +44,7 @@ def f1_alternatives(spark, folder):
 )
 def f2_flip(spark, folder):
     """The score of every row as if it belonged to one given group."""
-    changed = models.ORDERS_LOGREG(substitute(F.col, "c_mktsegment", F.lit("HOUSEHOLD")))
+    changed = models.ORDERS_LOGREG(as_group("c_mktsegment", literal("HOUSEHOLD")))
     return orders_frame(spark, folder).df.select(
         "row_id",
         F.col("c_mktsegment").alias("orig_group"),
@@ -170,7 +170,7 @@ def all_summaries(dataset: str, spark, folder, draws: int = DRAWS, nearest: int
     """The three probe summaries of one dataset in one table."""
     f, scorers = frame_and_models(dataset, spark, folder)
     groups = metrics.resolve_groups(f)
-    quality = metrics.quality(metrics.scored_rows(f, scorers))
+    quality = metrics.quality(metrics.prediction_counts(f, scorers))
     common = (dataset, f.sensitive)
     random = probes.probe_summary(
         probes.random_probe(f, scorers, draws, SEED, groups), quality, "random_pair_sampling", *common

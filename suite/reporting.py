@@ -47,7 +47,7 @@ def agreement_rows(spark, folder):
     for dataset in ("orders", "documents"):
         f, scorers = probing.frame_and_models(dataset, spark, folder)
         tree, _, rules = scorers
-        both = f.df.select("row_id", tree(F.col).pred.alias("l"), rules(F.col).pred.alias("r"))
+        both = f.df.select("row_id", tree().pred.alias("l"), rules().pred.alias("r"))
         part = agreement.agreement(agreement.first_rows(both, "row_id"), "l", "r", dataset, "tree vs rulelist")
         out = part if out is None else out.unionByName(part)
     return out

@@ -47,7 +47,7 @@ for _key, _scorer in (
 def d4_rule_table(spark, folder):
     """The join form of rule lists: rules as a table, features as a map."""
     f = orders_frame(spark, folder)
-    features = models.ORDERS_ENCODER.columns(F.col)
+    features = models.ORDERS_ENCODER.columns()
     values = F.create_map(*[x for n, c in features.items() for x in (F.lit(n), c)])
     rows = f.df.select(
         "row_id", values.alias("values"), F.explode(F.array(F.lit("tree"), F.lit("rulelist"))).alias("model")
@@ -95,7 +95,7 @@ query("d3_fit_rule_list")(_fit("rulelist"))
 
 
 def _scored(spark, folder):
-    return metrics.scored_rows(orders_frame(spark, folder), models.ORDERS_MODELS + models.ORDERS_BLIND)
+    return metrics.prediction_counts(orders_frame(spark, folder), models.ORDERS_MODELS + models.ORDERS_BLIND)
 
 
 @query(
@@ -192,7 +192,7 @@ def e5_parity_gap_missing_group(spark, folder):
     """Rows without a group are scored but take no part in the gap."""
     f = orders_frame(spark, folder)
     f = f.with_df(f.df.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("MACHINERY"))))
-    rates = metrics.group_rates(metrics.scored_rows(f, [models.ORDERS_LOGREG]))
+    rates = metrics.group_rates(metrics.prediction_counts(f, [models.ORDERS_LOGREG]))
     return metrics.parity_gap(rates).select("model", "dp_gap", F.size("dp_rates").cast("bigint").alias("n_groups"))
 
 
