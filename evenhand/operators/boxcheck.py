@@ -117,11 +117,8 @@ def fold_intervals(terms: DataFrame, columns: list[str], sensitive: str) -> list
 
     Intervals that cannot reach any pair's window whatever the remaining columns add are dropped on
     the way; that changes no answer and keeps the list short. With many columns every stage is
-    checkpointed, because later stages and the witness read it again.
+    settled, because later stages and the witness read it again.
     """
-    cut = len(columns) > LAZY_COLUMNS
-    if cut:
-        shared_folder(terms.sparkSession)
     onehot = terms.filter("kind = 'onehot'")
     spans = onehot.filter(F.col("source_col") != sensitive).groupBy("model", "source_col").agg(
         F.min("weight").alias("wmin"), F.max("weight").alias("wmax")
@@ -152,8 +149,8 @@ def fold_intervals(terms: DataFrame, columns: list[str], sensitive: str) -> list
             .select("model", "lo", "hi")
         )
         current = _merge(reachable)
-        if cut:
-            current = current.checkpoint()
+        if len(columns) > LAZY_COLUMNS:
+            current = settle(current)
         stages.append(current)
     return stages
 

@@ -18,6 +18,7 @@ from evenhand.operators.features import Encoder, fit_encoder
 from evenhand.operators.scorers import LinearScorer, Node, RuleListScorer, TreeScorer, rule_list_from_tree
 from evenhand.session import scratch_path
 
+KINDS = ("tree", "logreg", "rulelist")
 TREE_DEPTH = 5
 RULE_DEPTH = 3
 MAX_BINS = 256
@@ -53,14 +54,34 @@ def fit(
     encoder: Encoder | None = None,
 ) -> Fitted:
     """Train a model by name on the frame's rows; an unknown name is an error."""
+    _fitter(kind)
+    encoder = encoder or fit_encoder(frame, include_sensitive, drop_proxies)
+    return _fitter(kind)(_training_rows(frame, encoder), encoder, name or kind, include_sensitive)
+
+
+def fit_all(
+    frame: AuditFrame, kinds: tuple[str, ...] = KINDS, include_sensitive: bool = True, drop_proxies: bool = False
+) -> list[Fitted]:
+    """Several kinds on one encoder; the encoded training rows are kept until all are trained."""
+    fitters = [_fitter(k) for k in kinds]
+    encoder = fit_encoder(frame, include_sensitive, drop_proxies)
+    train = _training_rows(frame, encoder).persist()
+    try:
+        return [f(train, encoder, k, include_sensitive) for f, k in zip(fitters, kinds)]
+    finally:
+        train.unpersist()
+
+
+def _fitter(kind: str):
     fitters = {"logreg": _fit_logreg, "tree": _fit_tree, "rulelist": _fit_rule_list}
     if kind not in fitters:
         raise ValueError(f"model must be one of {sorted(fitters)}, not {kind!r}")
-    encoder = encoder or fit_encoder(frame, include_sensitive, drop_proxies)
-    train = assemble(
-        frame.df.withColumn("_label", F.col(frame.label).cast("double")).filter("_label is not null"), encoder, ["_label"]
-    )
-    return fitters[kind](train, encoder, name or kind, include_sensitive)
+    return fitters[kind]
+
+
+def _training_rows(frame: AuditFrame, encoder: Encoder) -> DataFrame:
+    labelled = frame.df.withColumn("_label", F.col(frame.label).cast("double")).filter("_label is not null")
+    return assemble(labelled, encoder, ["_label"])
 
 
 def _fit_logreg(train: DataFrame, encoder: Encoder, name: str, include_sensitive: bool) -> Fitted:

@@ -277,18 +277,13 @@ def probe_summary(
     )
 
 
-def full_probe_summary(
-    frame: AuditFrame, scorers: list, dataset: str, groups: list[str] | None = None, allow_blind: bool = False
-) -> DataFrame:
-    """Summary of the full probe without writing out its checks (see :func:`response_counts`)."""
-    check_sensitive(frame, scorers, allow_blind)
-    groups = resolve_groups(frame, groups)
-    totals = full_probe_counts(response_counts(frame, scorers, groups), groups)
+def full_probe_summary(totals: DataFrame, dataset: str, sensitive: str) -> DataFrame:
+    """Summary lines of the full probe from :func:`full_probe_counts`; no check is ever written out."""
     return totals.select(
         F.lit("counterfactual_augmentation").alias("baseline"),
         F.lit(dataset).alias("dataset"),
         "model",
-        F.lit(frame.sensitive).alias("sensitive_attribute"),
+        F.lit(sensitive).alias("sensitive_attribute"),
         F.col("include_sensitive").alias("include_sensitive_model"),
         "total_checks",
         "flip_count",
@@ -297,5 +292,3 @@ def full_probe_summary(
         "f1",
         "test_size",
     )
-
-

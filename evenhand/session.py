@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "evenhand") -> SparkSession:
@@ -46,3 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a short intermediate table once and keep it in the shared folder.
+
+    Several later steps read it, and without this each of them would go back to the data. The
+    checkpoint survives the loss of executors.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

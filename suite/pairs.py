@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from evenhand.operators import agreement, boxcheck, fitting, paircheck
 from evenhand.operators import scorers as S
 from evenhand.operators.features import CategoricalBlock, Encoder
+from evenhand.plans import audit
+from evenhand.session import settle
 from suite import models, sql
 from suite.frames import docs_frame, lineitem_frame, orders_frame
 from suite.probing import frame_and_models
@@ -88,7 +90,7 @@ FROM fst f JOIN pinned x ON x.model = f.model AND x.row_id = f.first_row AND x.g
 )
 def g8_first_counterexample(spark, folder):
     f = orders_frame(spark, folder)
-    out = paircheck.first_counterexample(f, _PAIR_MODELS, paircheck.observed_pairs(f, _PAIR_MODELS))
+    out = paircheck.first_counterexample(f, _PAIR_MODELS, settle(paircheck.observed_pairs(f, _PAIR_MODELS)))
     x, y = F.col("example_x"), F.col("example_y")
     return out.select(
         "model", "source_group", "target_group", "row_id",
@@ -197,8 +199,10 @@ def g3_box_linear_segments(spark, folder):
 @query("g3_box_linear_witness")
 def g3_box_linear_witness(spark, folder):
     terms, schema = orders_terms(spark, folder)
-    pairs = boxcheck.linear_box_pairs(terms, schema, "c_mktsegment")
-    return boxcheck.linear_witness(terms, schema, "c_mktsegment", pairs)
+    terms = settle(terms)
+    stages = boxcheck.fold_intervals(terms, boxcheck.categorical_columns(schema, "c_mktsegment"), "c_mktsegment")
+    pairs = settle(boxcheck.linear_box_pairs(terms, schema, "c_mktsegment", stages))
+    return boxcheck.linear_witness(terms, schema, "c_mktsegment", pairs, stages)
 
 
 def orders_regions(spark):
@@ -241,8 +245,8 @@ def g4_box_regions_witness(spark, folder):
     f = orders_frame(spark, folder)
     schema = models.ORDERS_ENCODER.schema_table(spark)
     bounds = models.ORDERS_ENCODER.bounds_table(f.df)
-    regions = orders_regions(spark)
-    pairs = boxcheck.region_box_pairs(regions, schema, bounds, "c_mktsegment")
+    bounds, regions = settle(bounds), settle(orders_regions(spark))
+    pairs = settle(boxcheck.region_box_pairs(regions, schema, bounds, "c_mktsegment"))
     return boxcheck.region_witness(regions, schema, bounds, "c_mktsegment", pairs)
 
 
@@ -317,16 +321,16 @@ def pair_documents(dataset: str, spark, folder):
     """Nested pair-check documents of one dataset."""
     f, scorers = frame_and_models(dataset, spark, folder)
     scorers = [*scorers, models.ORDERS_EQUAL] if dataset == "orders" else scorers
-    pairs = paircheck.observed_pairs(f, scorers)
-    examples = paircheck.first_counterexample(f, scorers, pairs)
-    facts = []
-    for s in scorers:
-        rules = len(s.rule_rows()) if s.kind != "logreg" else None
-        facts.append((s.name, s.kind, rules, float(s.intercept) if s.kind == "logreg" else None))
-    metadata = spark.createDataFrame(facts, "model string, kind string, n_rules int, logreg_intercept double")
-    return paircheck.pair_documents(pairs, examples, dataset, f.sensitive, metadata)
+    return audit.observed_documents(f, scorers, dataset)
 
 
 @query("g11_pair_documents")
 def g11_pair_documents(spark, folder):
     return pair_documents("orders", spark, folder)
+
+
+@query("g11_box_documents_fitted")
+def g11_box_documents_fitted(spark, folder):
+    """Fit on the documents, check the whole box: tree, linear model and rule list."""
+    f = docs_frame(spark, folder)
+    return audit.box_documents(f, [x.scorer for x in audit.fit_all(f)], "documents")

@@ -8,6 +8,7 @@ from evenhand.functions.expressions import as_group, literal
 from evenhand.functions.groups import alternatives
 from evenhand.operators import metrics, probes
 from evenhand.operators.scorers import score_models
+from evenhand.plans import audit
 from suite import models, sql
 from suite.frames import docs_frame, lineitem_frame, orders_frame
 from suite.registry import query
@@ -84,6 +85,12 @@ def f4_f7_full_probe(spark, folder):
 _QUALITY = f"q AS (SELECT model, {sql.ACCURACY} AS accuracy, {sql.f1()} AS f1, count(*) AS test_size FROM own GROUP BY 1)"
 
 
+def _full_summary(frame, scorers, dataset):
+    groups = metrics.resolve_groups(frame)
+    totals = probes.full_probe_counts(probes.response_counts(frame, scorers, groups), groups)
+    return probes.full_probe_summary(totals, dataset, frame.sensitive)
+
+
 def _summary_sql(baseline: str, dataset: str, sensitive: str, source: str, extra: str = "") -> str:
     return (
         f"SELECT '{baseline}' AS baseline, '{dataset}' AS dataset, q.model, '{sensitive}' AS sensitive_attribute, "
@@ -103,7 +110,7 @@ def _summary_sql(baseline: str, dataset: str, sensitive: str, source: str, extra
     ),
 )
 def f4_full_probe_summary(spark, folder):
-    return probes.full_probe_summary(orders_frame(spark, folder), models.ORDERS_MODELS, "orders")
+    return _full_summary(orders_frame(spark, folder), models.ORDERS_MODELS, "orders")
 
 
 @query(
@@ -121,7 +128,7 @@ def f4_full_probe_summary(spark, folder):
     ),
 )
 def f4_full_probe_lineitem(spark, folder):
-    return probes.full_probe_summary(lineitem_frame(spark, folder), models.LINEITEM_MODELS, "lineitem")
+    return _full_summary(lineitem_frame(spark, folder), models.LINEITEM_MODELS, "lineitem")
 
 
 @query(
@@ -169,18 +176,7 @@ def frame_and_models(dataset: str, spark, folder):
 def all_summaries(dataset: str, spark, folder, draws: int = DRAWS, nearest: int = NEAREST):
     """The three probe summaries of one dataset in one table."""
     f, scorers = frame_and_models(dataset, spark, folder)
-    groups = metrics.resolve_groups(f)
-    quality = metrics.quality(metrics.prediction_counts(f, scorers))
-    common = (dataset, f.sensitive)
-    random = probes.probe_summary(
-        probes.random_probe(f, scorers, draws, SEED, groups), quality, "random_pair_sampling", *common
-    )
-    full = probes.full_probe_summary(f, scorers, dataset, groups)
-    near = probes.probe_summary(
-        probes.boundary_probe(f, scorers, nearest, groups), quality, "boundary_focused_sampling", *common,
-        rows_as="top_k",
-    )
-    return random.unionByName(full).unionByName(near, allowMissingColumns=True)
+    return audit.probe_report(f, scorers, dataset, draws, nearest, SEED)
 
 
 _ALL_SELECT = (

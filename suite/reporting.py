@@ -8,6 +8,7 @@ from evenhand.functions import text
 from evenhand.operators import agreement, metrics
 from evenhand.plans import gate as gates
 from evenhand.plans import reports
+from evenhand.session import settle
 from suite import models, pairs, probing, sql
 from suite.frames import lineitem_frame, orders_frame
 from suite.registry import query
@@ -35,7 +36,7 @@ def experiment_tables(spark, folder):
 def documents(spark, folder):
     """Pair-check documents of two data sets with display names."""
     both = pairs.pair_documents("orders", spark, folder).unionByName(pairs.pair_documents("documents", spark, folder))
-    return both.withColumn("model", text.display_name(F.col("model"), reports.MODEL_NAMES))
+    return settle(both.withColumn("model", text.display_name(F.col("model"), reports.MODEL_NAMES)))
 
 
 def summary_of(docs):

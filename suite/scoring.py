@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.operators import fitting, metrics
+from evenhand.operators import fitting, metrics, splits
 from evenhand.operators import scorers as S
+from evenhand.plans import audit
 from suite import models, sql
 from suite.frames import docs_frame, lineitem_frame, orders_frame
 from suite.registry import query
@@ -270,3 +271,12 @@ def e9_experiment_summary_lineitem(spark, folder):
     f = lineitem_frame(spark, folder)
     return _summary(metrics.experiment_summary(f, models.LINEITEM_MODELS + [models.LINEITEM_BLIND], "lineitem"))
 
+
+
+@query("e9_experiment_fitted")
+def e9_experiment_fitted(spark, folder):
+    """Split, train all kinds in both modes, summarise the test rows."""
+    f = docs_frame(spark, folder)
+    df = splits.exact_stratified_split(f.df, "row_id", "label", 0.3, portable=True)
+    train, test = (f.with_df(df.filter(F.col("split") == part)) for part in ("train", "test"))
+    return audit.experiment(train, test, "documents")
