@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenhand.session import settle
 
 INTERCEPT = "(intercept)"
 LAZY_COLUMNS = 3
 
-
 # ---------------------------------------------------------------------------------------------
 # Linear models
 # ---------------------------------------------------------------------------------------------
@@ -37,7 +37,9 @@ def linear_terms(weights: DataFrame, schema: DataFrame, bounds: DataFrame, by: l
 
     ``weights(model, feature, weight)`` with the intercept as a feature of its own,
     ``schema(feature, kind, source_col, category)``, ``bounds(feature, lo, hi)``. ``by`` names
-    further key columns of ``bounds``: a box per segment checks each model in each segment.
+    further key columns of ``bounds``: a box per segment checks each model in each segment. The table
+    has a line per model and feature and is settled, because every later step reads it while only
+    the bounds come from the data.
     """
     extra = by or []
     described = weights.join(schema.select("feature", "kind", "source_col", "category"), "feature", "left")
@@ -51,7 +53,7 @@ def linear_terms(weights: DataFrame, schema: DataFrame, bounds: DataFrame, by: l
     rest = rest.withColumn("lo", none).withColumn("hi", none)
     terms = numeric.unionByName(rest)
     model = F.concat_ws("|", "model", *[F.col(c).cast("string") for c in extra]) if extra else F.col("model")
-    return terms.select(
+    described_terms = terms.select(
         model.alias("model"),
         "feature",
         F.coalesce("kind", F.lit("intercept")).alias("kind"),
@@ -61,6 +63,7 @@ def linear_terms(weights: DataFrame, schema: DataFrame, bounds: DataFrame, by: l
         "lo",
         "hi",
     )
+    return settle(described_terms)
 
 
 def _start_intervals(terms: DataFrame) -> DataFrame:
@@ -298,7 +301,8 @@ def disjoint_regions(rules: DataFrame) -> DataFrame:
 
     First match wins, so rule k only holds where rules 1 … k−1 do not. Each earlier rule is
     subtracted from the region by splitting it along that rule's conditions, unless the two already
-    contradict each other (as the paths of one tree always do); the rest stays exact.
+    contradict each other (as the paths of one tree always do); the rest stays exact. The table depends
+    on the models only and is settled for the steps that read it.
     """
     cond = "struct<feature:string,op:string,threshold:double>"
     clash = """exists({a}, p -> exists({b}, q -> p.feature = q.feature and
@@ -325,15 +329,10 @@ def disjoint_regions(rules: DataFrame) -> DataFrame:
               aggregate(transform(slice(listed, 1, k), e -> e.conds), cast(array(r.conds) as array<array<{cond}>>),
                         (boxes, earlier) -> {split})))"""
     )
-    return (
+    return settle(
         per_model.select("model", F.inline(region))
         .select("model", "rule_no", "pred", F.posexplode("boxes").alias("piece", "conds"))
-        .select(
-            "model",
-            F.format_string("%06d.%06d", "rule_no", "piece").alias("region"),
-            "pred",
-            "conds",
-        )
+        .select("model", F.format_string("%06d.%06d", "rule_no", "piece").alias("region"), "pred", "conds")
     )
 
 

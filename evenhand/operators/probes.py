@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
@@ -199,25 +199,20 @@ def boundary_distance(proba: Column) -> Column:
 def nearest_rows(frame: AuditFrame, scorers: list, k: int) -> DataFrame:
     """Per model the min(k, rows) rows nearest the decision boundary, ties by row id.
 
-    Each task keeps its own k rows per model before anything is shuffled.
+    One pass per model over the columns that the model and the report need.
     """
     row_id = frame.needs_row_id("the boundary probe")
     base = frame.df.select(*frame.roles())
 
-    def ranked(models: list) -> DataFrame:
-        parts = ", ".join(
-            f"named_struct('model', {literal(m.name)}, '_distance', abs({m().proba_text} - 0.5D))" for m in models
-        )
-        return base.select(*frame.roles(), F.expr(f"inline(array({parts}))"))
-
-    limit = int(base.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if len(scorers) > 1 and k <= limit:
-        w = Window.partitionBy("model").orderBy("_distance", row_id)
-        return ranked(scorers).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
-    # one top-k per model: each is a heap per task merged at the end
+    def ranked(m) -> DataFrame:
+        distance = F.expr(f"abs({m().proba_text} - 0.5D)")
+        return base.select(*frame.roles(), F.lit(m.name).alias("model"), distance.alias("_distance"))
+
+    # a heap of k rows per task and model, merged at the end: nothing is sorted or shuffled as a whole,
+    # also when many rows share one distance
     out = None
     for m in scorers:
-        part = ranked([m]).orderBy("_distance", row_id).limit(k)
+        part = ranked(m).orderBy("_distance", row_id).limit(k)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -92,13 +92,13 @@ def box_documents(frame: AuditFrame, scorers: list, dataset: str) -> DataFrame:
         schema = scorer.encoder.schema_table(spark)
         bounds = settle(scorer.encoder.bounds_table(frame.df))
         if scorer.kind == "logreg":
-            terms = settle(boxcheck.linear_terms(S.weight_table(spark, [scorer]), schema, bounds))
+            terms = boxcheck.linear_terms(S.weight_table(spark, [scorer]), schema, bounds)
             columns = boxcheck.categorical_columns(schema, frame.sensitive)
             stages = boxcheck.fold_intervals(terms, columns, frame.sensitive)
             pairs = settle(boxcheck.linear_box_pairs(terms, schema, frame.sensitive, stages))
             examples = boxcheck.linear_witness(terms, schema, frame.sensitive, pairs, stages)
         else:
-            regions = settle(boxcheck.disjoint_regions(S.rule_table(spark, [scorer])))
+            regions = boxcheck.disjoint_regions(S.rule_table(spark, [scorer]))
             pairs = settle(boxcheck.region_box_pairs(regions, schema, bounds, frame.sensitive))
             examples = boxcheck.region_witness(regions, schema, bounds, frame.sensitive, pairs)
         part = paircheck.pair_documents(

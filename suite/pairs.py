@@ -199,7 +199,6 @@ def g3_box_linear_segments(spark, folder):
 @query("g3_box_linear_witness")
 def g3_box_linear_witness(spark, folder):
     terms, schema = orders_terms(spark, folder)
-    terms = settle(terms)
     stages = boxcheck.fold_intervals(terms, boxcheck.categorical_columns(schema, "c_mktsegment"), "c_mktsegment")
     pairs = settle(boxcheck.linear_box_pairs(terms, schema, "c_mktsegment", stages))
     return boxcheck.linear_witness(terms, schema, "c_mktsegment", pairs, stages)
@@ -245,7 +244,7 @@ def g4_box_regions_witness(spark, folder):
     f = orders_frame(spark, folder)
     schema = models.ORDERS_ENCODER.schema_table(spark)
     bounds = models.ORDERS_ENCODER.bounds_table(f.df)
-    bounds, regions = settle(bounds), settle(orders_regions(spark))
+    bounds, regions = settle(bounds), orders_regions(spark)
     pairs = settle(boxcheck.region_box_pairs(regions, schema, bounds, "c_mktsegment"))
     return boxcheck.region_witness(regions, schema, bounds, "c_mktsegment", pairs)
 

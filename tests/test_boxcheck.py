@@ -54,8 +54,9 @@ def _linear_truth(model, with_numeric):
     return out
 
 
-@pytest.mark.parametrize("with_numeric", [True, False])
-def test_linear_models_against_enumeration(spark, with_numeric):
+@pytest.mark.parametrize(("with_numeric", "lazy"), [(True, 3), (False, 3), (True, 0)])
+def test_linear_models_against_enumeration(spark, monkeypatch, with_numeric, lazy):
+    monkeypatch.setattr(boxcheck, "LAZY_COLUMNS", lazy)
     rng = random.Random(11)
     encoder = ENCODER if with_numeric else CATEGORICAL
     grid = [i / 8 for i in range(-12, 13)]  # exact in binary, so end points are hit exactly
@@ -67,7 +68,7 @@ def test_linear_models_against_enumeration(spark, with_numeric):
                 weights[n] /= 16  # narrow numeric ranges leave gaps between the intervals
         models.append(LinearScorer(f"m{i:02d}", encoder, weights, rng.choice(grid)))
     schema = encoder.schema_table(spark)
-    terms = settle(boxcheck.linear_terms(S.weight_table(spark, models), schema, _bounds(spark)))
+    terms = boxcheck.linear_terms(S.weight_table(spark, models), schema, _bounds(spark))
     stages = boxcheck.fold_intervals(terms, boxcheck.categorical_columns(schema, "s"), "s")
     pairs = settle(boxcheck.linear_box_pairs(terms, schema, "s", stages))
     expected = {k: v for m in models for k, v in _linear_truth(m, with_numeric).items()}
@@ -175,7 +176,7 @@ def test_regions_against_a_grid(spark):
             expected[m.name, a, b] = "sat" if any(r[a] != r[b] for r in seen) else "unsat"
     schema = settle(ENCODER.schema_table(spark))
     bounds = _bounds(spark)
-    regions = settle(boxcheck.disjoint_regions(S.rule_table(spark, models)))
+    regions = boxcheck.disjoint_regions(S.rule_table(spark, models))
     pairs = settle(boxcheck.region_box_pairs(regions, schema, bounds, "s"))
     assert _statuses(pairs) == expected
     assert set(expected.values()) == {"sat", "unsat"}
