@@ -245,13 +245,16 @@ def linear_witness(
         rest = F.col("target") - F.col("_w")
         gap = F.greatest(F.col("lo") - rest, rest - F.col("hi"), F.lit(0.0))
         options = chosen.join(weights, "model").join(stage, "model").withColumn("_gap", gap).withColumn("_rest", rest)
-        best = options.groupBy("model").agg(F.min(F.struct("_gap", "_c", "_rest")).alias("b"))
-        chosen = (
-            chosen.join(best, "model")
-            .withColumn("cats", F.map_concat("cats", F.create_map(F.lit(column), F.col("b._c"))))
-            .withColumn("target", F.col("b._rest"))
-            .drop("b")
+        # the pick carries the whole line along, so a line is read once per column
+        kept = ["source_group", "target_group", "w_src", "w_dst", "base"]
+        line = F.struct(
+            *kept,
+            F.col("_rest").alias("target"),
+            F.map_concat("cats", F.create_map(F.lit(column), F.col("_c"))).alias("cats"),
         )
+        chosen = options.groupBy("model").agg(F.min_by(line, F.struct("_gap", "_c")).alias("b")).select("model", "b.*")
+        if len(columns) > LAZY_COLUMNS:
+            chosen = settle(chosen)
     start = stages[0].select("model", F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"))
     share = F.greatest(
         F.lit(0.0),
