@@ -164,28 +164,29 @@ def random_probe(
     """min(draws, rows) draws with replacement, one random alternative each.
 
     The draws decide which rows are needed before the data is touched: they are joined to the dense
-    row number, so the frame is scanned once and never sorted. A draw whose row has no alternative
+    row number, so the rows are scanned once and never sorted. A draw whose row has no alternative
     is dropped.
     """
     check_sensitive(frame, scorers, allow_blind)
     groups = resolve_groups(frame, groups)
     row_id = frame.needs_row_id("the random probe")
-    if frame.dense:
-        df, index = frame.df, row_id
-    else:
-        df, index = dense_index(frame.df, [row_id]), "row_index"
     n_rows = frame.df.agg(F.count("*").alias("n")).scalar()
     spark = frame.df.sparkSession
     picks = spark.range(draws).select(
         F.col("id").alias("draw"), (draw_hash(seed, F.col("id")) % F.nullif(n_rows, F.lit(0))).alias("_pick")
     ).filter(F.col("draw") < n_rows)
-    if draws <= BROADCAST_DRAWS:  # two longs per draw
-        picks = F.broadcast(picks)
+    small = F.broadcast if draws <= BROADCAST_DRAWS else (lambda df: df)  # two longs per draw
+    if frame.dense:
+        chosen = picks.withColumnRenamed("_pick", "_drawn")
+    else:
+        # only the ids are numbered; the rows themselves are fetched by id
+        numbered = dense_index(frame.df.select(F.col(row_id).alias("_drawn")), ["_drawn"])
+        chosen = numbered.join(small(picks), F.col("row_index") == F.col("_pick")).select("draw", "_drawn")
     s = F.col(frame.sensitive).cast("string")
     options = alternatives(_array(groups), s)
     which = draw_hash(seed + 1, F.col("draw")) % F.nullif(F.size(options), F.lit(0))
     rows = (
-        df.join(picks, F.col(index) == F.col("_pick"))
+        frame.df.join(small(chosen), F.col(row_id) == F.col("_drawn"))
         .withColumn("_alt", F.get(options, which.cast("int")))
         .filter("_alt is not null")
     )
