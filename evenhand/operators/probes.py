@@ -14,7 +14,6 @@ from evenhand.operators.scorers import count_models, of_model
 
 BITS = 62
 BROADCAST_DRAWS = 1_000_000
-DETAIL = ["model", "row_index", "orig_group", "alt_group", "pred_orig", "pred_cf", "flipped"]
 
 
 def check_sensitive(frame: AuditFrame, scorers: list, allow_blind: bool = False) -> None:
