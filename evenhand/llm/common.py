@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,18 @@ from pyspark.sql import functions as F
 from evenhand.session import scratch_path, shared_folder
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the functions that run in their workers."""
+    context = spark.sparkContext
+    if getattr(context, "_evenhand_shipped", None) != context.applicationId:
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        archive = os.path.join(tempfile.mkdtemp(prefix="evenhand-code-"), "evenhand")
+        context.addPyFile(shutil.make_archive(archive, "zip", top, "evenhand"))
+        context._evenhand_shipped = context.applicationId
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -26,6 +39,7 @@ def vocabulary_path(name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, computed once and kept in the shared folder; lost executors cost no recomputation."""
     spark = df.sparkSession
+    shipped(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenhand.llm import langid, packing, pieces
+from evenhand.llm import bagminhash, langid, packing, pieces
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents")))
+
+
+@query("op9_bagminhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.grouped(table(spark, sf_dir, "documents")).drop("node")
