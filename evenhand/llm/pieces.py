@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import vocabulary_path
+from evenhand.llm.common import shipped, vocabulary_path
 
 MARK = "▁"
 TABLE_ENTRIES = 400_000
@@ -92,6 +92,7 @@ def encode_decode(docs: DataFrame, model: str = "piece_bpe_32k.model", key: str
     A null text counts as empty. Rows with equal or null keys stay rows of their own; other columns are left
     out; an empty table gives an empty table.
     """
+    shipped(docs.sparkSession)
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = f"`{key}` {rows.schema[0].dataType.simpleString()}, ids binary, decoded string"
 

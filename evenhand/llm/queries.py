@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evenhand.llm import bagminhash, langid, packing, pieces
+from evenhand.llm import bagminhash, langid, nndescent, packing, pieces, vafile
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TOP_K_SQL = """
+WITH base AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM base q JOIN base c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op2_exact_top_k", TOP_K_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -38,6 +59,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents")))
 
 
+@query("op7_nn_descent")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.grouped(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_bagminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.grouped(table(spark, sf_dir, "documents")).drop("node")
