@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,32 +34,65 @@ FILLING_NODES, PACKING_NODES, LAST_PIECES = 3_000, 20_000, 48
 # tokens -------------------------------------------------------------------------------------------------
 
 WORDS_HELD = 600_000
-_BREAKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+#: What the tokenizer splits a normalised word into, and the characters for which that split and the lower-casing
+#: here are the same as its own (no character composes, and all keep their length); other words are left to it.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
 
 
 class WordIds:
-    """Distinct words and their packed ids; bounded, starts anew when full."""
+    """Distinct words, and distinct parts of words, with their packed ids; bounded, starts anew when full."""
 
     def __init__(self, vocabulary: str, entries: int = WORDS_HELD):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
+        size = self.tokenizer.get_vocab_size()
+        # the last id of a part has the mark of a word's end
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.entries = entries
-        self.ids: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
-    def of(self, text: str) -> bytes:
+    def of(self, texts: list[str]) -> list[bytes]:
         # only white space that every Unicode version calls white space splits; the rest is the tokenizer's
-        words = text.translate(_BREAKS).split(" ")
-        fresh = list(set(words).difference(self.ids))
-        if fresh:
-            if len(self.ids) + len(fresh) > self.entries:
-                self.ids = {"": b""}
-                fresh = list(set(words) - {""})
-            self.ids.update(zip(fresh, self._encode(fresh), strict=True))
-        return b"".join(map(self.ids.__getitem__, words))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        split = []
+        for text in texts:
+            for c in "\t\n\r\x0b\x0c":
+                if c in text:
+                    text = text.replace(c, " ")
+            split.append(text.split(" "))
+        self._learn(set().union(*split))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def _learn(self, words: set[str]) -> None:
+        fresh = words.difference(self.words)
+        if len(self.words) + len(fresh) > self.entries:
+            self.words = {"": b""}
+            fresh = words - {""}
+        parted = {w: _PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in fresh}
+        needed = set().union(*(p for p in parted.values() if p is not None))
+        if len(self.parts) + len(needed) > self.entries:
+            self.parts.clear()
+        self._encode(list(needed.difference(self.parts)))
+        for w, p in parted.items():
+            self.words[w] = self._whole(w) if p is None else b"".join(map(self.parts.__getitem__, p))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, parts: list[str]) -> None:
+        if not parts:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            self.parts.update((p, self._whole(p)) for p in parts)
+            return
+        flat, at = ids.tobytes(), 0
+        for p, cut in zip(parts, (4 * cuts).tolist(), strict=True):
+            self.parts[p] = flat[at:cut]
+            at = cut
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -88,11 +122,11 @@ def tokenised(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, task, seen = word_ids(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 256):  # bounds what is held at once
+                part = batch.slice(start, 256)
                 owner, out = [], []
-                for row, value in enumerate(part.column(1)):
-                    whole = table.of(value.as_py()) + tail
+                for row, found in enumerate(table.of(part.column(1).to_pylist())):
+                    whole = found + tail
                     for k, at in enumerate(range(0, len(whole), width)):
                         own = whole[at : at + width]
                         n = len(own) // 4
