@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bagminhash, langid, nndescent, packing, pieces, vafile
+from evenhand.llm import bagminhash, langid, linededup, nndescent, packing, pieces, vafile
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,41 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+LINE_SQL = """
+WITH parts AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, i AS no, p[i + 1] AS line FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM parts)
+  WHERE length(trim(p[i + 1], ' ')) > 0),
+firsts AS (
+  SELECT line, length(line) AS n, min({'d': doc_id, 'i': no}) AS first FROM lines GROUP BY line),
+cut AS (
+  SELECT line, n, first, i, hash(substr(line, 1, i) || substr(line, i + 2)) AS v
+  FROM (SELECT *, unnest(range(n)) AS i FROM firsts WHERE n >= 20)),
+changed AS (
+  SELECT v, i, min(first) AS earliest FROM cut GROUP BY v, i HAVING count(*) > 1),
+late AS (
+  SELECT c.line FROM cut c JOIN changed m ON c.v = m.v AND c.i = m.i WHERE m.earliest < c.first
+  UNION
+  SELECT CASE WHEN c.first < f.first THEN f.line ELSE c.line END FROM cut c JOIN firsts f ON c.v = hash(f.line) AND f.n >= 20),
+gone AS (
+  SELECT l.doc_id, list(l.no) AS nos FROM lines l JOIN firsts f ON l.line = f.line
+  WHERE l.line IN (SELECT line FROM late) OR {'d': l.doc_id, 'i': l.no} > f.first GROUP BY l.doc_id)
+SELECT d.doc_id,
+  CASE WHEN g.nos IS NULL THEN d.text
+       ELSE COALESCE(array_to_string(list_transform(list_filter(range(len(string_split(d.text, chr(10)))), lambda i: NOT list_contains(g.nos, i)),
+            lambda i: string_split(d.text, chr(10))[i + 1]), chr(10)), '') END AS text,
+  CASE WHEN d.text IS NULL THEN 0 ELSE CAST(len(string_split(d.text, chr(10))) AS BIGINT) END AS n_lines,
+  COALESCE(CAST(len(g.nos) AS BIGINT), 0) AS n_dropped
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id
+"""
+
+
+@query("op1_line_dedup", LINE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 TOP_K_SQL = """
 WITH base AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
