@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bagminhash, langid, linededup, nndescent, packing, pieces, vafile
+from evenhand.llm import bagminhash, langid, linededup, nndescent, packing, pieces, secrets, vafile
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bagminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.grouped(table(spark, sf_dir, "documents")).drop("node")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
