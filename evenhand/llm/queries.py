@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bagminhash, langid, linededup, nndescent, packing, pieces, secrets, vafile
+from evenhand.llm import bagminhash, langid, linededup, nndescent, packing, pieces, pii, secrets, vafile
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query("op3_pii_surrogates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
