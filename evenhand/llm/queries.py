@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bagminhash, langid, linededup, nndescent, packing, pieces, pii, secrets, vafile
+from evenhand.llm import bagminhash, langid, linededup, mixing, nndescent, packing, pieces, pii, secrets, vafile
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.grouped(table(spark, sf_dir, "embeddings"))
 
 
+@query("op8_context_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scored(table(spark, sf_dir, "documents"))
+
+
 @query("op9_bagminhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.grouped(table(spark, sf_dir, "documents")).drop("node")
