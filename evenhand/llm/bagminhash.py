@@ -160,10 +160,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     A leader's text travels once for every ``MEMBERS_PER_LEADER`` members, so neither a leader with very many
     members nor its text's copies gather in one task.
     """
-    salted = pairs.select("a", "b", (F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).alias("salt")) if "salts" in pairs.columns else None
-    if salted is None:
-        sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_LEADER).cast("int").alias("salts"))
-        salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_LEADER).cast("int").alias("salts"))
+    salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     leaders = salted.select("b", "salt").distinct()
     wanted = salted.select(F.col("a").alias("id"), "b", "salt", F.lit(1).alias("role")).union(
         leaders.select(F.col("b").alias("id"), "b", "salt", F.lit(0).alias("role"))
@@ -193,16 +191,18 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     return rows.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def links(texts: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def links(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b) verified links between different texts (node, text) that join all near-duplicates found by the bands.
 
-    ``texts`` must be a stored table with one row per node.
+    Rows with equal texts are one node. Texts are shuffled once: of those that share a bucket with another one.
     """
-    keys = banded(texts, shingle, bands, rows)
+    keys = banded(docs, shingle, bands, rows).dropDuplicates(["node"])
     exploded = keys.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     exploded = written(exploded, "bands")
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = written(exploded.join(shared, "bucket").select("bucket", "node", "leader"), "buckets")
+    wanted = members.select("node").distinct()
+    texts = written(docs.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "texts")
     pairs = settled(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     known = written(verified(pairs, texts, threshold, shingle), "links")
     alive = members.select("bucket", "node")
@@ -250,9 +250,7 @@ def grouped(
     """
     own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("node", F.unhex(F.md5("text")))
-    # one row per text: the hash decides, so that texts are not compared in the shuffle and copies are dropped before it
-    texts = written(own.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    found = components(links(texts, threshold, shingle))
+    found = components(links(own, threshold, shingle))
     rows = own.select("_key", "node")
     marked = rows.join(found, "node", "left").select("_key", "node", F.coalesce("component", "node").alias("component"))
     least = marked.groupBy("component").agg(
