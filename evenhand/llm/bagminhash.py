@@ -268,7 +268,10 @@ def grouped(
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without near-duplicates: of each class the kept one, of its repeated rows one; all columns."""
-    winners = grouped(docs, key, text, **options).where("kept").select(F.col(key).alias("_key"), "node").distinct()
-    marked = docs.withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    kept = marked.join(winners, (marked[key].eqNullSafe(winners["_key"])) & (marked["_node"] == winners["node"]), "left_semi")
-    return kept.dropDuplicates([key, "_node"]).drop("_node")
+    winners = grouped(docs, key, text, **options).where("kept").select(F.col(key).alias("_key"), F.col("node").alias("_winner")).distinct()
+    winners = winners.withColumn("_hash", F.xxhash64("_key", "_winner"))
+    node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    marked = docs.withColumn("_node", node).withColumn("_hash", F.xxhash64(F.col(key), F.col("_node")))
+    same = (marked["_hash"] == winners["_hash"]) & marked[key].eqNullSafe(winners["_key"]) & (marked["_node"] == winners["_winner"])
+    # rows are dealt by the hash, for the join and for the repeated rows alike
+    return marked.join(winners, same, "left_semi").dropDuplicates(["_hash", key, "_node"]).drop("_node", "_hash")
