@@ -31,7 +31,9 @@ class ChunkTable:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.separable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and self._plain()
         self.entries = entries
-        self.ids: dict[str, bytes] = {}
+        # a marker alone, as behind a space that ends a text
+        self.alone = {"": packed([self.model.piece_to_id(MARK)])}
+        self.ids: dict[str, bytes] = dict(self.alone)
         self.odd: dict[str, str] = {}  # words that decode to something else
 
     def _plain(self) -> bool:
@@ -46,9 +48,9 @@ class ChunkTable:
         if not fresh:
             return
         if len(self.ids) + len(fresh) > self.entries:
-            self.ids.clear()
+            self.ids = dict(self.alone)
             self.odd.clear()
-            fresh = list(words)
+            fresh = list(words - {""})
         found = self.model.encode(fresh, num_threads=1)
         for word, ids, back in zip(fresh, found, self.model.decode(found, num_threads=1), strict=True):
             self.ids[word] = packed(ids)
