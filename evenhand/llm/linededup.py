@@ -50,26 +50,29 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _anchors(line: Column, length: Column) -> Column:
-    """Hashed halves of a line, for its own half length and for that of a line one shorter."""
-    shorter = _half(length - 1)
+def _anchors(line: Column, length: Column) -> dict[str, Column]:
+    """Hashed halves of a line: of its own half length, and where that differs of that of a line one shorter."""
+    own, shorter = _half(length), _half(length - 1)
+    front = lambda n: F.xxhash64(F.lit(0), n, _left(line, n))
+    back = lambda n: F.xxhash64(F.lit(1), n, _right(line, n, length))
+    other = shorter != own
+    return {"front": front(own), "back": back(own), "front_1": F.when(other, front(shorter)), "back_1": F.when(other, back(shorter))}
 
-    def both(n: Column) -> list[Column]:
-        return [
-            F.struct(F.xxhash64(F.lit(0), n, _left(line, n)).alias("anchor"), n.alias("h"), F.lit(True).alias("front")),
-            F.struct(F.xxhash64(F.lit(1), n, _right(line, n, length)).alias("anchor"), n.alias("h"), F.lit(False).alias("front")),
-        ]
 
-    own = _half(length)
-    return F.when(shorter == own, F.array(*both(own))).otherwise(F.array(*both(own), *both(shorter)))
+def _unfolded(distinct: DataFrame) -> DataFrame:
+    """A row for every half of a line: (h1, h2, first, length, anchor, h, front)."""
+    length = F.col("length")
+    sides = [("front", _half(length), True), ("back", _half(length), False), ("front_1", _half(length - 1), True), ("back_1", _half(length - 1), False)]
+    halves = F.array(*[F.struct(F.col(c).alias("anchor"), h.alias("h"), F.lit(front).alias("front")) for c, h, front in sides])
+    return distinct.select("h1", "h2", "first", "length", F.inline(halves)).where(F.col("anchor").isNotNull())
 
 
 def alike(lines: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line at one edit.
 
-    ``distinct``: (h1, h2, first, length, anchors) stored, one row per line; ``lines`` has their texts.
+    ``distinct``: (h1, h2, first, length, halves) stored, one row per line; ``lines`` has their texts.
     """
-    long = distinct.where(F.col("length") >= min_chars).select("h1", "h2", "first", "length", F.inline("anchors"))
+    long = _unfolded(distinct.where(F.col("length") >= min_chars))
     # first sieve: a half in common with another line; second sieve: and a length to within one
     shared = long.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     members = settled(long.join(shared, "anchor"))
@@ -133,13 +136,13 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     length = F.length("line")
     distinct = lines.groupBy("h1", "h2").agg(
         F.min("pos").alias("first"),
-        F.max("pos").alias("last"),
-        F.first(length).alias("length"),
-        F.first(F.when(length >= min_chars, _anchors(F.col("line"), length))).alias("anchors"),
+        F.count(F.lit(1)).alias("n"),
+        F.first(length).cast("int").alias("length"),
+        *[F.first(F.when(length >= min_chars, half)).alias(name) for name, half in _anchors(F.col("line"), length).items()],
     )
     distinct = written(distinct, "lines")
     late = settled(alike(lines, distinct, min_chars)).withColumn("late", F.lit(True))
-    several = distinct.select("h1", "h2", "first", "last").join(late, ["h1", "h2"], "left").where("late or first <> last").drop("last")
+    several = distinct.select("h1", "h2", "first", "n").join(late, ["h1", "h2"], "left").where("late or n > 1").drop("n")
     gone = (
         lines.select("pos", "doc", "h1", "h2")
         .join(several, ["h1", "h2"])
