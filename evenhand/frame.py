@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -24,7 +25,8 @@ class AuditFrame:
 
     ``row_id`` must be unique where row-level results are asked for; it may be ``None`` for
     aggregate-only work. ``dense`` states that ``row_id`` already runs 0…n−1. ``proxies`` are
-    columns that give the sensitive value away and may be dropped along with it.
+    columns that give the sensitive value away and may be dropped along with it. Rows without a label
+    are left out, and NaN in a numeric column is a missing value.
     """
 
     df: DataFrame
@@ -40,6 +42,12 @@ class AuditFrame:
         missing = [c for c in self.roles() if c not in self.df.columns]
         if missing:
             raise ValueError(f"columns not in the frame: {missing}")
+        kinds = {f.name: f.dataType for f in self.df.schema.fields}
+        real = [c for c in self.numeric if isinstance(kinds[c], (T.FloatType, T.DoubleType))]
+        rows = self.df.filter(F.col(self.label).isNotNull())
+        if real:
+            rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in real})
+        object.__setattr__(self, "df", rows)
 
     def roles(self) -> list[str]:
         cols = [self.row_id] if self.row_id else []

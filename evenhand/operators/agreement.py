@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLES = 1_000
 SHOWN_MISMATCHES = 10
 
 
@@ -15,8 +14,8 @@ def match_rate(samples: Column, mismatches: Column) -> Column:
     return F.coalesce(F.round(share, 2), F.lit(0.0))
 
 
-def first_rows(df: DataFrame, row_id: str, n: int | None = SAMPLES) -> DataFrame:
-    """The first ``n`` rows by id (a top-n per task); ``None`` keeps the whole set."""
+def first_rows(df: DataFrame, row_id: str, n: int | None = None) -> DataFrame:
+    """All rows, or the first ``n`` by id (a top-n per task)."""
     return df if n is None else df.orderBy(row_id).limit(n)
 
 
@@ -44,8 +43,8 @@ def mismatches(both: DataFrame, row_id: str, left: str, right: str, n: int = SHO
     )
 
 
-def check_fitted(fitted, df: DataFrame, row_id: str, dataset: str, n: int | None = SAMPLES) -> DataFrame:
-    """MLlib's own prediction beside the generated expression on the same rows."""
+def check_fitted(fitted, df: DataFrame, row_id: str, dataset: str, n: int | None = None) -> DataFrame:
+    """MLlib's own prediction beside the generated expression, on all rows or the first ``n``."""
     rows = first_rows(df, row_id, n).withColumn("expression_pred", fitted.scorer().pred)
     both = fitted.library_predictions(rows, [row_id, "expression_pred"])
     return agreement(both, "library_pred", "expression_pred", dataset, fitted.scorer.name)

@@ -137,7 +137,7 @@ def full_audit(
     draws: int = 500,
     nearest: int = 500,
     kinds: tuple[str, ...] = KINDS,
-    samples: int | None = agreement.SAMPLES,
+    samples: int | None = None,
 ) -> Audit:
     """From training rows to the gate: the box check uses the bounds of the training rows."""
     fitted = fit_all(train, kinds)
@@ -145,6 +145,9 @@ def full_audit(
     blind = [f.scorer for f in fit_all(train, kinds, include_sensitive=False)]
     names = text.display_name(F.col("model"), reports.MODEL_NAMES)
     documents = settle(box_documents(train, scorers, dataset).withColumn("model", names))
+    # a model without a document must not go unnoticed
+    expected = train.df.sparkSession.createDataFrame([(dataset, s.name) for s in scorers], "dataset string, model string")
+    expected = expected.withColumn("model", names)
     summary = reports.solver_summary(documents, [dataset])
     counterexamples = reports.counterexample_report(summary, documents)
     rows = None
@@ -160,5 +163,5 @@ def full_audit(
         counterexamples=counterexamples,
         root_causes=reports.root_cause_report(counterexamples),
         agreement=rows,
-        gate=gates.gate_document(summary, rows, dataset_order=[dataset]),
+        gate=gates.gate_document(summary, rows, dataset_order=[dataset], expected=expected),
     )

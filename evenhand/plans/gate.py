@@ -22,6 +22,16 @@ def _counts(summary: DataFrame) -> DataFrame:
     )
 
 
+def expect(summary: DataFrame, expected: DataFrame) -> DataFrame:
+    """The summary, and a WARNING line for every expected ``(dataset, model)`` without a result.
+
+    Results that nobody expected stay. Names are compared as they are, so display names go with display names.
+    """
+    names = expected.select("dataset", "model").distinct()
+    missing = names.join(summary.select("dataset", "model"), ["dataset", "model"], "left_anti")
+    return summary.unionByName(missing.withColumn("ci_status", F.lit("WARNING")), allowMissingColumns=True)
+
+
 def _verdict():
     return (
         F.when(F.col("n_fail") > 0, "FAIL")
@@ -36,9 +46,10 @@ def _exit_code(status):
     )
 
 
-def gate(summary: DataFrame) -> DataFrame:
-    """FAIL if any model fails (code 1), else WARNING if any is inconclusive or nothing was checked
-    (code 2), else PASS (code 0)."""
+def gate(summary: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """FAIL if any model fails (code 1), else WARNING if any is inconclusive, an expected one has no
+    result, or nothing was checked (code 2), else PASS (code 0)."""
+    summary = summary if expected is None else expect(summary, expected)
     status = _verdict()
     return _counts(summary).select(
         status.alias("overall_status"), _exit_code(status).alias("exit_code"), "n_pass", "n_fail", "n_warning", "n_total"
@@ -80,8 +91,11 @@ def gate_document(
     generated_at: str | None = None,
     dataset_order: list[str] | None = None,
     model_order: list[str] | None = None,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole status document as one nested row. Without agreement rows that block is NULL."""
+    """The whole status document as one nested row. Without agreement rows that block is NULL; an
+    expected ``(dataset, model)`` without a result is a WARNING."""
+    summary = summary if expected is None else expect(summary, expected)
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     stamp = F.lit(generated_at) if generated_at else now
     head = gate(summary).select(F.struct("*")).scalar()

@@ -26,18 +26,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, or the checkpoint folder
+    that was set on the context.
 
     Only where that setting is absent (local tests) a temporary folder is set instead.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         folder = configured
     else:
         master = spark.sparkContext.master
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="evenhand-")
+        folder = tempfile.mkdtemp(prefix="evenhand-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -1,4 +1,5 @@
-"""Scans. Spark itself raises for a missing path, so an absent input never reads as an empty table."""
+"""Scans. Spark itself raises for a missing path, so an absent input never reads as an empty table; input that
+does not fit its schema raises as well, unless a reader is told to be permissive."""
 
 from __future__ import annotations
 
@@ -13,22 +14,26 @@ from evenhand.functions.text import equals_label, strip_character
 from evenhand.operators.clean import drop_columns
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema=None) -> DataFrame:
+STRICT = "FAILFAST"
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema=None, mode: str = STRICT) -> DataFrame:
     """CSV with a header line. Types are inferred (a second scan) only without a schema."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("mode", mode)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
 
 
 def read_headerless_csv(
-    spark: SparkSession, path: str | list[str], schema, missing: str = "?", comment: str | None = "|"
+    spark: SparkSession, path: str | list[str], schema, missing: str = "?", comment: str | None = "|", mode: str = STRICT
 ) -> DataFrame:
     """CSV without header: given names, blanks after commas skipped, a token for missing values and
     a comment sign whose lines are dropped."""
     reader = (
         spark.read.schema(schema)
         .option("header", False)
+        .option("mode", mode)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("nullValue", missing)
@@ -39,11 +44,17 @@ def read_headerless_csv(
 
 
 def read_blank_separated(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """Columns separated by runs of blanks. A short line gives NULLs at its end."""
+    """Columns separated by runs of blanks. A short line gives NULLs at its end; a field that is not of
+    its column's type raises."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     fields = F.split(F.trim(F.col("value")), r"\s+")
-    columns = [F.get(fields, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    columns = []
+    for i, f in enumerate(schema.fields):
+        raw = F.get(fields, F.lit(i))
+        cast = raw.try_cast(f.dataType)
+        wrong = F.raise_error(F.concat(F.lit(f"column {f.name} cannot hold "), raw)).cast(f.dataType)
+        columns.append(F.when(raw.isNull() | cast.isNotNull(), cast).otherwise(wrong).alias(f.name))
     return spark.read.text(path).filter(F.trim("value") != "").select(*columns)
 
 
@@ -58,10 +69,13 @@ PAIR_DOCUMENT = (
 )
 
 
-def read_documents(spark: SparkSession, path: str | list[str], schema: str = PAIR_DOCUMENT, lines: bool = False) -> DataFrame:
-    """JSON documents, one per file (or one per line). Numbers and strings may mix inside examples;
-    the bare token ``NaN`` that some writers emit is read where the schema says text or number."""
-    return spark.read.schema(schema).option("multiLine", not lines).option("allowNonNumericNumbers", True).json(path)
+def read_documents(spark: SparkSession, path: str | list[str], schema: str = PAIR_DOCUMENT, lines: bool = False, mode: str = STRICT) -> DataFrame:
+    """JSON documents, one per file (or one per line); a broken one raises. Numbers and strings may mix
+    inside examples; the bare token ``NaN`` that some writers emit is read where the schema says text or
+    number, and the text ``NaN`` of a top-level column means a missing value."""
+    reader = spark.read.schema(schema).option("multiLine", not lines).option("allowNonNumericNumbers", True)
+    found = reader.option("mode", mode).json(path)
+    return nan_to_null(found, [f.name for f in found.schema.fields if isinstance(f.dataType, T.StringType)])
 
 
 def explode_pairs(documents: DataFrame) -> DataFrame:
@@ -73,7 +87,7 @@ def explode_pairs(documents: DataFrame) -> DataFrame:
 
 def nan_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """The text ``nan`` stands for a missing value."""
-    return df.withColumns({c: F.when(F.lower(F.col(c)) != "nan", F.col(c)) for c in columns})
+    return df.withColumns({c: F.when(F.lower(F.col(c)) != "nan", F.col(c)) for c in columns}) if columns else df
 
 
 def read_tagged(spark: SparkSession, files: dict[str, dict[str, str]], schema=None) -> DataFrame:
@@ -93,22 +107,25 @@ def read_tagged(spark: SparkSession, files: dict[str, dict[str, str]], schema=No
 
 
 def read_tagged_folder(spark: SparkSession, paths: list[str], tags: dict[str, dict[str, str]], schema) -> DataFrame:
-    """Many equally shaped CSV files in one scan, tagged by file name.
+    """Many equally shaped CSV files in one scan, tagged by path.
 
-    The tag table has one row per known file name; a file without tags is an error at run time, not
-    a silent NULL.
+    The tag table has one row per known file, named by as much of the end of its path as tells it from
+    the others (``run1/summary.csv``). A file that no name or more than one name fits is an error at run
+    time, not a silent NULL.
     """
     names = sorted({t for v in tags.values() for t in v})
-    table = spark.createDataFrame(
-        [(f, *[v.get(n) for n in names]) for f, v in tags.items()],
-        ", ".join(["_file string", *[f"{n} string" for n in names]]),
-    )
-    scan = read_csv(spark, paths, schema).select("*", F.col("_metadata.file_name").alias("_file"))
-    joined = scan.join(table.withColumn("_known", F.lit(True)), "_file", "left")
-    guarded = F.when(F.col("_known"), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("no tags for file "), F.col("_file"))).cast("boolean")
+    # the tags are a literal, a row per file that the caller names
+    entries = [
+        F.struct(F.lit(f).alias("file"), *[F.lit(v.get(n)).cast("string").alias(n) for n in names]) for f, v in tags.items()
+    ]
+    path = F.concat(F.lit("/"), F.col("_metadata.file_path"))
+    scan = read_csv(spark, paths, schema).select("*", path.alias("_path"))
+    fitting = F.filter(F.array(*entries), lambda e: F.endswith("_path", F.concat(F.lit("/"), e["file"])))
+    tagged = scan.withColumn("_tags", fitting)
+    guarded = F.when(F.size("_tags") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.size("_tags").cast("string"), F.lit(" tags for file "), F.col("_path"))).cast("boolean")
     )
-    return joined.filter(guarded).drop("_file", "_known")
+    return tagged.filter(guarded).select(*[c for c in scan.columns if c != "_path"], *[F.element_at("_tags", 1)[n].alias(n) for n in names])
 
 
 # Column names and types of the three public audit data sets, in file order.

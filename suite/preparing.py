@@ -62,6 +62,15 @@ def c3_standardise(spark, folder):
     return f.df.select("row_id", F.round(F.expr(encoder.numeric[0].text()), 6).alias("n_chars"))
 
 
+@query("c3_standardise_nan", sql.with_(*_ALL, select="SELECT row_id, round((n_chars - mean) / scale, 6) AS n_chars FROM fl, mo"))
+def c3_standardise_nan(spark, folder):
+    """NaN is a missing value: the same result as with gaps."""
+    f = gappy(spark, folder)
+    f = f.with_df(f.df.withColumn("n_chars", F.coalesce(F.col("n_chars").cast("double"), F.lit(float("nan")))))
+    encoder = features.fit_encoder(f)
+    return f.df.select("row_id", F.round(F.expr(encoder.numeric[0].text()), 6).alias("n_chars"))
+
+
 _BLOCK = [f"CAST(COALESCE(lang = '{v}', FALSE) AS DOUBLE) AS \"lang={v}\"" for v in models.LANGS]
 
 

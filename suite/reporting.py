@@ -49,7 +49,7 @@ def agreement_rows(spark, folder):
         f, scorers = probing.frame_and_models(dataset, spark, folder)
         tree, _, rules = scorers
         both = f.df.select("row_id", tree().pred.alias("l"), rules().pred.alias("r"))
-        part = agreement.agreement(agreement.first_rows(both, "row_id"), "l", "r", dataset, "tree vs rulelist")
+        part = agreement.agreement(both, "l", "r", dataset, "tree vs rulelist")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -314,7 +314,7 @@ def _agreement_sql(dataset: str, own: str) -> str:
     return f"""SELECT '{dataset}' AS dataset, 'tree vs rulelist' AS model, count(*) AS samples_checked,
   count(*) FILTER (l <> r) AS mismatch_count FROM (
     SELECT a.row_id, a.pred AS l, b.pred AS r FROM {own} a JOIN {own} b USING (row_id)
-    WHERE a.model = 'tree' AND b.model = 'rulelist' ORDER BY row_id LIMIT 1000)"""
+    WHERE a.model = 'tree' AND b.model = 'rulelist')"""
 
 
 _AGREEMENT_CTES = [
@@ -349,6 +349,25 @@ def h13_gate(spark, folder):
     return gates.gate(summary_of(documents(spark, folder)))
 
 
+@query(
+    "h13_gate_missing",
+    sql.with_(
+        *_SOLVER_CTES,
+        "wanted AS (SELECT ci_status FROM solver WHERE ci_status <> 'FAIL' UNION ALL SELECT 'WARNING')",
+        select="SELECT CASE WHEN bool_or(ci_status = 'FAIL') THEN 'FAIL' WHEN bool_or(ci_status = 'WARNING') THEN 'WARNING' ELSE 'PASS' END "
+        "AS overall_status, CASE WHEN bool_or(ci_status = 'FAIL') THEN 1 WHEN bool_or(ci_status = 'WARNING') THEN 2 ELSE 0 END AS exit_code, "
+        "count(*) FILTER (ci_status = 'PASS') AS n_pass, count(*) FILTER (ci_status = 'FAIL') AS n_fail, "
+        "count(*) FILTER (ci_status = 'WARNING') AS n_warning, count(*) AS n_total FROM wanted",
+    ),
+)
+def h13_gate_missing(spark, folder):
+    """A model that was expected and has no result is a warning."""
+    summary = settle(summary_of(documents(spark, folder)).filter("ci_status <> 'FAIL'"))
+    names = summary.select("dataset", "model")
+    absent = spark.createDataFrame([("orders", "Absent Model")], names.schema)
+    return gates.gate(summary, names.union(absent))
+
+
 _ORDERED = (
     "string_agg(dataset || ' / ' || model, '; ' ORDER BY list_position(['orders','documents'], dataset), "
     "list_position(['Decision Tree','Rule List','Logistic Regression','logreg_equal'], model))"

@@ -259,6 +259,21 @@ def e9_experiment_summary(spark, folder):
     return _summary(metrics.experiment_summary(f, models.ORDERS_MODELS + models.ORDERS_BLIND, "orders"))
 
 
+@query(
+    "e9_missing_label",
+    sql.with_(
+        sql.frame(), sql.own(),
+        select=f"SELECT model, {sql.ACCURACY} AS accuracy, {sql.f1()} AS f1, count(*) AS test_size FROM own "
+        "WHERE row_id % 6 <> 0 GROUP BY model",
+    ),
+)
+def e9_missing_label(spark, folder):
+    """Rows without a label are in no count."""
+    f = orders_frame(spark, folder)
+    f = f.with_df(f.df.withColumn("label", F.when(F.col("row_id") % 6 != 0, F.col("label"))))
+    return metrics.quality(metrics.prediction_counts(f, models.ORDERS_MODELS)).drop("include_sensitive")
+
+
 @query(
     "e9_experiment_summary_lineitem",
     sql.with_(

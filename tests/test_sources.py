@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 
 from evenhand.sources import readers, writers
@@ -102,10 +103,35 @@ def test_tagged_files(spark, tmp_path):
     d = _write(tmp_path / "d.csv", "model,n\ntree,2\n")
     one = readers.read_tagged_folder(spark, [c, d], {"c.csv": {"part": "x"}, "d.csv": {"part": "y"}}, "model string, n int")
     assert {(r["part"], r["n"]) for r in one.collect()} == {("x", 1), ("y", 2)}
-    with pytest.raises(PySparkException, match="no tags for file"):
+    with pytest.raises(PySparkException, match="0 tags for file"):
         readers.read_tagged_folder(spark, [c, d], {"c.csv": {"part": "x"}}, "model string, n int").collect()
 
 
+def test_equal_file_names_have_their_own_tags(spark, tmp_path):
+    paths = []
+    for k, run in enumerate(("run1", "run2")):
+        (tmp_path / run).mkdir()
+        paths.append(_write(tmp_path / run / "summary.csv", f"model,n\ntree,{k}\n"))
+    tags = {"run1/summary.csv": {"part": "x"}, "run2/summary.csv": {"part": "y"}}
+    got = readers.read_tagged_folder(spark, paths, tags, "model string, n int").collect()
+    assert {(r["part"], r["n"]) for r in got} == {("x", 0), ("y", 1)}
+    with pytest.raises(PySparkException, match="2 tags for file"):
+        readers.read_tagged_folder(spark, paths[:1], {"summary.csv": {"part": "x"}, **tags}, "model string, n int").collect()
+
+
+def test_malformed_input_raises(spark, tmp_path):
+    csv = _write(tmp_path / "bad.csv", "model,n\ntree,xx\n")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_csv(spark, csv, "model string, n int").collect()
+    assert readers.read_csv(spark, csv, "model string, n int", mode="PERMISSIVE").first()["n"] is None
+    blank = _write(tmp_path / "bad.txt", "a 1\nb x\n")
+    with pytest.raises((PySparkException, Py4JJavaError), match="cannot hold x"):
+        readers.read_blank_separated(spark, blank, "k string, n int").collect()
+    document = _write(tmp_path / "bad.json", '{"dataset": "d", "model": ')
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_documents(spark, document).collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("m", 1.5, {"a": 0.5}, None)], "model string, v double, rates map<string,double>, gap double")
     writers.write_csv(df, str(tmp_path / "csv"))
