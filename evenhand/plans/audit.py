@@ -66,31 +66,55 @@ def observed_documents(
 
 
 def model_facts(frame: AuditFrame, scorers: list) -> DataFrame:
-    """Rule count and intercept per model."""
+    """Number of rules (a list's default is none of them) and intercept per model."""
     facts = [
         (
             s.name,
             s.kind,
-            len(s.rule_rows()) if s.kind in ("tree", "rulelist") else None,
+            len(s.rule_rows()) - (s.kind == "rulelist") if s.kind in ("tree", "rulelist") else None,
             float(s.intercept) if s.kind == "logreg" else None,
         )
         for s in scorers
     ]
     return frame.df.sparkSession.createDataFrame(
-        facts, "model string, kind string, n_rules int, logreg_intercept double"
+        facts, "model string, kind string, num_rules int, logreg_intercept double"
     )
 
 
+NO_WITNESS = (
+    "model string, source_group string, target_group string, score_x double, score_y double, "
+    "prediction_x int, prediction_y int, example_x map<string,string>, example_y map<string,string>"
+)
+
+
 def box_documents(frame: AuditFrame, scorers: list, dataset: str) -> DataFrame:
     """Pair-check documents over the whole feature box of the frame.
 
-    The bounds are one pass per encoder; the checks themselves work on the models only.
+    The bounds are one pass per encoder; the checks themselves work on the models only. Every model has a
+    document: one that does not see the sensitive column cannot tell the groups apart, and for one that
+    sees it as a number the pairs are undecided.
     """
     spark = frame.df.sparkSession
-    out = None
+    out, known = None, {}
     for scorer in scorers:
         schema = scorer.encoder.schema_table(spark)
-        bounds = settle(scorer.encoder.bounds_table(frame.df))
+        if scorer.encoder.block(frame.sensitive) is None:
+            seen = any(f.source == frame.sensitive for f in scorer.encoder.numeric)
+            pairs = settle(
+                paircheck.group_pairs(frame.df, frame.sensitive).select(
+                    F.lit(scorer.name).alias("model"), "source_group", "target_group",
+                    F.lit("unknown" if seen else "unsat").alias("status"),
+                )
+            )
+            part = paircheck.pair_documents(
+                pairs, spark.createDataFrame([], NO_WITNESS), dataset, frame.sensitive, model_facts(frame, [scorer]),
+                BOX_SCOPES[scorer.kind],
+            )
+            out = part if out is None else out.unionByName(part)
+            continue
+        if scorer.encoder not in known:
+            known[scorer.encoder] = settle(scorer.encoder.bounds_table(frame.df))
+        bounds = known[scorer.encoder]
         if scorer.kind == "logreg":
             terms = boxcheck.linear_terms(S.weight_table(spark, [scorer]), schema, bounds)
             columns = boxcheck.categorical_columns(schema, frame.sensitive)

@@ -323,6 +323,21 @@ def pair_documents(dataset: str, spark, folder):
     return audit.observed_documents(f, scorers, dataset)
 
 
+@query(
+    "g4_box_blind",
+    sql.with_(
+        sql.frame(),
+        "n AS (SELECT count(DISTINCT s) AS k FROM oa WHERE s IS NOT NULL)",
+        select="SELECT model, 'UNSAT' AS overall_status, CAST(k * (k - 1) AS INTEGER) AS pairs FROM n, "
+        "(VALUES ('tree'), ('logreg'), ('rulelist')) AS m(model)",
+    ),
+)
+def g4_box_blind(spark, folder):
+    """Models that do not see the sensitive column have a document each, without a violation."""
+    docs = audit.box_documents(orders_frame(spark, folder), models.ORDERS_BLIND, "orders")
+    return docs.select("model", "overall_status", F.size("pair_checks").alias("pairs"))
+
+
 @query("g11_pair_documents")
 def g11_pair_documents(spark, folder):
     return pair_documents("orders", spark, folder)

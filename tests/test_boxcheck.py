@@ -228,3 +228,16 @@ def test_observed_violations_lie_in_the_box(spark):
         for p in doc["pair_checks"]:
             assert p["status"] != "sat" or wide[p["source_group"], p["target_group"]] == "sat"
     assert box["logreg"]["overall_status"] == "SAT" and box["logreg"]["first_counterexample"]["score_x"] is not None
+
+
+def test_no_model_is_without_a_document(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(-1, 3), rng.choice("uvw"), i % 2, rng.randint(0, 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x double, c string, s int, label int")
+    f = AuditFrame(df, "label", "s", ("x", "s"), ("c",), row_id="id")
+    blind = Encoder((NumericFeature("x"),), (CategoricalBlock("c", ("u", "v", "w")),))
+    number = Encoder((NumericFeature("x"), NumericFeature("s")), ())
+    models = [LinearScorer("blind", blind, {"x": 0.5}, 0.1), LinearScorer("number", number, {"x": 0.5, "s": 0.3}, 0.1)]
+    docs = {r["model"]: r for r in audit.box_documents(f, models, "d").collect()}
+    assert docs["blind"]["overall_status"] == "UNSAT" and len(docs["blind"]["pair_checks"]) == 2
+    assert docs["number"]["overall_status"] == "UNKNOWN" and docs["number"]["first_counterexample"] is None

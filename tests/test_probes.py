@@ -79,7 +79,7 @@ def test_pairs_equal_brute_force(spark):
     assert ce["example_x"]["n"] == ce["example_y"]["n"] and ce["example_x"]["s"] == ce["source_group"]
     with_example = [p for p in docs["linear"]["pair_checks"] if p["example_x"]]
     assert len(with_example) == 1 and len(docs["linear"]["pair_checks"]) == 6
-    assert docs["rules"]["n_rules"] == 3 and docs["linear"]["logreg_intercept"] == 0.05
+    assert docs["rules"]["num_rules"] == 2 and docs["linear"]["logreg_intercept"] == 0.05
 
 
 def test_more_groups_than_bits(spark):
