@@ -41,9 +41,9 @@ def sample():
         rows.append((len(rows), [float(x) for x in v], label))
 
     for label in range(3):
-        for v in rng.standard_normal((150, 24)).astype(np.float32):
+        for v in rng.standard_normal((60, 24)).astype(np.float32):
             add(v, label)
-    for size in (2, 3, 9, 70):  # groups of near copies, one far beyond a list's length
+    for size in (2, 3, 9, 40):  # groups of near copies, one far beyond a list's length
         base = rng.standard_normal(24)
         for _ in range(size):
             add(base + 0.02 * rng.standard_normal(24), 1)
@@ -69,9 +69,9 @@ def test_rows(spark):
 
 
 def test_audit_measures_what_is_missing(spark):
-    rows = [r for r in sample() if r[0] < 530]
+    rows = [r for r in sample() if r[0] < 234]
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     nodes = nndescent.nodes_of(data, "vec_id", "embedding", "label").withColumnRenamed("vec_id", "own").cache()
     links = nndescent.neighbour_links(nodes).cache()
     assert nndescent.audit(links, nodes, 0.98, 2000) == 1
-    assert nndescent.audit(links.where("u > 455 and v > 455"), nodes, 0.98, 2000) < 1
+    assert nndescent.audit(links.where("u > 190 and v > 190"), nodes, 0.98, 2000) < 1
