@@ -39,6 +39,9 @@ KINDS = {
     "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: What every text with a match holds, and what is cheap to look for: an at sign, digits close together, a title.
+DIGITS = r"\d[\d .()-]{5,}\d|\+\d|[A-Z]{2}\d{2}"
+TITLED = rf"(?=[{''.join(sorted({t[0] for t in MEN + WOMEN + EITHER}))}])(?:{TITLES})\.? \p{{Lu}}"
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 SYLLABLES = {
     "latin": ["ka", "lo", "mi", "ren", "to", "vel", "sa", "dor", "ni", "bra", "len", "ti", "mar", "jo", "fe", "gan"],
@@ -58,6 +61,12 @@ ENDINGS = {
 ATTEMPTS = 64
 
 
+def has_match(text: Column) -> Column:
+    """Whether a text matches anything; the cheap conditions come first."""
+    hint = text.contains("@") | text.rlike(DIGITS) | text.rlike(TITLED)
+    return F.coalesce(F.when(hint, text.rlike(ANY)).otherwise(False), F.lit(False))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
@@ -157,7 +166,9 @@ def surrogate(kind: Column, norm: Column, attempt: Column, secret: str) -> Colum
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """(type, norm, surrogate) of distinct (type, norm): within a type, no two surrogates and no real entity agree."""
-    pending = entities.withColumn("attempt", F.lit(0))
+    # a few bytes each, but costly: small partitions are not to be put together
+    parts = entities.sparkSession.sparkContext.defaultParallelism
+    pending = entities.repartition(parts, "type", "norm").withColumn("attempt", F.lit(0))
     done = None
     for _ in range(ATTEMPTS):
         made = settled(pending.withColumn("surrogate", surrogate(F.col("type"), F.col("norm"), F.col("attempt"), secret)))
@@ -207,12 +218,12 @@ def replaced(docs: DataFrame, secret: str = "corpus", key: str = "doc_id", text:
     ``secret`` is the key of the hashes. Null texts stay null; repeated rows and null keys stay rows of their own
     and get equal surrogates; an empty table gives no rows.
     """
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    has = has_match(F.col(text))
     rows = docs.where(has).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_doc"), F.col(text).alias("_text"))
     mentions = rows.select("_key", "_doc", F.posexplode(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("at", "match"))
     mentions = written(mentions.select("*", kind_of(F.col("match")).alias("kind")).distinct(), "mentions")
     real = mentions.where(F.col("kind").isNotNull()).withColumn("parts", _entities(F.col("match"), F.col("kind")))
-    matches = real.select("match", "kind", "parts").distinct()
+    matches = settled(real.select("match", "kind", "parts").distinct())
     entities = settled(matches.select(F.inline("parts")).distinct())
     table = surrogates(entities, secret)
     # one replacement for every distinct match, then joined to the mentions: a frequent one is joined as a row
