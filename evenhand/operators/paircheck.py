@@ -16,6 +16,7 @@ from evenhand.operators.metrics import resolve_groups
 from evenhand.operators.probes import bit_of, mask_columns, response_counts
 from evenhand.operators.scorers import of_model
 
+# Fixed value: the text of the checked property, as readers of the documents expect it.
 PROPERTY = (
     "existence of two inputs equal on all non-sensitive transformed features, "
     "different on {}, with different model predictions"

@@ -20,6 +20,7 @@ from evenhand.plans import gate as gates
 from evenhand.plans import reports
 from evenhand.session import settle
 
+# The texts of the scopes, as readers of the documents expect them.
 BOX_SCOPES = {
     "tree": "exact tree over transformed feature space (one-hot categoricals + standardized numerics)",
     "rulelist": "exact ordered rule-list over transformed feature space (one-hot categoricals + standardized numerics)",

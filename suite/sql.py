@@ -40,7 +40,7 @@ def pinned(frame: str = "oa", models: tuple[str, ...] = THREE) -> str:
             f"SELECT row_id, s, label, g, '{m}' AS model, {t['score']} AS score, {t['proba']} AS proba, "
             f"{t['pred']} AS pred FROM {frame} CROSS JOIN grp"
         )
-    return "pinned AS (" + "\n UNION ALL ".join(parts) + ")"
+    return "pinned AS MATERIALIZED (" + "\n UNION ALL ".join(parts) + ")"
 
 
 def frame(name: str = "oa") -> str:
