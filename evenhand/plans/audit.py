@@ -1,7 +1,8 @@
 """Whole audits: experiments, probes, pair checks, agreement and gate over one frame.
 
 Each function is one chain of DataFrames. Short intermediate tables that several steps read are
-settled, so the number of passes over the data is fixed and stated.
+settled, so that no step computes them again. The number of passes over the data is fixed but for the
+medians of large columns, which take as many as their values need.
 """
 
 from __future__ import annotations
