@@ -143,42 +143,42 @@ def tokenised(
 
 
 def best_filling(room: int, counts: dict[int, int], lengths: list[int], nodes: int = FILLING_NODES) -> list[int]:
-    """The filling of ``room`` with least waste, larger pieces first; ``lengths`` ascending, all with a count."""
-    best: list[int] = []
-    best_waste = room
-    left = nodes
-    used: Counter = Counter()
-    chosen: list[int] = []
+    """The filling of ``room`` with least waste, larger pieces first; ``lengths`` ascending, all with a count.
 
-    def go(rest: int, top: int) -> bool:
-        """Choose from lengths[:top]; True ends the search."""
-        nonlocal best, best_waste, left
-        if rest < best_waste:
-            best, best_waste = list(chosen), rest
-            if not rest:
-                return True
-        left -= 1
-        if left <= 0:
-            return True
+    One step takes a length as often as it fits, and less often on the way back, so depth and nodes count lengths
+    and not pieces. The nodes end the search beyond the first filling only, which is always complete.
+    """
+    # what all pieces of lengths[:i] hold together; beyond the list they fill the room
+    below = [0]
+    for length in lengths:
+        if below[-1] >= room:
+            break
+        below.append(below[-1] + length * counts[length])
+    best: list[tuple[int, int]] = []
+    best_waste = room
+    chosen: list[tuple[int, int]] = []  # (place in lengths, times)
+    rest, top, first = room, len(lengths), True
+    while True:
         top = bisect.bisect_right(lengths, rest, 0, top)
-        for at in range(top - 1, -1, -1):
-            length = lengths[at]
-            free = counts[length] - used[length]
-            if free <= 0:
-                continue
-            if lengths[0] > rest - length >= best_waste:
+        if top and (first or (nodes > 0 and rest - (below[top] if top < len(below) else room) < best_waste)):
+            top -= 1
+            length = lengths[top]
+            times = min(counts[length], rest // length)
+            if times == 1 and not first and lengths[0] > rest - length >= best_waste:
                 continue  # nothing fits beside this one, and it wastes no less than the incumbent
-            used[length] += 1
-            chosen.append(length)
-            ended = go(rest - length, at + 1)
-            chosen.pop()
-            used[length] -= 1
-            if ended:
-                return True
-        return False
-
-    go(room, len(lengths))
-    return best
+            chosen.append((top, times))
+            rest -= times * length
+            nodes -= 1
+            continue
+        first = False
+        if rest < best_waste:
+            best, best_waste = list(chosen), rest
+        if not chosen or not best_waste or nodes <= 0:
+            return [lengths[at] for at, times in best for _ in range(times)]
+        top, times = chosen.pop()
+        rest += lengths[top]
+        if times > 1:
+            chosen.append((top, times - 1))
 
 
 def lower_bound(pieces: dict[int, int], capacity: int) -> int:

@@ -98,3 +98,16 @@ def test_rows(spark):
         assert at <= 4096
     assert len({r["sequence_id"] for r in got}) == packing.lower_bound(Counter(r["length"] for r in got), 4096)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("long", [0, 40])
+def test_very_many_tiny_pieces_fill_whole_sequences(long):
+    draw = random.Random(long)
+    pieces = [1] * 5000 + [draw.randint(1, 4096) for _ in range(long)]
+    assert valid(packing.plan(Counter(pieces)), pieces, 4096) == packing.lower_bound(Counter(pieces), 4096)
+
+
+def test_a_first_filling_is_complete_whatever_the_nodes():
+    assert Counter(packing.best_filling(4000, {1: 3700, 300: 2}, [1, 300], nodes=1)) == {300: 2, 1: 3400}
+    assert Counter(packing.best_filling(12, {2: 9, 5: 9, 8: 1}, [2, 5, 8])) == {8: 1, 2: 2}
+    assert Counter(packing.best_filling(12, {5: 9, 7: 1, 8: 1}, [5, 7, 8])) == {7: 1, 5: 1}
