@@ -3,8 +3,9 @@
 A neighbour graph starts from vectors that fall on the same side of random hyperplanes. Each round joins the
 neighbours of every vector with each other (a neighbour of a neighbour is probably a neighbour) and keeps the
 best. A list is full at ``K`` entries; when all of it are links it is saturated and grows with the links found, so
-no link is crowded out. Rounds end when hardly a link is new; then a sample's links are found by brute force, and
-while too few of them are known, new hyperplanes and more rounds follow. Equal vectors are one node.
+no link is crowded out. Rounds end when hardly a link is new. They leave out what no group brought together, so all
+vectors are then compared with those of their label, block by block, and no link is missing. Equal vectors are one
+node.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from evenhand.llm.vafile import usable
 THRESHOLD, K = 0.98, 8
 #: Hyperplane tables of the start, members of a group that is compared at once, joined members of a centre.
 TABLES, GROUP, MEMBERS = 8, 24, 256
-#: Vectors whose links are counted by brute force for the audit, the share that must be known, rounds of tables.
-AUDITED, RECALL, ATTEMPTS = 512, 0.995, 6
+#: Vectors whose links are counted by brute force for the audit.
+AUDITED = 512
+#: Components of the vectors of a block, which every task holds, and vectors that are compared with them at once.
+BLOCK_VALUES, AT_ONCE = 1 << 19, 512
 
 
 def nodes_of(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -164,23 +167,60 @@ def audit(lists: DataFrame, nodes: DataFrame, threshold: float, sample: int = AU
     return row["known"] / row["all"] if row["all"] else 1.0
 
 
-def neighbour_links(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+def block_links(nodes: DataFrame, threshold: float, values: int = BLOCK_VALUES) -> DataFrame:
+    """(u, v), both directions, of all links between different vectors.
+
+    Blocks of about ``values`` components are compared with the vectors of their own and later blocks, one after the
+    other. A block and the links of a batch are all that a task holds; vectors are not copied for other blocks.
+    """
+    spark = nodes.sparkSession
+    own = nodes.where(F.col("node") == F.col("own")).select("node", F.col("label").cast("string").alias("label"), "dim", "vec").dropDuplicates(["node"])
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    blocks = max(1, -(-size["n"] * (size["dim"] or 1) // values))
+    parts = max(2 * spark.sparkContext.defaultParallelism, size["n"] // 4096)
+    own = settled(own.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).repartition(parts, "node"))
+    out = None
+    for block in range(blocks):
+        asked = own.where(F.col("block") == block).toPandas()
+        shared = spark.sparkContext.broadcast({x: (g["node"].to_numpy(), _unit(g["vec"].tolist())) for x, g in asked.groupby(["label", "dim"])})
+
+        def compare(frames: Iterator[pd.DataFrame], shared=shared, block=block) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for x, g in f.groupby(["label", "dim"]):
+                    if x not in shared.value:
+                        continue
+                    ask, q = shared.value[x]
+                    for at in range(0, len(g), AT_ONCE):
+                        some = g.iloc[at : at + AT_ONCE]
+                        i, j = np.nonzero(_unit(some["vec"].tolist()) @ q.T >= threshold)
+                        u, v = some["node"].to_numpy()[i], ask[j]
+                        once = (some["block"].to_numpy()[i] > block) | (u > v)
+                        yield pd.DataFrame({"u": u[once], "v": v[once]})
+
+        found = settled(own.where(F.col("block") >= block).mapInPandas(compare, "u long, v long"))
+        shared.destroy()
+        out = found if out is None else out.union(found)
+    return out.union(out.select("v", "u"))
+
+
+def descent(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """(u, v), both directions, of the links between different vectors that the rounds found."""
-    lists, known, turn = None, -1, 0
-    for attempt in range(ATTEMPTS):
-        groups = _planes(nodes.where(F.col("node") == F.col("own")), attempt * TABLES, TABLES).withColumn("fresh", F.lit(1))
-        lists = _best(lists, _pairs(groups, nodes, threshold, k), threshold, k)
-        for _ in range(20):
-            turn += 1
-            lists = _best(lists, _pairs(_centres(lists, turn), nodes, threshold, k), threshold, k)
-            before, known = known, lists.where(F.col("sim") >= threshold).count()
-            if known <= before * 1.002:
-                break
-        if audit(lists, nodes, threshold) >= RECALL:
+    known = -1
+    groups = _planes(nodes.where(F.col("node") == F.col("own")), 0, TABLES).withColumn("fresh", F.lit(1))
+    lists = _best(None, _pairs(groups, nodes, threshold, k), threshold, k)
+    for turn in range(1, 21):
+        lists = _best(lists, _pairs(_centres(lists, turn), nodes, threshold, k), threshold, k)
+        before, known = known, lists.where(F.col("sim") >= threshold).count()
+        if known <= before * 1.002:
             break
     return lists.where(F.col("sim") >= threshold).select("u", "v")
 
 
+def neighbour_links(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+    """(u, v), both directions, of all links between different vectors: those of the rounds, and what they left out."""
+    return descent(nodes, threshold, k).union(block_links(nodes, threshold)).distinct()
+
+
 def grouped(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, k: int = K
 ) -> DataFrame:

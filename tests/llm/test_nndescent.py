@@ -75,3 +75,33 @@ def test_audit_measures_what_is_missing(spark):
     links = nndescent.neighbour_links(nodes).cache()
     assert nndescent.audit(links, nodes, 0.98, 2000) == 1
     assert nndescent.audit(links.where("u > 190 and v > 190"), nodes, 0.98, 2000) < 1
+
+
+def pairs_beside_a_large_group():
+    """Unrelated vectors, isolated pairs just above the threshold, and a group whose links outnumber theirs."""
+    rng = np.random.default_rng(8)
+    rows = [v for v in rng.standard_normal((1500, 64))]
+    for _ in range(60):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        rows += [a, 0.981 * a + np.sqrt(1 - 0.981**2) * b]
+    rows += list(rng.standard_normal(64) + 0.02 * rng.standard_normal((150, 64)))
+    return [(k, [float(x) for x in v], 1) for k, v in enumerate(rows)]
+
+
+def test_isolated_pairs_are_not_lost_beside_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "TABLES", 1)
+    rows = pairs_beside_a_large_group()
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = nndescent.grouped(data).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got if r["n_links"] == 1} == {k: 1 for k in range(1500, 1620)}
+
+
+def test_blocks_find_every_link(spark):
+    rows = [r for r in sample() if r[0] < 234]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = nndescent.nodes_of(data, "vec_id", "embedding", "label").withColumnRenamed("vec_id", "own").cache()
+    whole = {tuple(r) for r in nndescent.block_links(nodes, 0.98).collect()}
+    parts = [tuple(r) for r in nndescent.block_links(nodes, 0.98, values=24 * 30).collect()]
+    assert len(parts) == len(whole) and set(parts) == whole
+    counts = {r[0]: r[1] for r in brute(rows)}
+    assert all(sum(u == k for u, _ in whole) == n for k, n in counts.items())
