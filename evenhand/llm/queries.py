@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import bagminhash, langid, linededup, mixing, nndescent, packing, pieces, pii, secrets, vafile, wavelet
+from evenhand.llm import bagminhash, collocations, langid, linededup, mixing, nndescent, packing, pieces, pii, secrets, vafile, wavelet
 from evenhand.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_wavelet_matrix")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM (SELECT lang, w, unnest(range(1, 6)) AS m FROM worded WHERE len(w) > 0) WHERE len(w) >= m),
+counted AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+phrases AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE m > 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS around
+  FROM (SELECT lang, m, w, a, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM phrases WHERE m > 2))
+  GROUP BY ALL),
+kept AS (
+  SELECT p.* FROM phrases p LEFT JOIN inner_parts o ON p.lang = o.lang AND p.phrase = o.phrase
+  WHERE o.around IS NULL OR 100 * o.around < 100 * p.a),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r, n,
+    CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted h ON c.lang = h.lang AND c.head = h.phrase JOIN counted t ON c.lang = t.lang AND c.tail = t.phrase
+    JOIN totals ON c.lang = totals.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
