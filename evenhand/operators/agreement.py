@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenhand.operators.scorers import with_tables
+
 SHOWN_MISMATCHES = 10
 
 
@@ -45,6 +47,6 @@ def mismatches(both: DataFrame, row_id: str, left: str, right: str, n: int = SHO
 
 def check_fitted(fitted, df: DataFrame, row_id: str, dataset: str, n: int | None = None) -> DataFrame:
     """MLlib's own prediction beside the generated expression, on all rows or the first ``n``."""
-    rows = first_rows(df, row_id, n).withColumn("expression_pred", fitted.scorer().pred)
+    rows = with_tables(first_rows(df, row_id, n), [fitted.scorer]).withColumn("expression_pred", fitted.scorer().pred)
     both = fitted.library_predictions(rows, [row_id, "expression_pred"])
     return agreement(both, "library_pred", "expression_pred", dataset, fitted.scorer.name)

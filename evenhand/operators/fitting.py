@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
-from evenhand.operators.features import Encoder, fit_encoder
+from evenhand.operators.features import CategoricalBlock, Encoder, fit_encoder
 from evenhand.operators.scorers import LinearScorer, Node, RuleListScorer, TreeScorer, rule_list_from_tree
-from evenhand.session import scratch_path
+from evenhand.session import scratch_path, settle
 
 KINDS = ("tree", "logreg", "rulelist")
 TREE_DEPTH = 5
@@ -39,6 +40,9 @@ class Fitted:
 
 
 def assemble(df: DataFrame, encoder: Encoder, keep: list[str]) -> DataFrame:
+    """Kept columns and ``features``; with dictionary columns a sparse vector."""
+    if encoder.dictionaries:
+        return encoder.vectors(df, keep)
     features = encoder.columns()
     plain = df.select(*keep, *[c.alias(f"_f{i}") for i, c in enumerate(features.values())])
     assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features")
@@ -95,8 +99,18 @@ def _fit_logreg(train: DataFrame, encoder: Encoder, name: str, include_sensitive
         standardization=False,
         tol=1e-10,
     ).fit(train)
-    weights = dict(zip(encoder.names(), (float(w) for w in model.coefficients)))
-    return Fitted(model, LinearScorer(name, encoder, weights, float(model.intercept), include_sensitive), encoder)
+    found = model.coefficients.toArray()
+    weights = {f.name: float(w) for f, w in zip(encoder.numeric, found)}
+    tables = {}
+    for block, at in zip(encoder.blocks, encoder.offsets()):
+        own = found[at : at + block.size]
+        if isinstance(block, CategoricalBlock):
+            weights.update(zip(block.names(), map(float, own)))
+            continue
+        # the learner hands all coefficients to the driver; they go back by slot and never become expressions
+        slots = pa.table({"slot": pa.array(range(len(own)), pa.int64()), "weight": pa.array(own, pa.float64())})
+        tables[block.source] = settle(block.table.join(train.sparkSession.createDataFrame(slots), "slot").select("value", "weight"))
+    return Fitted(model, LinearScorer(name, encoder, weights, float(model.intercept), include_sensitive, tables=tables), encoder)
 
 
 def _tree(train: DataFrame, depth: int) -> DecisionTreeClassificationModel:
@@ -122,9 +136,10 @@ def tree_nodes(spark, model: DecisionTreeClassificationModel, encoder: Encoder)
     """The node table of a tree, read back from the saved model (2^(depth+1) − 1 rows at most)."""
     path = scratch_path(spark, "tree-model")
     model.save(path)
-    names = encoder.names()
+    saved = spark.read.parquet(f"{path}/data").orderBy("id").collect()
+    names = encoder.names_at([r["split"]["featureIndex"] for r in saved if r["leftChild"] >= 0])
     nodes = []
-    for r in spark.read.parquet(f"{path}/data").orderBy("id").collect():
+    for r in saved:
         stats = list(r["impurityStats"])
         n0, n1 = float(stats[0]), float(stats[1]) if len(stats) > 1 else 0.0
         if r["leftChild"] < 0:

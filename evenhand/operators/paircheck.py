@@ -14,7 +14,7 @@ from evenhand.functions.expressions import Lookup, as_group, plain
 from evenhand.operators.features import Encoder
 from evenhand.operators.metrics import resolve_groups
 from evenhand.operators.probes import bit_of, mask_columns, response_counts
-from evenhand.operators.scorers import of_model
+from evenhand.operators.scorers import of_model, with_tables
 
 # Fixed value: the text of the checked property, as readers of the documents expect it.
 PROPERTY = (
@@ -110,6 +110,7 @@ def first_counterexample(frame: AuditFrame, scorers: list, pairs: DataFrame) ->
     row_id = frame.needs_row_id("a counterexample")
     wanted = first_pairs(pairs).select("model", "source_group", "target_group", "first_row")
     rows = frame.df.join(F.broadcast(wanted), F.col(row_id) == F.col("first_row"))  # ≤ one row per model
+    rows = with_tables(rows, scorers)
     x = as_group(frame.sensitive, "source_group")
     y = as_group(frame.sensitive, "target_group")
     return rows.select(
@@ -127,9 +128,15 @@ def first_counterexample(frame: AuditFrame, scorers: list, pairs: DataFrame) ->
 
 
 def block_violations(df: DataFrame, encoder: Encoder) -> DataFrame:
-    """One-hot check of a transformed table: per block, rows that are not 0/1 or not exactly one 1."""
+    """One-hot check of a transformed table: per block, rows that are not 0/1 or not exactly one 1. A dictionary
+    column has one slot or none."""
     parts = []
-    for b in encoder.blocks:
+    for b in encoder.dictionaries:
+        none, missing = F.lit(0).cast("bigint"), F.col(b.slot_column).isNull().cast("bigint")
+        parts.append(
+            F.struct(F.lit(b.source).alias("source_col"), none.alias("bad_value"), missing.alias("none_set"), none.alias("several_set"))
+        )
+    for b in encoder.inline().blocks:
         cols = [F.col(f"`{n}`") for n in b.names()]
         total = sum(cols[1:], cols[0])
         binary = F.lit(True)

@@ -10,7 +10,7 @@ from evenhand.functions.expressions import as_group, literal
 from evenhand.functions.groups import alternatives
 from evenhand.operators.metrics import MODEL_KEYS, accuracy_of, f1_of, resolve_groups
 from evenhand.operators.ranks import dense_index
-from evenhand.operators.scorers import count_models, of_model
+from evenhand.operators.scorers import count_models, of_model, table_columns, with_tables
 
 BITS = 62
 BROADCAST_DRAWS = 1_000_000
@@ -130,6 +130,7 @@ def full_probe(frame: AuditFrame, scorers: list, groups: list[str] | None = None
 
 
 def _compare(rows: DataFrame, frame: AuditFrame, scorers: list, row_index: Column) -> DataFrame:
+    rows = with_tables(rows, scorers)
     changed = as_group(frame.sensitive, "_alt")
     parts = ", ".join(
         f"named_struct('model', {literal(m.name)}, 'pred_orig', {m().pred_text}, 'pred_cf', {m(changed).pred_text})"
@@ -202,11 +203,12 @@ def nearest_rows(frame: AuditFrame, scorers: list, k: int) -> DataFrame:
     One pass per model over the columns that the model and the report need.
     """
     row_id = frame.needs_row_id("the boundary probe")
-    base = frame.df.select(*frame.roles())
+    kept = [*frame.roles(), *table_columns(scorers)]
+    base = with_tables(frame.df, scorers).select(*kept)
 
     def ranked(m) -> DataFrame:
         distance = F.expr(f"abs({m().proba_text} - 0.5D)")
-        return base.select(*frame.roles(), F.lit(m.name).alias("model"), distance.alias("_distance"))
+        return base.select(*kept, F.lit(m.name).alias("model"), distance.alias("_distance"))
 
     # a heap of k rows per task and model, merged at the end: nothing is sorted or shuffled as a whole,
     # also when many rows share one distance

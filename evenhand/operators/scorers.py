@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.functions.expressions import Lookup, literal, number, plain
-from evenhand.operators.features import Encoder
+from evenhand.operators.features import DictionaryBlock, Encoder
 
 NO_SCORE = "CAST(NULL AS DOUBLE)"
 JOINT_MODELS = 6
@@ -42,7 +42,11 @@ class Scored:
 
 @dataclass(frozen=True)
 class LinearScorer:
-    """``score = intercept + Σ weight·feature``; class 1 iff the score is strictly positive."""
+    """``score = intercept + Σ weight·feature``; class 1 iff the score is strictly positive.
+
+    The weights of a dictionary column are a table ``(value, weight)`` in ``tables``; a row needs them joined
+    (:func:`with_tables`) before it is scored.
+    """
 
     name: str
     encoder: Encoder
@@ -50,6 +54,7 @@ class LinearScorer:
     intercept: float = 0.0
     include_sensitive: bool = True
     kind: str = "logreg"
+    tables: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def __call__(self, lookup: Lookup = plain) -> Scored:
         terms = [number(self.intercept)]
@@ -63,6 +68,10 @@ class LinearScorer:
 
     def _block_term(self, block, lookup: Lookup) -> str | None:
         """One lookup per categorical column instead of one product per category."""
+        if isinstance(block, DictionaryBlock):
+            if lookup(block.source) != plain(block.source):
+                raise ValueError(f"{block.source} is a dictionary column and cannot be changed in place")
+            return f"coalesce({plain(self.weight_column(block.source))}, 0D)" if block.source in self.tables else None
         weighted = [(c, float(self.weights.get(n, 0.0))) for c, n in zip(block.categories, block.names())]
         weighted = [(c, w) for c, w in weighted if w != 0.0]
         if not weighted:
@@ -70,10 +79,13 @@ class LinearScorer:
         branches = " ".join(f"WHEN {literal(c)} THEN {number(w)}" for c, w in weighted)
         return f"CASE {block.value(lookup)} {branches} ELSE 0D END"
 
+    def weight_column(self, source: str) -> str:
+        return f"_weight_{self.name}_{'seen' if self.include_sensitive else 'blind'}_{source}"
+
     def weight_rows(self) -> list[tuple]:
-        """``(model, feature, weight)`` with the intercept as a row of its own."""
+        """``(model, feature, weight)`` with the intercept as a row of its own, without dictionary columns."""
         return [(self.name, "(intercept)", float(self.intercept))] + [
-            (self.name, n, float(self.weights.get(n, 0.0))) for n in self.encoder.names()
+            (self.name, n, float(self.weights.get(n, 0.0))) for n in self.encoder.inline().names()
         ]
 
 
@@ -218,8 +230,23 @@ def rule_list_from_tree(tree: TreeScorer, default: int, name: str | None = None)
     return RuleListScorer(name or tree.name, tree.encoder, tree.rules(), default, tree.include_sensitive)
 
 
+def with_tables(df: DataFrame, scorers: list) -> DataFrame:
+    """The rows with the weights of their dictionary columns; rows that have them already stay as they are."""
+    for s in scorers:
+        for b in s.encoder.dictionaries if getattr(s, "tables", None) else []:
+            if b.source in s.tables and s.weight_column(b.source) not in df.columns:
+                df = b.joined(df, s.tables[b.source], "weight", s.weight_column(b.source))
+    return df
+
+
+def table_columns(scorers: list) -> list[str]:
+    """What :func:`with_tables` adds."""
+    return list(dict.fromkeys(s.weight_column(c) for s in scorers for c in getattr(s, "tables", {})))
+
+
 def score_models(df: DataFrame, scorers: list, keep: list[str]) -> DataFrame:
     """All models over one scan: one output row per (row, model)."""
+    df = with_tables(df, scorers)
     parts = []
     for s in scorers:
         out = s()
@@ -245,6 +272,7 @@ def count_models(df: DataFrame, keep: list[str], values: list[tuple], first: str
     before the aggregate. ``first`` adds the smallest value of a column, such as a row id.
     """
     scorers = [s for s, _ in values]
+    df = with_tables(df, scorers)
     names = list(values[0][1])
     firsts = [F.min(first).alias("first_row")] if first else []
     carried = [first] if first else []
@@ -304,6 +332,9 @@ def rule_table(spark: SparkSession, scorers: list) -> DataFrame:
 
 def weight_table(spark: SparkSession, scorers: list) -> DataFrame:
     """``weights(model, feature, weight)`` of linear scorers; the intercept is feature ``(intercept)``."""
-    return spark.createDataFrame(
-        [r for s in scorers for r in s.weight_rows()], "model string, feature string, weight double"
-    )
+    out = spark.createDataFrame([r for s in scorers for r in s.weight_rows()], "model string, feature string, weight double")
+    for s in scorers:
+        for source, table in s.tables.items():
+            named = F.concat(F.lit(f"{source}="), F.col("value")).alias("feature")
+            out = out.unionByName(table.select(F.lit(s.name).alias("model"), named, "weight"))
+    return out

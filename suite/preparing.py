@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenhand.operators import features, metrics, ranks, splits
+from evenhand import AuditFrame
+from evenhand.operators import agreement, features, fitting, metrics, ranks, splits
 from evenhand.operators.features import CategoricalBlock, Encoder, NumericFeature
 from suite import models, sql
 from suite.frames import docs_frame, orders_frame
@@ -231,3 +232,84 @@ def c11_dense_index_two_keys(spark, folder):
 )
 def e8_split_sizes(spark, folder):
     return metrics.split_sizes(splits.hash_split(orders_frame(spark, folder).df, "row_id", 0.2, portable=True))
+
+
+# ---- a column with more values than expressions can hold ----------------------------------------
+
+
+def order_numbers(spark, folder) -> AuditFrame:
+    """Line items with the number of their order as a category: more than 10,000 values from sf 0.01 on."""
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        (F.col("l_discount") >= 0.05).cast("int").alias("label"),
+        "l_quantity",
+        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("order_no"),
+        "l_returnflag",
+        "l_linestatus",
+    )
+    return AuditFrame(df, "label", "l_linestatus", ("l_quantity",), ("order_no", "l_returnflag", "l_linestatus"), row_id="row_id")
+
+
+_LN = "ln AS (SELECT 'order ' || l_orderkey AS order_no, l_returnflag, l_linestatus, l_quantity FROM lineitem)"
+
+
+@query(
+    "c2_c6_dictionary_schema",
+    sql.with_(
+        _LN,
+        "cats AS (" + " UNION ALL ".join(
+            f"SELECT {i} AS c, '{c}' AS source_col, {c} AS category, count(*) AS n FROM ln GROUP BY {c}"
+            for i, c in enumerate(("order_no", "l_returnflag", "l_linestatus"))
+        ) + ")",
+        "modes AS (SELECT source_col, category AS mode FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY source_col ORDER BY n DESC, category) AS k FROM cats) WHERE k = 1)",
+        select="""SELECT 0 AS position, 'l_quantity' AS feature, 'numeric' AS kind, 'l_quantity' AS source_col, CAST(NULL AS VARCHAR) AS category,
+  CAST(median(l_quantity) AS DOUBLE) AS median, CAST(NULL AS VARCHAR) AS mode, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS scale FROM ln
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY c, category) AS INTEGER), source_col || '=' || category, 'onehot', source_col, category,
+  NULL, mode, NULL, NULL FROM cats JOIN modes USING (source_col)""",
+    ),
+)
+def c2_c6_dictionary_schema(spark, folder):
+    """Modes and positions of all categories; the wide column is numbered as a table and never listed on the driver."""
+    out = features.fit_encoder(order_numbers(spark, folder)).schema_table(spark)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "scale")})
+
+
+@query(
+    "c5_dictionary_vectors",
+    sql.with_(
+        _LN,
+        "slots AS (SELECT order_no, row_number() OVER (ORDER BY order_no) AS slot FROM (SELECT DISTINCT order_no FROM ln))",
+        select="SELECT slot, count(*) AS n_rows, (SELECT count(*) + 6 FROM slots) AS size FROM ln JOIN slots USING (order_no) GROUP BY slot",
+    ),
+)
+def c5_dictionary_vectors(spark, folder):
+    """The assembled sparse vectors: rows per position of the wide column."""
+    f = order_numbers(spark, folder)
+    encoder = features.fit_encoder(f)
+    shape = F.unwrap_udt("features")
+    found = encoder.vectors(f.df, ["row_id"]).select(shape["indices"].alias("i"), shape["size"].alias("size"))
+    last = encoder.offsets()[1]
+    return (
+        found.select("size", F.explode("i").alias("slot"))
+        .filter((F.col("slot") >= 1) & (F.col("slot") < last))
+        .groupBy("slot", "size")
+        .agg(F.count("*").alias("n_rows"))
+        .select(F.col("slot").cast("bigint").alias("slot"), "n_rows", F.col("size").cast("bigint").alias("size"))
+    )
+
+
+@query(
+    "d2_dictionary_fit_agreement",
+    sql.with_(
+        _LN,
+        select="SELECT 'lineitem' AS dataset, 'logreg' AS model, count(*) AS samples_checked, CAST(0 AS BIGINT) AS mismatch_count, "
+        "100.0e0 AS match_rate, 1 + count(DISTINCT order_no) + count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) AS n_features FROM ln",
+    ),
+)
+def d2_dictionary_fit_agreement(spark, folder):
+    """A linear model with a weight for every order: MLlib's predictions on sparse vectors against joined weights, all rows."""
+    f = order_numbers(spark, folder)
+    fitted = fitting.fit("logreg", f)
+    out = agreement.check_fitted(fitted, f.df, "row_id", "lineitem")
+    return out.withColumn("n_features", F.lit(fitted.encoder.size).cast("bigint"))
