@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from evenhand.llm.common import shipped, written
 
 SHARD_BITS, CODE_BITS = 3, 12
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: A filter has ten bits for every key, up to 2**28 bits (32 MB); beyond that it lets more through.
 FILTER_BITS = (16, 28)
 
