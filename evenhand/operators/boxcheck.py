@@ -66,6 +66,37 @@ def linear_terms(weights: DataFrame, schema: DataFrame, bounds: DataFrame, by: l
     return settle(described_terms)
 
 
+def group_values(frame, feature) -> DataFrame:
+    """``(category, value)`` of a sensitive column that models see as a number: every group and its transformed value."""
+    z = F.expr(feature.text()).alias("value")
+    seen = frame.df.filter(F.col(frame.sensitive).isNotNull())
+    return settle(seen.select(F.col(frame.sensitive).cast("string").alias("category"), z).distinct())
+
+
+def pinned_terms(terms: DataFrame, values: DataFrame, sensitive: str) -> DataFrame:
+    """The numeric term of the sensitive column, replaced by one fixed term per group: weight × the group's value.
+
+    From there on a group is a group, whether models see it as a number or as a category.
+    """
+    own = (F.col("kind") == "numeric") & (F.col("source_col") == sensitive)
+    groups = values.select(F.lit(sensitive).alias("source_col"), F.col("category").alias("_group"), "value")
+    fixed = (
+        terms.filter(own)
+        .join(groups, "source_col")
+        .select(
+            "model",
+            F.concat_ws("=", "feature", "_group").alias("feature"),
+            F.lit("onehot").alias("kind"),
+            "source_col",
+            F.col("_group").alias("category"),
+            (F.col("weight") * F.col("value")).alias("weight"),
+            F.lit(None).cast("double").alias("lo"),
+            F.lit(None).cast("double").alias("hi"),
+        )
+    )
+    return settle(terms.filter(~F.coalesce(own, F.lit(False))).unionByName(fixed))
+
+
 def _start_intervals(terms: DataFrame) -> DataFrame:
     """Reachable values of intercept plus numeric features: one interval per model.
 
@@ -368,16 +399,24 @@ def _one_hot_choice(by: list[str], limits: DataFrame, sizes: DataFrame) -> DataF
     return blocks.join(sizes, "source_col").withColumn("ok", ok)
 
 
-def region_box_pairs(regions: DataFrame, schema: DataFrame, bounds: DataFrame, sensitive: str) -> DataFrame:
+def region_box_pairs(
+    regions: DataFrame, schema: DataFrame, bounds: DataFrame, sensitive: str, values: DataFrame | None = None
+) -> DataFrame:
     """``(model, source_group, target_group, status, region_x, region_y)`` per ordered pair.
 
     Regions of a model meet only regions of the same model and of the other class; whether two can
-    hold together on the non-sensitive columns is decided once and then read by every group pair.
+    hold together on the non-sensitive columns is decided once and then read by every group pair. ``values`` are the
+    :func:`group_values` of a sensitive column that models see as a number.
     """
     typed = schema.select("feature", "kind", "source_col", "category")
     sizes = schema.filter("kind = 'onehot'").groupBy("source_col").agg(F.count("*").alias("n_categories"))
     limits = _feature_limits(regions).join(typed, "feature")
-    usable = _usable_groups(regions, limits, schema, sensitive)
+    if values is None:
+        usable = _usable_groups(regions, limits, schema, sensitive)
+        categories = schema.filter((F.col("kind") == "onehot") & (F.col("source_col") == sensitive)).select("category")
+    else:
+        usable = _usable_values(regions, limits, values, sensitive)
+        categories = values.select("category")
     heads = regions.select("model", "region", "pred")
     lows = heads.filter("pred = 0").select("model", F.col("region").alias("r0"))
     highs = heads.filter("pred = 1").select("model", F.col("region").alias("r1"))
@@ -427,7 +466,6 @@ def region_box_pairs(regions: DataFrame, schema: DataFrame, bounds: DataFrame, s
         F.bool_or(F.col("joint") == "yes").alias("sat"),
         F.min(F.when(F.col("joint") == "yes", F.struct("region_x", "region_y"))).alias("w"),
     )
-    categories = schema.filter((F.col("kind") == "onehot") & (F.col("source_col") == sensitive)).select("category")
     listed = categories.agg(F.array_sort(F.collect_list("category")).alias("gs")).scalar()
     pairs = (
         regions.select("model")
@@ -463,6 +501,15 @@ def _usable_groups(regions: DataFrame, limits: DataFrame, schema: DataFrame, sen
     )
 
 
+def _usable_values(regions: DataFrame, limits: DataFrame, values: DataFrame, sensitive: str) -> DataFrame:
+    """Groups whose value lies within the limits of each region: ``(model, region, grp)``."""
+    own = limits.filter(F.col("source_col") == sensitive).select("model", "region", "lo", "hi")
+    groups = values.select(F.lit(sensitive).alias("source_col"), F.col("category").alias("grp"), "value")
+    inside = (F.col("lo").isNull() | (F.col("lo") < F.col("value"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    every = regions.select("model", "region", F.lit(sensitive).alias("source_col")).join(groups, "source_col")
+    return every.join(own, ["model", "region"], "left").filter(inside).select("model", "region", "grp")
+
+
 def region_witness(
     regions: DataFrame, schema: DataFrame, bounds: DataFrame, sensitive: str, pairs: DataFrame
 ) -> DataFrame:

@@ -168,12 +168,17 @@ def pair_documents(
     dataset: str,
     sensitive: str,
     metadata: DataFrame | None = None,
-    scope: str = "observed rows",
+    scope: str | dict[str, str] = "observed rows",
 ) -> DataFrame:
     """One nested row per model: overall status, all pairs in order, the first counterexample.
 
-    Only the first violated pair carries its example. ``metadata`` may add columns per model.
+    Only the first violated pair carries its example. ``metadata`` may add columns per model; ``scope`` is one text
+    or one per model.
     """
+    if isinstance(scope, dict):
+        said = F.create_map(*[F.lit(x) for pair in scope.items() for x in pair])[F.col("model")]
+    else:
+        said = F.lit(scope)
     key = ["model", "source_group", "target_group"]
     details = examples.select(
         *key,
@@ -199,7 +204,7 @@ def pair_documents(
         F.lit(dataset).alias("dataset"),
         "model",
         F.lit(sensitive).alias("sensitive_attribute"),
-        F.lit(scope).alias("encoding_scope"),
+        said.alias("encoding_scope"),
         F.lit(PROPERTY.format(sensitive)).alias("fairness_property"),
         "overall_status",
         "pair_checks",

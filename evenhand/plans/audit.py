@@ -89,46 +89,59 @@ NO_WITNESS = (
 )
 
 
+def _by_encoder(scorers: list) -> list[tuple]:
+    """Models in groups that share an encoder and have different names, in the order they first come up."""
+    groups: list[tuple] = []
+    for s in scorers:
+        own = next((m for e, m in groups if e == s.encoder and s.name not in [x.name for x in m]), None)
+        if own is None:
+            groups.append((s.encoder, [s]))
+        else:
+            own.append(s)
+    return groups
+
+
 def box_documents(frame: AuditFrame, scorers: list, dataset: str) -> DataFrame:
     """Pair-check documents over the whole feature box of the frame.
 
-    The bounds are one pass per encoder; the checks themselves work on the models only. Every model has a
-    document: one that does not see the sensitive column cannot tell the groups apart, and for one that
-    sees it as a number the pairs are undecided.
+    The bounds are one pass per encoder; the checks themselves work on the models only, all linear models of an
+    encoder together. Every model has a document: one that does not see the sensitive column cannot tell the groups
+    apart, and one that sees it as a number is checked at the values of the groups.
     """
     spark = frame.df.sparkSession
-    out, known = None, {}
-    for scorer in scorers:
-        schema = scorer.encoder.schema_table(spark)
-        if scorer.encoder.block(frame.sensitive) is None:
-            seen = any(f.source == frame.sensitive for f in scorer.encoder.numeric)
+    parts = []
+    for encoder, members in _by_encoder(scorers):
+        schema = encoder.schema_table(spark)
+        numeric = next((f for f in encoder.numeric if f.source == frame.sensitive), None)
+        if encoder.block(frame.sensitive) is None and numeric is None:
+            names = F.explode(F.array(*[F.lit(s.name) for s in members])).alias("model")
             pairs = settle(
-                paircheck.group_pairs(frame.df, frame.sensitive).select(
-                    F.lit(scorer.name).alias("model"), "source_group", "target_group",
-                    F.lit("unknown" if seen else "unsat").alias("status"),
-                )
+                paircheck.group_pairs(frame.df, frame.sensitive)
+                .select("source_group", "target_group", F.lit("unsat").alias("status"), names)
             )
-            part = paircheck.pair_documents(
-                pairs, spark.createDataFrame([], NO_WITNESS), dataset, frame.sensitive, model_facts(frame, [scorer]),
-                BOX_SCOPES[scorer.kind],
-            )
-            out = part if out is None else out.unionByName(part)
+            parts += [(members, pairs, spark.createDataFrame([], NO_WITNESS))]
             continue
-        if scorer.encoder not in known:
-            known[scorer.encoder] = settle(scorer.encoder.bounds_table(frame.df))
-        bounds = known[scorer.encoder]
-        if scorer.kind == "logreg":
-            terms = boxcheck.linear_terms(S.weight_table(spark, [scorer]), schema, bounds)
+        bounds = settle(encoder.bounds_table(frame.df))
+        values = None if numeric is None else boxcheck.group_values(frame, numeric)
+        linear = [s for s in members if s.kind == "logreg"]
+        if linear:
+            terms = boxcheck.linear_terms(S.weight_table(spark, linear), schema, bounds)
+            if values is not None:
+                terms = boxcheck.pinned_terms(terms, values, frame.sensitive)
             columns = boxcheck.categorical_columns(schema, frame.sensitive)
             stages = boxcheck.fold_intervals(terms, columns, frame.sensitive)
             pairs = settle(boxcheck.linear_box_pairs(terms, schema, frame.sensitive, stages))
-            examples = boxcheck.linear_witness(terms, schema, frame.sensitive, pairs, stages)
-        else:
-            regions = boxcheck.disjoint_regions(S.rule_table(spark, [scorer]))
-            pairs = settle(boxcheck.region_box_pairs(regions, schema, bounds, frame.sensitive))
-            examples = boxcheck.region_witness(regions, schema, bounds, frame.sensitive, pairs)
+            parts += [(linear, pairs, boxcheck.linear_witness(terms, schema, frame.sensitive, pairs, stages))]
+        others = [s for s in members if s.kind != "logreg"]
+        if others:
+            regions = boxcheck.disjoint_regions(S.rule_table(spark, others))
+            pairs = settle(boxcheck.region_box_pairs(regions, schema, bounds, frame.sensitive, values))
+            parts += [(others, pairs, boxcheck.region_witness(regions, schema, bounds, frame.sensitive, pairs))]
+    out = None
+    for members, pairs, examples in parts:
+        scopes = {s.name: BOX_SCOPES[s.kind] for s in members}
         part = paircheck.pair_documents(
-            pairs, examples, dataset, frame.sensitive, model_facts(frame, [scorer]), BOX_SCOPES[scorer.kind]
+            pairs, examples, dataset, frame.sensitive, model_facts(frame, members), scopes
         )
         out = part if out is None else out.unionByName(part)
     return out

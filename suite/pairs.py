@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evenhand import AuditFrame
 from evenhand.operators import agreement, boxcheck, fitting, paircheck
 from evenhand.operators import scorers as S
-from evenhand.operators.features import CategoricalBlock, Encoder
+from evenhand.operators.features import CategoricalBlock, Encoder, NumericFeature
 from evenhand.plans import audit
 from evenhand.session import settle
 from suite import models, sql
@@ -249,6 +250,74 @@ def g4_box_regions_witness(spark, folder):
     return boxcheck.region_witness(regions, schema, bounds, "c_mktsegment", pairs)
 
 
+# ---- a sensitive column that models see as a number --------------------------------------------
+
+_TOXIC_ENCODER = Encoder(
+    (NumericFeature("n_chars", None, 2500.0, 3000.0), NumericFeature("toxic", None, 0.25, 0.5)), (models.DOCS_ENCODER.blocks[1],)
+)
+_TOXIC_LINEAR = [
+    S.LinearScorer("seen", _TOXIC_ENCODER, {"n_chars": 0.5, "toxic": 0.8, "lang=de": 0.1, "lang=en": -0.2}, 0.15),
+    S.LinearScorer("out_of_reach", _TOXIC_ENCODER, {"toxic": 0.8, "lang=de": 0.1, "lang=en": -0.2}, 5.0),
+    S.LinearScorer("unused", _TOXIC_ENCODER, {"n_chars": 0.5, "lang=de": 0.1}, 0.15),
+]
+_TOXIC_RULES = [
+    S.TreeScorer(
+        "tree", _TOXIC_ENCODER,
+        (S.Node(0, "toxic", 0.0, 1, 2), S.Node(1, n0=9, n1=1), S.Node(2, "lang=fr", 0.5, 3, 4), S.Node(3, n0=9, n1=1), S.Node(4, n0=1, n1=9)),
+    ),
+    S.RuleListScorer("rulelist", _TOXIC_ENCODER, (S.Rule((("toxic", ">", 2.0), ("n_chars", ">", 0.0)), 1, 0.9),), 0),
+]
+
+
+def toxic_frame(spark, folder):
+    f = docs_frame(spark, folder)
+    return AuditFrame(f.df, "label", "toxic", ("n_chars", "toxic"), ("lang",), row_id="row_id")
+
+
+def _toxic_box(members):
+    def run(spark, folder):
+        docs = audit.box_documents(toxic_frame(spark, folder), members, "documents")
+        return docs.select("model", "overall_status", F.inline("pair_checks")).select(
+            "model", "overall_status", "source_group", "target_group", "status"
+        )
+
+    return run
+
+
+query(
+    "g3_box_numeric_sensitive",
+    sql.with_(
+        sql.frame("da"),
+        "b AS (SELECT min((n_chars - 2500.0e0) / 3000.0e0) AS lo, max((n_chars - 2500.0e0) / 3000.0e0) AS hi FROM da)",
+        "g AS (SELECT DISTINCT CAST(toxic AS VARCHAR) AS g, (toxic - 0.25e0) / 0.5e0 AS z FROM da)",
+        "m AS (SELECT * FROM (VALUES ('seen', 0.15e0, 0.5e0, 0.8e0, 0.1e0, -0.2e0), ('out_of_reach', 5.0e0, 0.0e0, 0.8e0, 0.1e0, -0.2e0), "
+        "('unused', 0.15e0, 0.5e0, 0.0e0, 0.1e0, 0.0e0)) t(model, b0, wn, wt, de, en))",
+        "iv AS (SELECT model, wt, b0 + least(wn * lo, wn * hi) + w AS l, b0 + greatest(wn * lo, wn * hi) + w AS h "
+        "FROM m, b, LATERAL (SELECT unnest([de, en, 0.0e0]) AS w))",
+        "p AS (SELECT model, x.g AS source_group, y.g AS target_group, "
+        "CASE WHEN bool_or(wt <> 0 AND h > -greatest(wt * x.z, wt * y.z) AND l <= -least(wt * x.z, wt * y.z)) THEN 'sat' ELSE 'unsat' END AS status "
+        "FROM iv, g x, g y WHERE x.g <> y.g GROUP BY 1, 2, 3)",
+        select="SELECT model, CASE WHEN bool_or(status = 'sat') OVER (PARTITION BY model) THEN 'SAT' ELSE 'UNSAT' END AS overall_status, "
+        "source_group, target_group, status FROM p",
+    ),
+)(_toxic_box(_TOXIC_LINEAR))
+query(
+    "g4_box_numeric_sensitive",
+    sql.with_(
+        sql.frame("da"),
+        "g AS (SELECT DISTINCT CAST(toxic AS VARCHAR) AS g, (toxic - 0.25e0) / 0.5e0 AS z FROM da)",
+        "c AS (SELECT lang, zc, g, z FROM (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang), "
+        "(SELECT (unnest([min(n_chars), max(n_chars)]) - 2500.0e0) / 3000.0e0 AS zc FROM da), g)",
+        "s AS (SELECT 'tree' AS model, lang, zc, g, CASE WHEN z <= 0 THEN 0 WHEN lang = 'fr' THEN 1 ELSE 0 END AS pred FROM c "
+        "UNION ALL SELECT 'rulelist', lang, zc, g, CASE WHEN z > 2 AND zc > 0 THEN 1 ELSE 0 END FROM c)",
+        "p AS (SELECT x.model, x.g AS source_group, y.g AS target_group, CASE WHEN bool_or(x.pred <> y.pred) THEN 'sat' ELSE 'unsat' END AS status "
+        "FROM s x JOIN s y ON x.model = y.model AND x.lang = y.lang AND x.zc = y.zc AND x.g <> y.g GROUP BY 1, 2, 3)",
+        select="SELECT model, CASE WHEN bool_or(status = 'sat') OVER (PARTITION BY model) THEN 'SAT' ELSE 'UNSAT' END AS overall_status, "
+        "source_group, target_group, status FROM p",
+    ),
+)(_toxic_box(_TOXIC_RULES))
+
+
 # ---- agreement ---------------------------------------------------------------------------------
 
 

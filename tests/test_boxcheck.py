@@ -240,4 +240,67 @@ def test_no_model_is_without_a_document(spark):
     models = [LinearScorer("blind", blind, {"x": 0.5}, 0.1), LinearScorer("number", number, {"x": 0.5, "s": 0.3}, 0.1)]
     docs = {r["model"]: r for r in audit.box_documents(f, models, "d").collect()}
     assert docs["blind"]["overall_status"] == "UNSAT" and len(docs["blind"]["pair_checks"]) == 2
-    assert docs["number"]["overall_status"] == "UNKNOWN" and docs["number"]["first_counterexample"] is None
+    # a group that a model sees as a number is checked at its value
+    assert docs["number"]["overall_status"] == "SAT"
+    assert docs["number"]["first_counterexample"]["example_x"]["s"] == docs["number"]["first_counterexample"]["source_group"]
+
+
+VALUES = (0.0, 1.0, 3.0)  # of a sensitive column that models see as a number
+NUMERIC = Encoder(
+    (NumericFeature("x", None, 1.0, 2.0), NumericFeature("s", None, 0.5, 2.0)), (CategoricalBlock("c", ("u", "v", "w")),)
+)
+
+
+def _numeric_frame(spark, xs):
+    rows = [(i, x, c, s, 0) for i, (x, c, s) in enumerate(itertools.product(xs, "uvw", VALUES))]
+    df = spark.createDataFrame(rows, "id int, x double, c string, s double, y int")
+    return AuditFrame(df, "y", "s", ("x", "s"), ("c",), row_id="id")
+
+
+def _document_statuses(docs):
+    return {(d["model"], p["source_group"], p["target_group"]): p["status"] for d in docs.collect() for p in d["pair_checks"]}
+
+
+def test_numeric_sensitive_linear_equals_one_hot(spark):
+    rng = random.Random(21)
+    grid = [0.0, 0.25, -0.25, 0.5, 3.0]
+    frame = _numeric_frame(spark, (-1.0, 3.0))
+    groups = tuple(str(v) for v in VALUES)
+    one_hot = Encoder((NUMERIC.numeric[0],), (*NUMERIC.blocks, CategoricalBlock("s", groups)))
+    numeric, listed = [], []
+    for i in range(14):
+        shared = {n: rng.choice(grid) for n in ("x", "c=u", "c=v", "c=w")}
+        w = rng.choice([0.0, 0.25, -0.5, 1.0])
+        numeric.append(LinearScorer(f"m{i}", NUMERIC, {**shared, "s": w}, rng.choice([-4.0, 0.0, 0.5, 9.0])))
+        fixed = {f"s={g}": w * ((v - 0.5) / 2.0) for g, v in zip(groups, VALUES)}
+        listed.append(LinearScorer(f"m{i}", one_hot, {**shared, **fixed}, numeric[-1].intercept))
+    docs = audit.box_documents(frame, numeric, "d")
+    got = _document_statuses(docs)
+    assert got == _document_statuses(audit.box_documents(frame, listed, "d"))
+    assert set(got.values()) == {"sat", "unsat"} and len(got) == 14 * 6
+    for d in docs.collect():  # the witness is an input of the box that shows the violation
+        if d["overall_status"] == "SAT":
+            first, model = d["first_counterexample"], next(m for m in numeric if m.name == d["model"])
+            assert first["prediction_x"] != first["prediction_y"]
+            for side in ("x", "y"):
+                e = first[f"example_{side}"]
+                score = model.intercept + model.weights["x"] * (float(e["x"]) - 1.0) / 2.0 + model.weights[f"c={e['c']}"]
+                score += model.weights["s"] * (float(e["s"]) - 0.5) / 2.0
+                assert int(score > 1e-9) == first[f"prediction_{side}"] or abs(score) < 1e-6
+
+
+def test_numeric_sensitive_regions_equal_enumeration(spark):
+    rng = random.Random(22)
+    cuts = [-0.75, -0.25, 0.0, 0.25, 0.75, 1.25]
+    xs = [1.0 + 2.0 * z for z in (-1.0, 1.0, *(t + e for t in cuts[:5] for e in (0.0, 0.01)))]
+    frame = _numeric_frame(spark, sorted(xs))
+    scorers = []
+    for i in range(10):
+        rules = tuple(
+            Rule(tuple((f, rng.choice(["<=", ">"]), 0.5 if "=" in f else rng.choice(cuts)) for f in rng.sample(["x", "s", "s", "c=u"], 2)), rng.randrange(2), 0.5)
+            for _ in range(3)
+        )
+        scorers.append(RuleListScorer(f"r{i}", NUMERIC, rules, rng.randrange(2)))
+    got = _document_statuses(audit.box_documents(frame, scorers, "d"))
+    observed = _document_statuses(audit.observed_documents(frame, scorers, "d"))
+    assert got == observed and set(got.values()) == {"sat", "unsat"}
