@@ -2,126 +2,115 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenhand.functions.expressions import plain
 from evenhand.session import shared_folder
 
-HISTOGRAM_BUCKETS = 2048
-SMALL_ROWS = 1_000_000
+DIGIT_BITS = 11
+#: No search takes more passes than a 64-bit key has digits.
+MOST_PASSES = -(-64 // DIGIT_BITS)
+_TOP = 1 << 63
+
+
+def ordered_key(value: str, integral: bool) -> str:
+    """Expression text of a bigint in the order of the values.
+
+    A whole number is its own key. A double's key are its bits, as sign and size: they are computed from its exponent
+    and fraction, which is exact, because a power of two divides without rounding.
+    """
+    if integral:
+        return f"CAST({value} AS BIGINT)"
+    a, guess = f"abs({value})", f"floor(log2(abs({value})))"
+    # the logarithm may be one off at a power of two
+    exponent = f"CAST(CASE WHEN {a} < pow(2D, {guess}) THEN {guess} - 1 WHEN {a} >= pow(2D, {guess} + 1) THEN {guess} + 1 ELSE {guess} END AS BIGINT)"
+    whole = f"CAST(({a} / pow(2D, {exponent}) - 1D) * {float(1 << 52)!r}D AS BIGINT)"
+    size = (
+        f"CASE WHEN {a} = 0D THEN 0L WHEN {a} = double('Infinity') THEN {2047 << 52}L "
+        f"WHEN {a} < 2.2250738585072014E-308D THEN CAST({a} * {2.0**537!r}D * {2.0**537!r}D AS BIGINT) "
+        f"ELSE ({exponent} + 1023L) * {1 << 52}L + {whole} END"
+    )
+    return f"CASE WHEN {value} < 0D THEN -({size}) ELSE {size} END"
+
+
+def value_of_key(key: int, integral: bool) -> int | float:
+    if integral:
+        return key
+    size = struct.unpack("<d", struct.pack("<Q", abs(key)))[0]
+    return -size if key < 0 else size
 
 
-def order_statistics(
-    df: DataFrame, targets: dict[str, list[int]], bounds: dict[str, tuple] | None = None
-) -> dict[str, dict[int, float]]:
-    """The k-th smallest (0-based) non-null value of numeric columns, exactly.
+def order_statistics(df: DataFrame, targets: dict[str, list[int]], passes: list | None = None) -> dict[str, dict[int, float]]:
+    """The k-th smallest (0-based) non-null value of numeric columns, exactly; NaN is no value.
 
-    Every pass counts the still possible values of all columns in equal-width buckets (one
-    partially aggregated job, at most columns × buckets rows come back) and keeps the bucket that
-    holds the wanted rank, until that bucket holds one distinct value.
+    Radix selection over ordered keys. Every pass counts the still possible values of all columns by the next 11 bits
+    in which they can differ (one partially aggregated job; at most 2,048 lines a search come back), and keeps the
+    bucket that holds the wanted rank, with its least and largest key. So there are at most six passes, whatever the
+    values and however many, and fewer where a bucket holds one value. ``passes``, if given, receives an entry per pass.
     """
     columns = [c for c, ks in targets.items() if ks]
     if not columns:
         return {}
     integral = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    numbered = {c: f"_k{i}" for i, c in enumerate(columns)}
 
-    def value(c: str) -> Column:
-        v = F.col(c).cast("bigint" if c in integral else "double")
-        return v if c in integral else F.when(~F.isnan(v), v)
+    def key(c: str) -> Column:
+        raw = plain(c) if c in integral else f"nullif(CAST({plain(c)} AS DOUBLE), double('NaN'))"
+        return F.expr(raw)
 
-    if bounds is None:
-        row = df.agg(
-            *[F.min(value(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
-            *[F.max(value(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
-        ).first()
-        bounds = {c: (row[f"lo_{i}"], row[f"hi_{i}"]) for i, c in enumerate(columns)}
+    values = df.select(*[key(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    keys = values.select(*[F.expr(ordered_key(f"_v{i}", c in integral)).alias(numbered[c]) for i, c in enumerate(columns)])
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    # open searches: (column, wanted rank, values below the interval, low, high)
-    searches = []
-    for c in columns:
-        if bounds[c][0] is None:
-            raise ValueError(f"column {c} has no values to rank")
-        searches += [(c, k, 0, *bounds[c]) for k in sorted(set(targets[c]))]
-    while True:
-        for c, k, _, lo, hi in searches:
-            if lo == hi:
-                found[c][k] = lo
-        searches = [s for s in searches if s[3] != s[4]]
-        if not searches:
-            return found
+    # open searches: (column, wanted rank, values below the interval, least and largest key)
+    searches = [(c, k, 0, -_TOP, _TOP - 1) for c in columns for k in sorted(set(targets[c]))]
+    while searches:
         intervals = sorted({(c, below, lo, hi) for c, _, below, lo, hi in searches})
         slots = []
         for i, (c, _, lo, hi) in enumerate(intervals):
-            v = value(c)
-            slots.append(
-                F.struct(
-                    F.lit(i).alias("search"),
-                    F.when(v.between(F.lit(lo), F.lit(hi)), _bucket(v, lo, hi)).alias("bucket"),
-                    (v if c in integral else F.lit(None).cast("bigint")).alias("whole"),
-                    (F.lit(None).cast("double") if c in integral else v).alias("real"),
-                )
-            )
+            # both ends share the bits above those in which they differ
+            shift = max(((lo ^ hi) & (2 * _TOP - 1)).bit_length() - DIGIT_BITS, 0)
+            name = numbered[c]
+            digit = F.shiftrightunsigned(F.col(name).bitwiseXOR(F.lit(-_TOP)), shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+            inside = F.col(name).between(F.lit(lo), F.lit(hi))
+            slots.append(F.struct(F.lit(i).alias("search"), F.when(inside, digit).alias("digit"), F.col(name).alias("key")))
         counted = (
-            df.select(F.inline(F.array(*slots)))
-            .filter("bucket is not null")
-            .groupBy("search", "bucket")
-            .agg(
-                F.count("*").alias("n"),
-                F.coalesce(F.min("whole").cast("string"), F.min("real").cast("string")).alias("lo"),
-                F.coalesce(F.max("whole").cast("string"), F.max("real").cast("string")).alias("hi"),
-            )
+            keys.select(F.inline(F.array(*slots)))
+            .filter("digit is not null")
+            .groupBy("search", "digit")
+            .agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         )
         histogram: dict[int, list] = {}
-        for r in counted.collect():  # at most HISTOGRAM_BUCKETS rows per search
+        for r in counted.collect():
             histogram.setdefault(r["search"], []).append(r)
-        narrowed = []
+        if passes is not None:
+            passes.append(len(searches))
+        left = []
         for c, k, below, lo, hi in searches:
-            cast = int if c in integral else float
             seen = below
-            for r in sorted(histogram[intervals.index((c, below, lo, hi))], key=lambda r: r["bucket"]):
+            for r in sorted(histogram.get(intervals.index((c, below, lo, hi)), []), key=lambda r: r["lo"]):
                 if k < seen + r["n"]:
-                    narrowed.append((c, k, seen, cast(r["lo"]), cast(r["hi"])))
+                    if r["lo"] == r["hi"]:
+                        found[c][k] = value_of_key(r["lo"], c in integral)
+                    else:
+                        left.append((c, k, seen, r["lo"], r["hi"]))
                     break
                 seen += r["n"]
             else:
                 raise ValueError(f"rank {k} is beyond the {seen} values of {c}")
-        searches = narrowed
-
-
-def _bucket(v: Column, lo, hi) -> Column:
-    """Equal-width bucket number of a value in [lo, hi]; lo and hi never share a bucket."""
-    last = HISTOGRAM_BUCKETS - 1
-    if isinstance(lo, int) and hi - lo < 1 << 62:
-        step = -(-(hi - lo + 1) // HISTOGRAM_BUCKETS)
-        return F.call_function("div", v - F.lit(lo), F.lit(step)).cast("int")
-    share = (v.cast("double") / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
-    bucket = F.least(F.floor(share * HISTOGRAM_BUCKETS), F.lit(last))
-    return F.when(v == F.lit(hi), last).otherwise(bucket).cast("int")
-
-
-def exact_medians(
-    df: DataFrame,
-    columns: list[str],
-    counts: dict[str, int],
-    bounds: dict[str, tuple] | None = None,
-    small_rows: int = SMALL_ROWS,
-) -> dict[str, float | None]:
-    """Interpolated medians. Up to ``small_rows`` values the built-in aggregate is used (it keeps
-    every distinct value in one task); beyond that the bucket search above."""
-    medians: dict[str, float | None] = {c: None for c in columns if not counts[c]}
-    small = [c for c in columns if 0 < counts[c] <= small_rows]
-    large = [c for c in columns if counts[c] > small_rows]
-    if small:
-        row = df.agg(*[F.median(F.col(c)).alias(f"m_{i}") for i, c in enumerate(small)]).first()
-        medians.update({c: float(row[f"m_{i}"]) for i, c in enumerate(small)})
-    if large:
-        wanted = {c: sorted({(counts[c] - 1) // 2, counts[c] // 2}) for c in large}
-        found = order_statistics(df, wanted, {c: bounds[c] for c in large} if bounds else None)
-        for c in large:
-            low, high = wanted[c][0], wanted[c][-1]
-            medians[c] = (float(found[c][low]) + float(found[c][high])) / 2
-    return medians
+        searches = left
+    return found
+
+
+def exact_medians(df: DataFrame, columns: list[str], counts: dict[str, int]) -> dict[str, float | None]:
+    """Interpolated medians of columns with ``counts`` values each, None without a value."""
+    wanted = {c: sorted({(counts[c] - 1) // 2, counts[c] // 2}) for c in columns if counts[c]}
+    found = order_statistics(df, wanted)
+    middle = {c: (float(found[c][ks[0]]) + float(found[c][ks[-1]])) / 2 for c, ks in wanted.items()}
+    return {c: middle.get(c) for c in columns}
 
 
 def dense_index(df: DataFrame, keys: list[str], name: str = "row_index") -> DataFrame:

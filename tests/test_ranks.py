@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import statistics
+import struct
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,11 +37,55 @@ def test_rank_out_of_range(spark):
         ranks.order_statistics(df, {"a": [5]})
 
 
-@pytest.mark.parametrize("values", [[1.0, 2.0, 4.0, 10.0], [3.0], [1.0, None, 2.0], [5.0, 5.0, 5.0, 5.0]])
+@pytest.mark.parametrize("values", [[1.0, 2.0, 4.0, 10.0], [3.0], [1.0, None, 2.0], [5.0, 5.0, 5.0, 5.0], [None, None]])
 def test_medians_agree(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    n = {"x": len([v for v in values if v is not None])}
-    assert ranks.exact_medians(df, ["x"], n) == ranks.exact_medians(df, ["x"], n, small_rows=0)
+    known = [v for v in values if v is not None]
+    assert ranks.exact_medians(df, ["x"], {"x": len(known)}) == {"x": statistics.median(known) if known else None}
+
+
+EDGES = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 0.1, 1e300, math.inf, -math.inf, sys.float_info.max]
+
+
+def test_keys_are_the_bits_of_a_double(spark):
+    rng = random.Random(2)
+    powers = [2.0**e for e in range(-1074, 1024)]
+    values = EDGES + powers + [math.nextafter(p, 0) for p in powers] + [math.nextafter(p, math.inf) for p in powers]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", F.expr(ranks.ordered_key("x", False)).alias("k")).collect()
+    for r in got:
+        bits = struct.unpack("<Q", struct.pack("<d", abs(r["x"])))[0]
+        assert r["k"] == (-bits if r["x"] < 0 else bits), r["x"]
+        assert ranks.value_of_key(r["k"], False) == r["x"]
+
+
+def test_number_of_passes_over_all_decades(spark):
+    rng = random.Random(9)
+    decades = [rng.choice([-1, 1]) * rng.uniform(1, 10) * 10.0**e for e in range(-305, 305) for _ in range(6)]
+    close = [1.0 + i * 2.0**-52 for i in range(3000)]
+    whole = [rng.choice([-1, 1]) * rng.getrandbits(63) for _ in range(3000)]
+    rows = list(zip(decades[:3000], close, whole, strict=True))
+    df = spark.createDataFrame(rows, "a double, b double, c bigint")
+    passes: list = []
+    found = ranks.order_statistics(df, {c: [0, 1234, 1500, 2999] for c in "abc"}, passes)
+    for i, c in enumerate("abc"):
+        values = sorted(r[i] for r in rows)
+        assert found[c] == {k: values[k] for k in (0, 1234, 1500, 2999)}
+    assert len(passes) <= ranks.MOST_PASSES == 6
+    more = df.union(df.selectExpr("a * 3", "b", "c")).union(df)
+    again: list = []
+    ranks.order_statistics(more, {"a": [0, 4000]}, again)
+    assert len(again) <= 6
+
+
+def test_nan_and_missing_are_no_values(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (2.0, None), (None, 3), (1.0, 2)], "x double, n int")
+    assert ranks.order_statistics(df, {"x": [0, 1], "n": [2]}) == {"x": {0: 1.0, 1: 2.0}, "n": {2: 3}}
+    with pytest.raises(ValueError):
+        ranks.order_statistics(df, {"x": [2]})
+    assert ranks.order_statistics(df, {"x": []}) == {}
 
 
 def test_dense_index_with_repeated_leading_key(spark):
