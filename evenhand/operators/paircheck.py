@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from evenhand.frame import AuditFrame
 from evenhand.functions.expressions import Lookup, as_group, plain
 from evenhand.operators.features import Encoder
-from evenhand.operators.metrics import resolve_groups
-from evenhand.operators.probes import bit_of, mask_columns, response_counts
+from evenhand.operators.metrics import group_table, resolve_groups
+from evenhand.operators.probes import BITS, _array, has_pattern, mask_columns, response_counts
 from evenhand.operators.scorers import of_model, with_tables
+from evenhand.session import settle
 
 # Fixed value: the text of the checked property, as readers of the documents expect it.
 PROPERTY = (
@@ -23,17 +24,19 @@ PROPERTY = (
 )
 # Reported next to the status for compatibility; the bound does not limit anything.
 CE_BOUND = 100
+PAIR_PARTS = 16
 
 
 def group_pairs(df: DataFrame, sensitive: str) -> DataFrame:
     """Ordered pairs of distinct groups."""
-    groups = df.select(F.col(sensitive).cast("string").alias("g")).filter("g is not null").distinct()
-    listed = groups.agg(F.array_sort(F.collect_list("g")).alias("gs"))
-    return (
-        listed.select("gs", F.explode("gs").alias("source_group"))
-        .select("source_group", F.explode("gs").alias("target_group"))
-        .filter("source_group <> target_group")
-    )
+    return _pairs_of(group_table(df, sensitive))
+
+
+def _pairs_of(groups: DataFrame) -> DataFrame:
+    """All ordered pairs of the lines of a table of groups, dealt over several tasks by the second group."""
+    sources = groups.select(F.col("g").alias("source_group"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1))).alias("_part"))
+    targets = groups.select(F.col("g").alias("target_group"), F.pmod(F.hash("g"), F.lit(PAIR_PARTS)).alias("_part"))
+    return sources.join(targets, "_part").filter("source_group <> target_group").drop("_part")
 
 
 def observed_pairs(
@@ -41,32 +44,53 @@ def observed_pairs(
 ) -> DataFrame:
     """Status of every ordered pair over all rows; every row serves as source and as target.
 
-    The rows are folded into response patterns first; only the few distinct patterns meet the pairs.
+    The rows are folded into response patterns first. A pattern makes a line only for two groups that differ in it,
+    one with a 1 and one with a 0; pairs of which no pattern tells are unviolated. Rows without a prediction in some
+    group are not checked.
     """
     groups = resolve_groups(frame, groups)
     counts = response_counts(frame, scorers, groups) if counts is None else counts
     masks = mask_columns(groups)
     has_rows = "first_row" in counts.columns
-    patterns = counts.groupBy("model", *masks).agg(
+    patterns = counts.filter(has_pattern(groups)).groupBy("model", *masks).agg(
         F.sum("n").alias("n"), *([F.min("first_row").alias("first_row")] if has_rows else [])
     )
-    members = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(g).alias("g")) for i, g in enumerate(groups)])
-    kept = ["model", "n", *masks, *(["first_row"] if has_rows else [])]
-    differs = bit_of(F.col("src.i"), groups) != bit_of(F.col("dst.i"), groups)
-    expanded = (
-        patterns.select(*kept, F.explode(members).alias("src"))
-        .select(*kept, "src", F.explode(members).alias("dst"))
-        .filter(F.col("src.i") != F.col("dst.i"))
-        .withColumn("differs", differs)
+    if len(groups) > 1:
+        patterns = settle(patterns)
+    listed = f"array({', '.join(masks)})"
+    bit = f"shiftright({listed}[i div {BITS}], CAST(i % {BITS} AS INT)) & 1L"
+    members = f"filter(sequence(0, {len(groups) - 1}), i -> {bit} = {{}})" if groups else "CAST(array() AS ARRAY<INT>) -- {}"
+    kept = ["model", "n", *(["first_row"] if has_rows else [])]
+    names = _array(groups)
+    differing = (
+        patterns.select(*kept, F.expr(members.format("1L")).alias("ones"), F.expr(members.format("0L")).alias("zeros"))
+        .filter((F.size("ones") > 0) & (F.size("zeros") > 0))
+        .select(*kept, F.explode("ones").alias("a"), "zeros")
+        .select(*kept, "a", F.explode("zeros").alias("b"))
+        .groupBy("model", "a", "b")
+        .agg(F.sum("n").alias("n"), *([F.min("first_row").alias("first_row")] if has_rows else []))
     )
-    flips = F.sum(F.when(F.col("differs"), F.col("n")).otherwise(F.lit(0)))
-    return expanded.groupBy(
-        "model", F.col("src.g").alias("source_group"), F.col("dst.g").alias("target_group")
-    ).agg(
-        F.when(F.bool_or("differs"), "sat").otherwise("unsat").alias("status"),
-        F.sum("n").alias("rows_checked"),
-        flips.alias("violations"),
-        *([F.min(F.when(F.col("differs"), F.col("first_row"))).alias("first_row")] if has_rows else []),
+    both = F.inline(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))))
+    violations = (
+        differing.select(*kept, both)
+        .groupBy("model", F.get(names, F.col("i")).alias("source_group"), F.get(names, F.col("j")).alias("target_group"))
+        .agg(F.sum("n").alias("violations"), *([F.min("first_row").alias("first_row")] if has_rows else []))
+    )
+    spark = frame.df.sparkSession
+    rows = patterns.groupBy("model").agg(F.sum("n").alias("rows_checked"))
+    every = _pairs_of(spark.createDataFrame([(g,) for g in groups], "g string"))
+    every = every.withColumn("model", F.explode(F.array(*[F.lit(s.name) for s in scorers])))
+    key = ["model", "source_group", "target_group"]
+    return (
+        every.join(violations, key, "left")
+        .join(rows, "model")
+        .select(
+            *key,
+            F.when(F.col("violations") > 0, "sat").otherwise("unsat").alias("status"),
+            "rows_checked",
+            F.coalesce("violations", F.lit(0)).alias("violations"),
+            *(["first_row"] if has_rows else []),
+        )
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
@@ -13,7 +13,12 @@ from evenhand.operators.ranks import dense_index
 from evenhand.operators.scorers import count_models, of_model, table_columns, with_tables
 
 BITS = 62
+#: Groups up to which a row's prediction in each of them is an expression of its own; beyond, one for all. Same bits.
+INLINE_GROUPS = 2 * BITS
 BROADCAST_DRAWS = 1_000_000
+DISTANCE_BUCKETS = 4096
+#: Parts in which the nearest rows are ranked before the last ranking.
+RANK_PARTS = 32
 
 
 def check_sensitive(frame: AuditFrame, scorers: list, allow_blind: bool = False) -> None:
@@ -23,8 +28,12 @@ def check_sensitive(frame: AuditFrame, scorers: list, allow_blind: bool = False)
         raise ValueError(f"the sensitive column is not a feature of {blind}")
 
 
+def _array_text(groups: list[str]) -> str:
+    return f"CAST(array({', '.join(literal(g) for g in groups)}) AS ARRAY<STRING>)"
+
+
 def _array(groups: list[str]) -> Column:
-    return F.array(*[F.lit(g) for g in groups]).cast("array<string>")
+    return F.expr(_array_text(groups))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -38,14 +47,20 @@ def response_counts(frame: AuditFrame, scorers: list, groups: list[str]) -> Data
     Bit i of the pattern is the prediction of the row if its sensitive value were ``groups[i]``
     (``mask_j`` holds 62 groups each). A row costs one scoring per group, not per pair, and the
     shuffle carries distinct patterns only, so neither the alternatives nor the pairs of groups are
-    ever expanded over the data. The full probe and the pair check both read this table.
+    ever expanded over the data. The full probe and the pair check both read this table. With many groups the
+    prediction is written once and applied to each of them; a row without a prediction has no pattern.
     """
     values = []
     for m in scorers:
-        pinned = [m(as_group(frame.sensitive, literal(g))).pred_text for g in groups]
         texts = {"pred": m().pred_text}
+        together = m(as_group(frame.sensitive, "_g")).pred_text if len(groups) > INLINE_GROUPS else None
         for j, name in enumerate(mask_columns(groups)):
-            bits = [f"{1 << i}L * {p}" for i, p in enumerate(pinned[j * BITS : (j + 1) * BITS])]
+            part = groups[j * BITS : (j + 1) * BITS]
+            if together is not None:
+                shifted = f"transform({_array_text(part)}, (_g, _i) -> shiftleft(CAST({together} AS BIGINT), _i))"
+                texts[name] = f"aggregate({shifted}, 0L, (_a, _b) -> _a + _b)"
+                continue
+            bits = [f"{1 << i}L * {m(as_group(frame.sensitive, literal(g))).pred_text}" for i, g in enumerate(part)]
             texts[name] = f"({' + '.join(bits) or '0L'})"
         values.append((m, texts))
     renamed = {"_label": F.col(frame.label), "_grp": F.col(frame.sensitive).cast("string")}
@@ -71,17 +86,29 @@ def bit_of(position: Column, groups: list[str]) -> Column:
     return out
 
 
+def has_pattern(groups: list[str]) -> Column:
+    """Whether a line of the response counts has a prediction in every group."""
+    out = F.lit(True)
+    for name in mask_columns(groups):
+        out = out & F.col(name).isNotNull()
+    return out
+
+
 def full_probe_counts(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """Full-probe totals and quality per model, from the response counts."""
+    """Full-probe totals and quality per model, from the response counts.
+
+    Rows without a prediction, their own or in some group, are no checks.
+    """
     ones = F.lit(0).cast("bigint")
     for name in mask_columns(groups):
         ones = ones + F.bit_count(F.col(name))
     position = F.array_position(_array(groups), F.col("grp")) - 1
     known = F.coalesce(position >= 0, F.lit(False))
     own = F.when(known, bit_of(position, groups)).otherwise(F.lit(0))
-    checks = F.lit(len(groups)) - known.cast("bigint")
+    checked = F.col("pred").isNotNull() & has_pattern(groups)
+    checks = F.when(checked, F.lit(len(groups)) - known.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     ones_elsewhere = ones - own
-    flips = F.when(F.col("pred") == 1, checks - ones_elsewhere).otherwise(ones_elsewhere)
+    flips = F.when(checked, F.when(F.col("pred") == 1, checks - ones_elsewhere).otherwise(ones_elsewhere)).otherwise(F.lit(0).cast("bigint"))
     n, label, pred = F.col("n"), F.col("label"), F.col("pred")
 
     def cell(y: int, p: int) -> Column:
@@ -200,23 +227,38 @@ def boundary_distance(proba: Column) -> Column:
 def nearest_rows(frame: AuditFrame, scorers: list, k: int) -> DataFrame:
     """Per model the min(k, rows) rows nearest the decision boundary, ties by row id.
 
-    One pass per model over the columns that the model and the report need.
+    Two scans, however many models: the first counts the distances of all models in buckets, which bounds how far the
+    k nearest rows can lie (at most 4,096 lines a model come back); the second keeps what lies within the bound. Only
+    that is ranked, in parts first, so the last ranking sees ``RANK_PARTS`` times k rows a model at most, also where
+    many rows share one distance. A row without a probability has no distance.
     """
     row_id = frame.needs_row_id("the boundary probe")
     kept = [*frame.roles(), *table_columns(scorers)]
     base = with_tables(frame.df, scorers).select(*kept)
-
-    def ranked(m) -> DataFrame:
-        distance = F.expr(f"abs({m().proba_text} - 0.5D)")
-        return base.select(*kept, F.lit(m.name).alias("model"), distance.alias("_distance"))
-
-    # a heap of k rows per task and model, merged at the end: nothing is sorted or shuffled as a whole,
-    # also when many rows share one distance
-    out = None
-    for m in scorers:
-        part = ranked(m).orderBy("_distance", row_id).limit(k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    bucket = f"CAST(least(floor(_d * {2 * DISTANCE_BUCKETS}), {DISTANCE_BUCKETS - 1}) AS INT)"
+    distances = ", ".join(f"abs({m().proba_text} - 0.5D)" for m in scorers)
+    numbered = f"transform(array({distances}), (_d, _m) -> named_struct('_m', _m, '_distance', _d, '_bucket', {bucket}))"
+    seen = base.select(F.expr(f"inline({numbered})")).filter("_bucket is not null").groupBy("_m", "_bucket").agg(F.count("*").alias("n"))
+    counts: dict[int, dict[int, int]] = {}
+    for r in seen.collect():
+        counts.setdefault(r["_m"], {})[r["_bucket"]] = r["n"]
+    bounds = []
+    for i in range(len(scorers)):
+        own, total, bound = counts.get(i, {}), 0, -1
+        for at in sorted(own):
+            if total >= k:
+                break
+            total, bound = total + own[at], at
+        bounds.append(bound)
+    within = f"filter({numbered}, _x -> _x._bucket <= array({', '.join(map(str, bounds))})[_x._m])"
+    names = F.expr(f"array({', '.join(literal(m.name) for m in scorers)})")
+    near = base.select(*kept, F.expr(f"inline({within})"))
+    order = ["_distance", row_id]
+    parted = near.withColumn("_part", F.pmod(F.xxhash64(row_id), F.lit(RANK_PARTS)))
+    first = F.row_number().over(Window.partitionBy("_m", "_part").orderBy(*order))
+    last = F.row_number().over(Window.partitionBy("_m").orderBy(*order))
+    ranked = parted.withColumn("_rank", first).filter(F.col("_rank") <= k).withColumn("_rank", last).filter(F.col("_rank") <= k)
+    return ranked.select(*kept, names[F.col("_m")].alias("model"), "_distance")
 
 
 def boundary_probe(
@@ -247,24 +289,34 @@ def boundary_probe(
 
 
 def probe_summary(
-    details: DataFrame, quality: DataFrame, baseline: str, dataset: str, sensitive: str, rows_as: str | None = None
+    details: DataFrame,
+    quality: DataFrame,
+    baseline: str,
+    dataset: str,
+    sensitive: str,
+    top_k: int | None = None,
+    samples: bool = False,
 ) -> DataFrame:
-    """One row per model: checks, flips and flip rate (0.0 when nothing was checked), next to the
-    model's quality. ``rows_as`` adds the number of distinct probed rows under that name."""
-    aggregates = [F.count("*").alias("total_checks"), F.sum("flipped").alias("flip_count")]
-    if rows_as:
-        aggregates.append(F.countDistinct("row_index").alias(rows_as))
-    sums = details.groupBy("model").agg(*aggregates)
-    counted = ["total_checks", "flip_count"] + ([rows_as] if rows_as else [])
+    """One row per model: checks, flips and flip rate (0.0 when nothing was checked), next to the model's quality.
+
+    A check without a prediction on either side is none. ``top_k`` adds the number of rows a boundary probe looked at,
+    min(K, rows), whether or not they had an alternative; ``samples`` adds the draws that were checked, ``n_samples``.
+    """
+    sums = details.groupBy("model").agg(F.count("flipped").alias("total_checks"), F.sum("flipped").alias("flip_count"))
     # one row per model on both sides
-    joined = quality.join(sums, "model", "left").fillna(0, counted)
+    joined = quality.join(sums, "model", "left").fillna(0, ["total_checks", "flip_count"])
+    counted = []
+    if top_k is not None:
+        counted.append(F.least(F.lit(top_k).cast("bigint"), F.col("test_size")).alias("top_k"))
+    if samples:
+        counted.append(F.col("total_checks").alias("n_samples"))
     return joined.select(
         F.lit(baseline).alias("baseline"),
         F.lit(dataset).alias("dataset"),
         "model",
         F.lit(sensitive).alias("sensitive_attribute"),
         F.col("include_sensitive").alias("include_sensitive_model"),
-        *([rows_as] if rows_as else []),
+        *counted,
         "total_checks",
         "flip_count",
         flip_rate().alias("flip_rate"),

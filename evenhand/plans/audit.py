@@ -49,13 +49,13 @@ def probe_report(
     quality = totals.select("model", "include_sensitive", "accuracy", "f1", "test_size")
     common = (dataset, frame.sensitive)
     random = probes.probe_summary(
-        probes.random_probe(frame, scorers, draws, seed, groups), quality, reports.PROBES[0], *common
+        probes.random_probe(frame, scorers, draws, seed, groups), quality, reports.PROBES[0], *common, samples=True
     )
     full = probes.full_probe_summary(totals, *common)
     near = probes.probe_summary(
-        probes.boundary_probe(frame, scorers, nearest, groups), quality, reports.PROBES[2], *common, rows_as="top_k"
+        probes.boundary_probe(frame, scorers, nearest, groups), quality, reports.PROBES[2], *common, top_k=nearest
     )
-    return random.unionByName(full).unionByName(near, allowMissingColumns=True)
+    return random.unionByName(full, allowMissingColumns=True).unionByName(near, allowMissingColumns=True)
 
 
 def observed_documents(

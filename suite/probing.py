@@ -181,11 +181,11 @@ def all_summaries(dataset: str, spark, folder, draws: int = DRAWS, nearest: int
 
 _ALL_SELECT = (
     "SELECT *, CAST(NULL AS BIGINT) AS top_k FROM ("
-    + _summary_sql("random_pair_sampling", "orders", "c_mktsegment", "rnd")
+    + _summary_sql("random_pair_sampling", "orders", "c_mktsegment", "rnd", "count(flipped) AS n_samples, ")
     + ") UNION ALL BY NAME SELECT *, CAST(NULL AS BIGINT) AS top_k FROM ("
     + _summary_sql("counterfactual_augmentation", "orders", "c_mktsegment", "det")
     + ") UNION ALL BY NAME SELECT * FROM ("
-    + _summary_sql("boundary_focused_sampling", "orders", "c_mktsegment", "bnd", "count(DISTINCT row_index) AS top_k, ")
+    + _summary_sql("boundary_focused_sampling", "orders", "c_mktsegment", "bnd", f"least({NEAREST}, any_value(test_size)) AS top_k, ")
     + ")"
 )
 

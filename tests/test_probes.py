@@ -99,6 +99,61 @@ def test_more_groups_than_bits(spark):
     assert first["violations"] == len(high - low)
 
 
+def test_more_than_a_thousand_groups(spark):
+    """One expression for all groups, and no line for a pair that no pattern tells apart before the last join."""
+    groups = [f"g{i:04d}" for i in range(1_050)]
+    weights = {f"s={g}": (-1.0 if i % 350 == 0 else 0.0) for i, g in enumerate(groups)}
+    model = LinearScorer("m", Encoder((NumericFeature("n"),), (CategoricalBlock("s", tuple(groups)),)), {"n": 1.0, **weights})
+    f = _frame(spark, 40, groups[:25])
+    seen = f.with_df(f.df.unionByName(spark.createDataFrame([(9_000 + i, 0.5, g, 1) for i, g in enumerate(groups)], "id bigint, n double, s string, label int")))
+    assert metrics.resolve_groups(seen) == groups
+    pairs = paircheck.observed_pairs(seen, [model])
+    n = seen.df.filter((F.col("n") > 0) & (F.col("n") <= 1)).count()
+    got = pairs.groupBy("status", "violations").count().collect()
+    assert {(r["status"], r["violations"]): r["count"] for r in got} == {("sat", n): 2 * 3 * 1_047, ("unsat", 0): 1_050 * 1_049 - 2 * 3 * 1_047}
+    assert paircheck.group_pairs(seen.df, "s").count() == 1_050 * 1_049
+    counts = probes.response_counts(f, [model], groups)
+    total = probes.full_probe_counts(counts, groups).first()
+    details = probes.full_probe(f, [model], groups).agg(F.count("*"), F.sum("flipped")).first()
+    assert (total["total_checks"], total["flip_count"]) == tuple(details)
+
+
+def test_both_forms_of_the_patterns_agree(spark, monkeypatch):
+    f = _frame(spark, null_every=5)
+    order = ["model", "label", "grp", "pred", "mask_0", "n"]
+    inline = probes.response_counts(f, [LINEAR, RULES], list(GROUPS)).orderBy(*order).collect()
+    monkeypatch.setattr(probes, "INLINE_GROUPS", 2)
+    assert probes.response_counts(f, [LINEAR, RULES], list(GROUPS)).orderBy(*order).collect() == inline
+
+
+def test_a_missing_prediction_is_no_check(spark):
+    f = _frame(spark)
+    gaps = f.with_df(f.df.withColumn("n", F.when(F.col("id") % 4 > 0, F.col("n"))))
+    n = gaps.df.count()
+    known = gaps.df.filter("n is not null").count()
+    assert 0 < known < n
+    report = {r["baseline"]: r for r in audit.probe_report(gaps, [LINEAR], "d", 5000, 5000).collect()}
+    whole, random_one, near = (report[b] for b in ("counterfactual_augmentation", "random_pair_sampling", "boundary_focused_sampling"))
+    assert whole["total_checks"] == 2 * known and near["total_checks"] == 2 * known
+    assert near["top_k"] == n and random_one["n_samples"] == random_one["total_checks"] < n
+    assert whole["flip_count"] == probes.full_probe(gaps, [LINEAR]).agg(F.sum("flipped")).first()[0]
+    assert {r["rows_checked"] for r in paircheck.observed_pairs(gaps, [LINEAR]).collect()} == {known}
+
+
+def test_nearest_rows_of_all_models_in_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(probes, "DISTANCE_BUCKETS", 16)
+    f = _frame(spark, 700)
+    flat = LinearScorer("flat", ENCODER, {}, 0.0)  # every row has the same distance
+    for k in (1, 37, 600, 701):
+        got = probes.nearest_rows(f, [LINEAR, RULES, flat], k)
+        for m in (LINEAR, RULES, flat):
+            nearest = f.df.select("id", F.abs(m().proba - 0.5).alias("d")).orderBy("d", "id").limit(k).collect()
+            own = got.filter(F.col("model") == m.name).select("id", "_distance").collect()
+            assert sorted((r["id"], r["_distance"]) for r in own) == sorted((r["id"], r["d"]) for r in nearest)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+
+
 def test_many_models_take_the_other_path(spark):
     f = _frame(spark)
     many = [LinearScorer(f"m{i}", ENCODER, {"n": 1.0, "s=a": i / 10}) for i in range(JOINT_MODELS + 2)]
@@ -157,8 +212,7 @@ def test_edges(spark):
     one = _frame(spark, groups=("a",))
     rates = {r["baseline"]: r for r in audit.probe_report(one, [LINEAR], "d", 5, 5).collect()}
     assert all(r["flip_rate"] == 0.0 and r["total_checks"] == 0 for r in rates.values())
-    with pytest.raises(ValueError, match="groups"):
-        metrics.resolve_groups(f, limit=2)
+    assert paircheck.observed_pairs(one, [LINEAR]).count() == 0 == paircheck.observed_pairs(empty, [LINEAR]).count()
     no_id = AuditFrame(f.df, "label", "s", ("n",), ("s",))
     with pytest.raises(ValueError, match="row id"):
         probes.boundary_probe(no_id, [LINEAR], 5)
