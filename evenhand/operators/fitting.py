@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.frame import AuditFrame
+from evenhand.functions.expressions import plain
 from evenhand.operators.features import CategoricalBlock, Encoder, fit_encoder
-from evenhand.operators.scorers import LinearScorer, Node, RuleListScorer, TreeScorer, rule_list_from_tree
+from evenhand.operators.scorers import LinearScorer, Node, RuleListScorer, TreeScorer, all_of, rule_list_from_tree
 from evenhand.session import scratch_path, settle
 
 KINDS = ("tree", "logreg", "rulelist")
@@ -151,3 +152,50 @@ def tree_nodes(spark, model: DecisionTreeClassificationModel, encoder: Encoder)
             raise ValueError(f"feature {feature} was trained as categorical; thresholds are expected")
         nodes.append(Node(r["id"], feature, float(threshold[0]), r["leftChild"], r["rightChild"], n0, n1))
     return tuple(nodes)
+
+
+# ---------------------------------------------------------------------------------------------
+# Is a fit what it should be? Relations that hold for the right model, whatever found it
+# ---------------------------------------------------------------------------------------------
+
+
+def logreg_gradient(fitted: Fitted, frame: AuditFrame) -> DataFrame:
+    """``(feature, component)``: the gradient of the mean penalised loss at the fitted weights, zero at the optimum.
+
+    One aggregate over the rows; the intercept carries no penalty.
+    """
+    encoder, scorer, n = fitted.encoder, fitted.scorer, F.count("*")
+    out = scorer()
+    error = F.expr(f"{out.proba_text} - CAST({plain(frame.label)} AS DOUBLE)")
+    features = encoder.columns()
+    wide = frame.df.select(error.alias("_e"), *[c.alias(f"_f{i}") for i, c in enumerate(features.values())]).agg(
+        F.avg("_e").alias("_i"), n.alias("_n"), *[F.avg(F.col("_e") * F.col(f"_f{i}")).alias(f"_g{i}") for i in range(len(features))]
+    )
+    lines = [F.struct(F.lit("(intercept)").alias("feature"), F.col("_i").alias("component"))]
+    for i, name in enumerate(features):
+        penalty = F.lit(float(scorer.weights.get(name, 0.0))) / F.col("_n")
+        lines.append(F.struct(F.lit(name).alias("feature"), (F.col(f"_g{i}") + penalty).alias("component")))
+    return wide.select(F.inline(F.array(*lines)))
+
+
+def rule_counts(scorer: TreeScorer | RuleListScorer, frame: AuditFrame) -> DataFrame:
+    """``(rule_no, depth, pred, proba, n0, n1)``: every leaf or rule as it is stated, with the rows that reach it first.
+
+    Rows that no rule takes are counted under number −1. One aggregate over the rows.
+    """
+    rules = scorer.rules() if isinstance(scorer, TreeScorer) else scorer.rules
+    branches = " ".join(f"WHEN {all_of(scorer.encoder, r.conditions)} THEN {i}" for i, r in enumerate(rules))
+    number = F.expr(f"CASE {branches} ELSE -1 END") if rules else F.lit(-1)
+    y = F.col(frame.label)
+    seen = frame.df.groupBy(number.alias("rule_no")).agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"))
+    stated = frame.df.sparkSession.createDataFrame(
+        [(i, len(r.conditions), int(r.pred), float(r.proba)) for i, r in enumerate(rules)], "rule_no int, depth int, pred int, proba double"
+    )
+    return stated.join(seen, "rule_no", "full").fillna(0, ["n0", "n1"])
+
+
+def rule_mismatches(counts: DataFrame) -> DataFrame:
+    """Rules of :func:`rule_counts` whose class or probability is not that of their rows; a tie is class 0."""
+    share = F.try_divide(F.col("n1").cast("double"), (F.col("n0") + F.col("n1")).cast("double"))
+    right = (F.col("pred") == (F.col("n1") > F.col("n0")).cast("int")) & (F.abs(F.col("proba") - share) < 1e-9)
+    return counts.filter(~F.coalesce(right, F.lit(False)))

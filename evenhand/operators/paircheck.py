@@ -94,12 +94,17 @@ def observed_pairs(
     )
 
 
-def overall_status(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """SAT if any pair is, else UNKNOWN if any pair is undecided, else UNSAT; with pair counts."""
+def overall_status(pairs: DataFrame, by: list[str] | None = None, models: DataFrame | None = None) -> DataFrame:
+    """SAT if any pair is, else UNKNOWN if any pair is undecided, else UNSAT; with pair counts.
+
+    ``models``, a table of the keys, gives a model without any pair a row as well: it has nothing to violate.
+    """
     keys = by or ["model"]
     sat = F.count_if(F.col("status") == "sat")
     unsat = F.count_if(F.col("status") == "unsat")
-    total = F.count("*")
+    total = F.count("status")
+    if models is not None:
+        pairs = models.select(*keys).join(pairs, keys, "left")
     return pairs.groupBy(*keys).agg(
         F.when(sat > 0, "SAT").when(unsat < total, "UNKNOWN").otherwise("UNSAT").alias("overall_status"),
         total.alias("checked_pairs"),
@@ -224,7 +229,9 @@ def pair_documents(
         )
         .withColumn("pair_checks", F.transform("listed", _with_examples))
     )
-    doc = grouped.join(overall_status(pairs), "model").select(
+    every = None if metadata is None else metadata.select("model")
+    nothing = F.array().cast(grouped.schema["pair_checks"].dataType)
+    doc = overall_status(pairs, models=every).join(grouped, "model", "left").withColumn("pair_checks", F.coalesce("pair_checks", nothing)).select(
         F.lit(dataset).alias("dataset"),
         "model",
         F.lit(sensitive).alias("sensitive_attribute"),

@@ -59,27 +59,39 @@ def probe_report(
 
 
 def observed_documents(
-    frame: AuditFrame, scorers: list, dataset: str, groups: list[str] | None = None
+    frame: AuditFrame, scorers: list, dataset: str, groups: list[str] | None = None, rows: tuple[int, int] | None = None
 ) -> DataFrame:
-    """Pair-check documents over the observed rows: one pass for the pairs, one for the witnesses."""
+    """Pair-check documents over the observed rows: one pass for the pairs, one for the witnesses.
+
+    ``rows`` are the numbers of training and test rows, for the documents' own record.
+    """
     pairs = settle(paircheck.observed_pairs(frame, scorers, groups))
     examples = paircheck.first_counterexample(frame, scorers, pairs)
-    return paircheck.pair_documents(pairs, examples, dataset, frame.sensitive, model_facts(frame, scorers))
+    return paircheck.pair_documents(pairs, examples, dataset, frame.sensitive, model_facts(frame, scorers, rows))
+
+
+def model_facts(frame: AuditFrame, scorers: list, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Number of rules (a list's default is none of them), depth, intercept and numbers of rows per model."""
 
+    def depth(s) -> int:
+        return max((len(conditions) for _, _, conditions, _, _ in s.rule_rows()), default=0)
 
-def model_facts(frame: AuditFrame, scorers: list) -> DataFrame:
-    """Number of rules (a list's default is none of them) and intercept per model."""
     facts = [
         (
             s.name,
             s.kind,
             len(s.rule_rows()) - (s.kind == "rulelist") if s.kind in ("tree", "rulelist") else None,
+            depth(s) if s.kind == "tree" else None,
+            depth(s) if s.kind == "rulelist" else None,
             float(s.intercept) if s.kind == "logreg" else None,
+            *(rows or (None, None)),
         )
         for s in scorers
     ]
     return frame.df.sparkSession.createDataFrame(
-        facts, "model string, kind string, num_rules int, logreg_intercept double"
+        facts,
+        "model string, kind string, num_rules int, tree_max_depth int, rulelist_max_depth int, logreg_intercept double, "
+        "n_train_rows bigint, n_test_rows bigint",
     )
 
 
@@ -101,7 +113,7 @@ def _by_encoder(scorers: list) -> list[tuple]:
     return groups
 
 
-def box_documents(frame: AuditFrame, scorers: list, dataset: str) -> DataFrame:
+def box_documents(frame: AuditFrame, scorers: list, dataset: str, rows: tuple[int, int] | None = None) -> DataFrame:
     """Pair-check documents over the whole feature box of the frame.
 
     The bounds are one pass per encoder; the checks themselves work on the models only, all linear models of an
@@ -141,7 +153,7 @@ def box_documents(frame: AuditFrame, scorers: list, dataset: str) -> DataFrame:
     for members, pairs, examples in parts:
         scopes = {s.name: BOX_SCOPES[s.kind] for s in members}
         part = paircheck.pair_documents(
-            pairs, examples, dataset, frame.sensitive, model_facts(frame, members), scopes
+            pairs, examples, dataset, frame.sensitive, model_facts(frame, members, rows), scopes
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -183,7 +195,8 @@ def full_audit(
     scorers = [f.scorer for f in fitted]
     blind = [f.scorer for f in fit_all(train, kinds, include_sensitive=False)]
     names = text.display_name(F.col("model"), reports.MODEL_NAMES)
-    documents = settle(box_documents(train, scorers, dataset).withColumn("model", names))
+    sizes = (train.df.count(), test.df.count())
+    documents = settle(box_documents(train, scorers, dataset, sizes).withColumn("model", names))
     # a model without a document must not go unnoticed
     expected = train.df.sparkSession.createDataFrame([(dataset, s.name) for s in scorers], "dataset string, model string")
     expected = expected.withColumn("model", names)

@@ -178,6 +178,61 @@ def interpretation_table(spark) -> DataFrame:
     return spark.createDataFrame(list(INTERPRETATION.items()), "status string, meaning string")
 
 
+def _in_order(rows: DataFrame, dataset_order: list[str] | None, model_order: list[str] | None) -> list:
+    """What puts lines of a document in order: the ranks of data set and model, then their names."""
+    last = F.lit(1 << 30).cast("bigint")
+    ranks = {"dataset": dataset_order or DATASET_ORDER, "model": model_order or SOLVER_MODEL_ORDER}
+    return [F.coalesce(text.category_rank(F.col(c), o), last).alias(f"_{c}") for c, o in ranks.items()] + ["dataset", "model"]
+
+
+def solver_document(
+    summary: DataFrame, dataset_order: list[str] | None = None, model_order: list[str] | None = None
+) -> DataFrame:
+    """The solver summary as one document ``(interpretation, results)``: what a status means, and a line per model.
+
+    A document holds a line per data set and model, not per row of data.
+    """
+    line = F.struct(*_in_order(summary, dataset_order, model_order), F.struct(*summary.columns).alias("line"))
+    meaning = F.create_map(*[F.lit(x) for pair in INTERPRETATION.items() for x in pair])
+    return summary.agg(F.array_sort(F.collect_list(line)).alias("listed")).select(
+        meaning.alias("interpretation"), F.transform("listed", lambda x: x["line"]).alias("results")
+    )
+
+
+def counterexample_document(
+    summary: DataFrame, details: DataFrame, dataset_order: list[str] | None = None, model_order: list[str] | None = None
+) -> DataFrame:
+    """All counterexamples as one document ``(report_type, num_counterexamples, entries)``.
+
+    An entry has both examples and their differences as nested values; a SAT row without a document raises, as in
+    :func:`counterexample_report`.
+    """
+    report = counterexample_report(summary, details).drop("changed_features", "changed_features_count")
+    ce = F.col("first_counterexample")
+    own = details.select(
+        "dataset", "model", ce["source_group"].alias("source_group"), ce["target_group"].alias("target_group"),
+        ce["example_x"].alias("example_x"), ce["example_y"].alias("example_y"),
+        text.example_diff(ce["example_x"], ce["example_y"]).alias("changed_features"), "encoding_scope", "fairness_property",
+    )
+    rows = report.join(own, ["dataset", "model"])
+    line = F.struct(*_in_order(rows, dataset_order, model_order), F.struct(*rows.columns).alias("line"))
+    # maps have no order; the key before them decides
+    by_key = F.transform(
+        F.array_sort(F.collect_list(line), lambda a, b: _compare(a, b)), lambda x: x["line"]
+    )
+    return rows.agg(by_key.alias("entries")).select(
+        F.lit("formal_counterexample_report").alias("report_type"), F.size("entries").cast("bigint").alias("num_counterexamples"), "entries"
+    )
+
+
+def _compare(a, b):
+    out = None
+    for c in ("_dataset", "_model", "dataset", "model"):
+        out = F.when(a[c] < b[c], -1) if out is None else out.when(a[c] < b[c], -1)
+        out = out.when(a[c] > b[c], 1)
+    return out.otherwise(0)
+
+
 def status_counts(summary: DataFrame) -> DataFrame:
     s = F.upper("ci_status")
     return summary.agg(

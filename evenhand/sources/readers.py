@@ -65,11 +65,12 @@ PAIR_CHECK = (
 PAIR_DOCUMENT = (
     "dataset string, model string, sensitive_attribute string, encoding_scope string, fairness_property string, "
     f"overall_status string, pair_checks array<{PAIR_CHECK}>, first_counterexample {PAIR_CHECK}, "
-    "runtime_seconds double, timeout boolean, ce_bound bigint, ce_found bigint"
+    "runtime_seconds double, timeout boolean, ce_bound bigint, ce_found bigint, kind string, num_rules int, "
+    "tree_max_depth int, rulelist_max_depth int, logreg_intercept double, n_train_rows bigint, n_test_rows bigint"
 )
 
 
-def read_documents(spark: SparkSession, path: str | list[str], schema: str = PAIR_DOCUMENT, lines: bool = False, mode: str = STRICT) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], schema: str | T.StructType = PAIR_DOCUMENT, lines: bool = False, mode: str = STRICT) -> DataFrame:
     """JSON documents, one per file (or one per line); a broken one raises. Numbers and strings may mix
     inside examples; the bare token ``NaN`` that some writers emit is read where the schema says text or
     number, and the text ``NaN`` of a top-level column means a missing value."""
@@ -114,18 +115,28 @@ def read_tagged_folder(spark: SparkSession, paths: list[str], tags: dict[str, di
     time, not a silent NULL.
     """
     names = sorted({t for v in tags.values() for t in v})
-    # the tags are a literal, a row per file that the caller names
-    entries = [
-        F.struct(F.lit(f).alias("file"), *[F.lit(v.get(n)).cast("string").alias(n) for n in names]) for f, v in tags.items()
-    ]
-    path = F.concat(F.lit("/"), F.col("_metadata.file_path"))
-    scan = read_csv(spark, paths, schema).select("*", path.alias("_path"))
-    fitting = F.filter(F.array(*entries), lambda e: F.endswith("_path", F.concat(F.lit("/"), e["file"])))
-    tagged = scan.withColumn("_tags", fitting)
-    guarded = F.when(F.size("_tags") == 1, F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.size("_tags").cast("string"), F.lit(" tags for file "), F.col("_path"))).cast("boolean")
+    parts = {f: f.strip("/").split("/") for f in tags}
+    rows = [(len(p), "/".join(p), *[tags[f].get(n) for n in names]) for f, p in parts.items()]
+    columns = [f"_t{i}" for i in range(len(names))]
+    known = spark.createDataFrame(rows, ", ".join(["_depth int", "_name string", *[f"{c} string" for c in columns]]))
+    pieces = F.split(F.col("_metadata.file_path"), "/")
+    scan = read_csv(spark, paths, schema).select("*", F.col("_metadata.file_path").alias("_path"), pieces.alias("_parts"))
+    # a name is the last so many parts of a path: one key per length that names have, met by a hash join
+    depths = sorted({len(p) for p in parts.values()})
+    keys = ", ".join(
+        f"named_struct('_depth', {d}, '_name', array_join(slice(_parts, greatest(size(_parts) - {d - 1}, 1), {d}), '/'))" for d in depths
     )
-    return tagged.filter(guarded).select(*[c for c in scan.columns if c != "_path"], *[F.element_at("_tags", 1)[n].alias(n) for n in names])
+    own = scan.select("_path", F.expr(f"inline(array({keys}))")).distinct()
+    fitting = own.join(F.broadcast(known), ["_depth", "_name"]).groupBy("_path").agg(
+        F.count("*").alias("_n"), *[F.first(c).alias(c) for c in columns]
+    )
+    tagged = scan.join(F.broadcast(fitting), "_path", "left")  # a line per file
+    found = F.coalesce("_n", F.lit(0))
+    guarded = F.when(found == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(found.cast("string"), F.lit(" tags for file "), F.col("_path"))).cast("boolean")
+    )
+    data = [c for c in scan.columns if c not in ("_path", "_parts")]
+    return tagged.filter(guarded).select(*data, *[F.col(c).alias(n) for c, n in zip(columns, names)])
 
 
 # Column names and types of the three public audit data sets, in file order.

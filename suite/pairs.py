@@ -31,12 +31,21 @@ def g1_group_pairs(spark, folder):
     return paircheck.group_pairs(orders_frame(spark, folder).df, "c_mktsegment")
 
 
-_PAIRS = """prs AS (
+_PAIRS = """prs AS MATERIALIZED (
   SELECT a.model, a.g AS source_group, b.g AS target_group,
          CASE WHEN bool_or(a.pred <> b.pred) THEN 'sat' ELSE 'unsat' END AS status,
          count(*) AS rows_checked, CAST(sum(CAST(a.pred <> b.pred AS INTEGER)) AS BIGINT) AS violations,
          min(CASE WHEN a.pred <> b.pred THEN a.row_id END) AS first_row
   FROM pinned a JOIN pinned b ON a.row_id = b.row_id AND a.model = b.model AND a.g <> b.g GROUP BY 1, 2, 3)"""
+# the first violated pair of each model, and the few rows that show it, before anything is joined to them twice
+FIRST = (
+    "fst AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY source_group, target_group) AS rn "
+    "FROM prs WHERE status = 'sat') WHERE rn = 1)"
+)
+WITNESS = (
+    "wit AS MATERIALIZED (SELECT p.model, p.row_id, p.g, p.score, p.pred FROM pinned p "
+    "WHERE EXISTS (SELECT 1 FROM fst f WHERE f.model = p.model AND f.first_row = p.row_id))"
+)
 _PAIR_CTES = (sql.frame(), sql.groups(), sql.pinned(models=_NAMES), _PAIRS)
 
 
@@ -79,14 +88,13 @@ def g6_g7_overall_status(spark, folder):
     "g8_first_counterexample",
     sql.with_(
         *_PAIR_CTES,
-        "fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY source_group, target_group) AS rn "
-        "FROM prs WHERE status = 'sat') WHERE rn = 1)",
+        FIRST, WITNESS,
         select="""SELECT f.model, f.source_group, f.target_group, f.first_row AS row_id,
   x.score AS score_x, y.score AS score_y, x.pred AS prediction_x, y.pred AS prediction_y,
   f.source_group AS group_x, f.target_group AS group_y, r.o_orderstatus AS status_x, r.r_name AS region_y,
   r.o_totalprice AS price_x, CAST(5 AS INTEGER) AS n_features
-FROM fst f JOIN pinned x ON x.model = f.model AND x.row_id = f.first_row AND x.g = f.source_group
-  JOIN pinned y ON y.model = f.model AND y.row_id = f.first_row AND y.g = f.target_group JOIN oa r ON r.row_id = f.first_row""",
+FROM fst f JOIN wit x ON x.model = f.model AND x.row_id = f.first_row AND x.g = f.source_group
+  JOIN wit y ON y.model = f.model AND y.row_id = f.first_row AND y.g = f.target_group JOIN oa r ON r.row_id = f.first_row""",
     ),
 )
 def g8_first_counterexample(spark, folder):

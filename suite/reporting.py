@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from evenhand.functions import text
 from evenhand.operators import agreement, metrics
 from evenhand.plans import gate as gates
-from evenhand.plans import reports
-from evenhand.session import settle
+from evenhand.plans import audit, reports
+from evenhand.session import scratch_path, settle
+from evenhand.sources import readers, writers
 from suite import models, pairs, probing, sql
 from suite.frames import lineitem_frame, orders_frame
 from suite.registry import query
@@ -193,10 +194,6 @@ def h4_probe_ablation(spark, folder):
     return reports.probe_ablation(probe_tables(spark, folder))
 
 
-_FIRST = (
-    "fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY source_group, target_group) AS rn "
-    "FROM prs WHERE status = 'sat') WHERE rn = 1)"
-)
 _NAMES = (*sql.THREE, "logreg_equal")
 
 
@@ -213,8 +210,8 @@ FROM prs p LEFT JOIN fst f ON f.model = p.model GROUP BY p.model"""
 
 
 _SOLVER_CTES = [
-    sql.frame(), sql.frame("da"), sql.groups(), sql.pinned(models=_NAMES), pairs._PAIRS, _FIRST,
-    *_d(sql.groups(), sql.pinned("da"), pairs._PAIRS, _FIRST),
+    sql.frame(), sql.frame("da"), sql.groups(), sql.pinned(models=_NAMES), pairs._PAIRS, pairs.FIRST, pairs.WITNESS,
+    *_d(sql.groups(), sql.pinned("da"), pairs._PAIRS, pairs.FIRST, pairs.WITNESS),
     "solver AS (" + _summary_rows("orders", "c_mktsegment") + " UNION ALL "
     + sql.suffixed(_summary_rows("documents", "lang"), "_d", "da") + ")",
 ]
@@ -246,15 +243,15 @@ def h6_status_counts(spark, folder):
     return reports.status_counts(summary_of(documents(spark, folder)))
 
 
-_REPORT = """report AS (
+_REPORT = """report AS MATERIALIZED (
   SELECT s.dataset, s.model, s.sensitive_attribute, solver_status, ci_status, first_counterexample_pair AS counterexample_pair,
          CAST(x.pred AS VARCHAR) AS prediction_x, CAST(y.pred AS VARCHAR) AS prediction_y, x.score AS score_x_float,
          y.score AS score_y_float, CAST(1 AS BIGINT) AS changed_features_count,
          s.sensitive_attribute || ': ' || src || ' -> ' || dst AS changed_features
   FROM solver s
-  JOIN (SELECT 'orders' AS dataset, * FROM pinned UNION ALL SELECT 'documents', * FROM pinned_d) x
+  JOIN (SELECT 'orders' AS dataset, * FROM wit UNION ALL SELECT 'documents', * FROM wit_d) x
     ON x.dataset = s.dataset AND x.model = s.raw_model AND x.row_id = s.first_row AND x.g = src
-  JOIN (SELECT 'orders' AS dataset, * FROM pinned UNION ALL SELECT 'documents', * FROM pinned_d) y
+  JOIN (SELECT 'orders' AS dataset, * FROM wit UNION ALL SELECT 'documents', * FROM wit_d) y
     ON y.dataset = s.dataset AND y.model = s.raw_model AND y.row_id = s.first_row AND y.g = dst
   WHERE solver_status = 'SAT')"""
 
@@ -272,6 +269,78 @@ def h8_h9_h10_counterexample_report(spark, folder):
     return _report(spark, folder).drop("score_x_raw", "score_y_raw")
 
 
+def _written(spark, document, name, schema=None):
+    """A document written to a file and read back by its own schema."""
+    path = scratch_path(spark, name)
+    writers.write_json(document, path)
+    return readers.read_documents(spark, path, schema or document.schema, lines=True)
+
+
+@query(
+    "h5_solver_document_file",
+    sql.with_(
+        *_SOLVER_CTES,
+        select="SELECT dataset, model, sensitive_attribute, ce_found, solver_status, ci_status, checked_pairs, first_counterexample_pair, "
+        "CAST(row_number() OVER (ORDER BY CASE dataset WHEN 'orders' THEN 0 ELSE 1 END, "
+        "CASE model WHEN 'Decision Tree' THEN 0 WHEN 'Rule List' THEN 1 WHEN 'Logistic Regression' THEN 2 ELSE 3 END) - 1 AS INTEGER) AS place, "
+        "CASE solver_status WHEN 'SAT' THEN 'FAIL (counterexample found)' "
+        "ELSE 'PASS (no counterexample found for the encoded fairness property)' END AS meaning FROM solver",
+    ),
+)
+def h5_solver_document_file(spark, folder):
+    """Pair-check documents to files, files to the summary document, and that from its file: results in order."""
+    docs = _written(spark, documents(spark, folder), "pair-documents", readers.PAIR_DOCUMENT)
+    back = _written(spark, reports.solver_document(summary_of(docs), DATASETS, MODEL_ORDER), "solver-document")
+    rows = back.select("interpretation", F.posexplode("results").alias("place", "r"))
+    return rows.select(
+        "r.dataset", "r.model", "r.sensitive_attribute", "r.ce_found", "r.solver_status", "r.ci_status", "r.checked_pairs",
+        "r.first_counterexample_pair", "place", F.col("interpretation")[F.col("r.solver_status")].alias("meaning"),
+    )
+
+
+@query(
+    "h8_counterexample_document_file",
+    sql.with_(
+        *_SOLVER_CTES, _REPORT,
+        select="SELECT dataset, model, counterexample_pair, split_part(counterexample_pair, ' -> ', 1) AS source_group, "
+        "split_part(counterexample_pair, ' -> ', 2) AS target_group, prediction_x, prediction_y, score_x_float, score_y_float, "
+        "sensitive_attribute AS feature, changed_features_count AS n_changed, (SELECT count(*) FROM report) AS num_counterexamples, "
+        "'formal_counterexample_report' AS report_type, 'observed rows' AS encoding_scope FROM report",
+    ),
+)
+def h8_counterexample_document_file(spark, folder):
+    """The whole chain by files: documents, summary document, counterexample document with nested entries."""
+    docs = _written(spark, documents(spark, folder), "pair-documents", readers.PAIR_DOCUMENT)
+    solver = _written(spark, reports.solver_document(summary_of(docs), DATASETS, MODEL_ORDER), "solver-document")
+    summary = solver.select(F.inline("results"))
+    back = _written(spark, reports.counterexample_document(summary, docs, DATASETS, MODEL_ORDER), "counterexamples")
+    return back.select("report_type", "num_counterexamples", F.explode("entries").alias("e")).select(
+        "e.dataset", "e.model", "e.counterexample_pair", "e.source_group", "e.target_group", "e.prediction_x", "e.prediction_y",
+        "e.score_x_float", "e.score_y_float", F.col("e.changed_features")[0]["feature"].alias("feature"),
+        F.size("e.changed_features").cast("bigint").alias("n_changed"), "num_counterexamples", "report_type", "e.encoding_scope",
+    )
+
+
+@query(
+    "g11_document_facts",
+    sql.with_(
+        sql.frame("da"), "n AS (SELECT count(*) AS n FROM da)",
+        select="SELECT model, kind, num_rules, tree_max_depth, rulelist_max_depth, logreg_intercept, n AS n_train_rows, n AS n_test_rows FROM n, "
+        "(VALUES ('tree', 'tree', 3, 2, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE)), ('rulelist', 'rulelist', 3, NULL, 2, NULL), "
+        "('logreg', 'logreg', NULL, NULL, NULL, 0.15e0)) AS m(model, kind, num_rules, tree_max_depth, rulelist_max_depth, logreg_intercept)",
+    ),
+)
+def g11_document_facts(spark, folder):
+    """Depth, rules, intercept and numbers of rows in the documents, after a round through a file."""
+    f, scorers = probing.frame_and_models("documents", spark, folder)
+    n = f.df.count()
+    docs = audit.observed_documents(f, scorers, "documents", rows=(n, n))
+    back = _written(spark, docs, "pair-documents", readers.PAIR_DOCUMENT)
+    return back.select(
+        "model", "kind", "num_rules", "tree_max_depth", "rulelist_max_depth", "logreg_intercept", "n_train_rows", "n_test_rows"
+    )
+
+
 @query(
     "h9_h10_example_diff",
     """SELECT o_orderkey,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evenhand.operators import fitting, metrics, splits
 from evenhand.operators import scorers as S
 from evenhand.plans import audit
+from evenhand.session import settle
 from suite import models, sql
 from suite.frames import docs_frame, lineitem_frame, orders_frame
 from suite.registry import query
@@ -92,6 +93,53 @@ query("d2_fit_tree")(_fit("tree"))
 query("d3_fit_rule_list")(_fit("rulelist"))
 
 
+# ---- D: are the fits right? Facts that hold for the right model, whatever found it --------------
+
+
+@query(
+    "d1_fit_optimum",
+    sql.with_(
+        sql.frame("da"),
+        select="SELECT 'logreg' AS model, count(*) AS n_rows, TRUE AS at_optimum, "
+        "2 + count(DISTINCT source) + count(DISTINCT lang) AS components FROM da",
+    ),
+)
+def d1_fit_optimum(spark, folder):
+    """At the fitted weights no component of the penalised loss's gradient differs from zero."""
+    f = docs_frame(spark, folder)
+    gradient = fitting.logreg_gradient(fitting.fit("logreg", f), f)
+    return gradient.agg(
+        F.lit("logreg").alias("model"), F.lit(f.df.count()).cast("bigint").alias("n_rows"),
+        (F.max(F.abs("component")) < 1e-5).alias("at_optimum"), F.count("*").alias("components"),
+    )
+
+
+def _rule_facts(kind: str, depth: int):
+    def run(spark, folder):
+        f = docs_frame(spark, folder)
+        scorer = fitting.fit(kind, f).scorer
+        counts = settle(fitting.rule_counts(scorer, f))
+        wrong = fitting.rule_mismatches(counts).count()
+        out = counts.agg(
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.lit(wrong).cast("bigint").alias("mismatches"),
+            (F.max("depth") <= depth).alias("depth_kept"),
+        )
+        return out.withColumn("default_class", F.lit(scorer.default)) if kind == "rulelist" else out
+
+    return run
+
+
+_FACTS = "SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, CAST(0 AS BIGINT) AS mismatches, TRUE AS depth_kept"
+query("d2_fit_tree_counts", sql.with_(sql.frame("da"), select=f"{_FACTS} FROM da"))(_rule_facts("tree", fitting.TREE_DEPTH))
+query(
+    "d3_fit_rule_counts",
+    sql.with_(
+        sql.frame("da"),
+        select=f"{_FACTS}, CAST(count(*) FILTER (label = 1) > count(*) FILTER (label = 0) AS INTEGER) AS default_class FROM da",
+    ),
+)(_rule_facts("rulelist", fitting.RULE_DEPTH))
+
+
 # ---- E: metrics --------------------------------------------------------------------------------
 
 

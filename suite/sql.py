@@ -56,7 +56,7 @@ def f1(prefix: str = "") -> str:
 
 ACCURACY = "avg(CAST(label = pred AS INTEGER))"
 
-_LOCAL = "grp|own|blind|scored|pinned|draws|opts|chosen|rnd|near|bnd|det|prs|fst|cells|qual|r"
+_LOCAL = "grp|own|blind|scored|pinned|draws|opts|chosen|rnd|near|bnd|det|prs|fst|wit|cells|qual|r"
 
 
 def suffixed(text: str, mark: str, frame_name: str) -> str:

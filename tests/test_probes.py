@@ -212,6 +212,8 @@ def test_edges(spark):
     one = _frame(spark, groups=("a",))
     rates = {r["baseline"]: r for r in audit.probe_report(one, [LINEAR], "d", 5, 5).collect()}
     assert all(r["flip_rate"] == 0.0 and r["total_checks"] == 0 for r in rates.values())
+    document = audit.observed_documents(one, [LINEAR], "d").first()
+    assert (document["overall_status"], document["pair_checks"], document["ce_found"]) == ("UNSAT", [], 0)
     assert paircheck.observed_pairs(one, [LINEAR]).count() == 0 == paircheck.observed_pairs(empty, [LINEAR]).count()
     no_id = AuditFrame(f.df, "label", "s", ("n",), ("s",))
     with pytest.raises(ValueError, match="row id"):
@@ -235,3 +237,6 @@ def test_overall_status(spark):
     )
     got = {r["model"]: (r["overall_status"], r["ce_found"]) for r in paircheck.overall_status(pairs).collect()}
     assert got == {"m1": ("SAT", 1), "m2": ("UNKNOWN", 0), "m3": ("UNSAT", 0)}
+    more = spark.createDataFrame([("m1",), ("m4",)], "model string")
+    got = {r["model"]: (r["overall_status"], r["checked_pairs"]) for r in paircheck.overall_status(pairs, models=more).collect()}
+    assert got == {"m1": ("SAT", 2), "m4": ("UNSAT", 0)}
