@@ -42,19 +42,22 @@ _HEAD = struct.Struct("<8s7Q")
 _IRREGULAR = re.compile(r" (?:[\s\x1c-\x1f\x85\xa0 ᠎ -⁯　﻿]|$)")
 _PLAIN = r"[!-~\xa1-˿Ͱ-ᙿぁ-퟿]"
 _SPLIT = re.compile(f"(?<={_PLAIN}) (?={_PLAIN})")
+#: A letter with such a character behind it at the end of a word: the last character is a part of its own.
+_ENDED = re.compile(r"[a-zA-Z\xe0-\xf6\xf8-\xff][.,;:!?]\Z")
 
 
 class WordTable:
     """Distinct words, each with the space before it, and their ids (packed); bounded, starts anew when full."""
 
-    def __init__(self, vocabulary: str, entries: int = 800_000, together: int = 64):
+    def __init__(self, vocabulary: str, entries: int = 700_000, together: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.entries, self.together = entries, together
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str | None, bytes] = {None: b""}
+        self.ends = {c: self.ids(c) for c in ".,;:!?"}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,21 +72,31 @@ class WordTable:
         return [first + b"".join(map(got, words)) for first, words in zip(firsts, split, strict=True)]
 
     def _learn(self, words: set) -> None:
-        words.discard(None)
-        fresh = list(words.difference(self.words))
+        fresh = words.difference(self.words)
         if len(self.words) + len(fresh) > self.entries:
-            self.words = {}
-            fresh = list(words)
-        self.words[None] = b""
-        # a space starts a part, so many words are encoded at once and cut where a token opens with a space
-        plain = [w for w in fresh if " " not in w]
-        odd = [w for w in fresh if " " in w]
+            self.words = {None: b""}
+            fresh = words - {None}
+        ended = [w for w in fresh if _ENDED.search(w)]
+        self._encode([w for w in {*fresh.difference(ended), *(w[:-1] for w in ended)} if w not in self.words])
+        for w in ended:
+            self.words[w] = self.words[w[:-1]] + self.ends[w[-1]]
+
+    def _encode(self, words: list[str]) -> None:
+        """A word of plain letters is one part, which the tokenizer's model takes as it is. Of the others many are
+        encoded at once and cut where a token opens with a space, as a space starts a part."""
+        tokenize, plain, odd = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            if w.isalpha() and w.isascii():
+                ids = [t.id for t in tokenize("Ġ" + w)]
+                self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                (odd if " " in w else plain).append(w)
         groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
         encoded = self.tokenizer.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, encoded, strict=True):
             ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(group) or len(ids) == 0:
+            if len(cuts) != len(group):
                 odd += group
                 continue
             flat, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
@@ -114,12 +127,14 @@ def build(ids: np.ndarray, keys: pa.Array, lengths: np.ndarray, part: int = 0, s
     alphabet = used[np.argsort(-counts[used], kind="stable")]
     code_of = np.zeros(len(counts), np.uint32)
     code_of[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    if len(alphabet) <= 1 << 16:
+        code_of = code_of.astype(np.uint16)
     now = code_of[ids]
     width = max(1, int(max(len(alphabet) - 1, 0)).bit_length())
     squeeze = zstandard.ZstdCompressor(level=1).compress
     planes = []
     for level in reversed(range(width)):
-        bits = (now >> np.uint32(level)) & np.uint32(1) == 1
+        bits = (now & now.dtype.type(1 << level)) != 0
         packed = np.packbits(bits, bitorder="little").tobytes()
         step = SEGMENT_BITS // 8
         segments, ones, at = [], [0], [0]
@@ -267,12 +282,12 @@ class WaveletFile:
 
     def ids(self) -> np.ndarray:
         """All ids: the planes' partitions undone from the lowest plane up."""
-        code = np.zeros(self.n, np.uint32)
+        code = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, plane in enumerate(reversed(self.planes)):
-            one = plane.all() == 1
+            one = plane.all().view(bool)
             above = np.empty_like(code)
             above[~one] = code[: plane.zeros]
-            above[one] = code[plane.zeros :] | np.uint32(1 << level)
+            above[one] = code[plane.zeros :] | code.dtype.type(1 << level)
             code = above
         return self.alphabet[code]
 
