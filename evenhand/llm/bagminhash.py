@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import settled, written
+from evenhand.llm.common import settled, shielded, written
 from evenhand.llm.graph import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
@@ -268,6 +268,10 @@ def grouped(
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without near-duplicates: of each class the kept one, of its repeated rows one; all columns."""
+    return shielded(docs, {"_key", "_winner", "_hash", "_node"} - {key, text}, lambda d: _deduplicated(d, key, text, **options))
+
+
+def _deduplicated(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     winners = grouped(docs, key, text, **options).where("kept").select(F.col(key).alias("_key"), F.col("node").alias("_winner")).distinct()
     winners = winners.withColumn("_hash", F.xxhash64("_key", "_winner"))
     node = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))

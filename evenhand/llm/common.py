@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,11 @@ def held_out(doc_id: str, modulus: int, remainder: int = 2):
     """crc32 of the id's decimal text, as the fold of a document; a null id counts as the text ``null``."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     return (F.crc32(text) % modulus) == remainder
+
+
+def shielded(docs: DataFrame, internal: set[str], work) -> DataFrame:
+    """``work(docs)`` with the columns that are named like ``internal`` ones out of its way, and back in the result."""
+    own = {c: f"own{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c in internal}
+    if not own:
+        return work(docs)
+    return work(docs.withColumnsRenamed(own)).withColumnsRenamed({v: k for k, v in own.items()})

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import held_out, vocabulary_path, written
+from evenhand.llm.common import held_out, shielded, vocabulary_path, written
 
 MARK = "▁"
 UNDETERMINED = "und"
 ROUNDS = 2
 #: Added to every expected count, so that no piece is impossible in a language.
 PRIOR = 0.1
-#: Words up to this length go through the array form of the lattice, longer ones one by one through a short window.
+#: To be scored, words up to this length go through the lattice in arrays, longer ones one by one through a window.
 ARRAY_LENGTH = 64
 #: Probabilities are multiplied by this for each letter, so that products of many stay in range.
 SCALE = np.exp(2.5)
@@ -37,7 +37,14 @@ _RUNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _RUNS.findall(text.lower())
+    """Runs of letters; what counts as part of a word but is no letter, such as a superscript digit, ends a run."""
+    out = []
+    for run in _RUNS.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 class Lattice:
@@ -170,17 +177,12 @@ class Lattice:
             return np.log(sums) + offsets
 
     def expected(self, words: list[str], counts: np.ndarray, language: np.ndarray, probability: np.ndarray) -> np.ndarray:
-        """(pieces, languages) expected uses of the pieces; each word counts for its own language only.
-
-        Words beyond ``ARRAY_LENGTH`` are no words of a language as a rule and teach nothing.
-        """
+        """(pieces, languages) expected uses of the pieces; each word, however long, counts for its own language only."""
         scaled = self.scaled(probability)
         languages = probability.shape[1]
         total = np.zeros(self.size * languages)
         for rows, marked in by_length(words):
             length = len(marked[0])
-            if length > ARRAY_LENGTH:
-                continue
             own_language, n = language[rows], counts[rows]
             found = [(s, e, r, p, scaled[p, own_language[r]]) for s, e, r, p in self.matches(marked)]
             ahead = self._sums(length, len(marked), ((s, e, r, q) for s, e, r, _, q in found))
@@ -331,8 +333,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                # what counts as part of a word but is no letter (such as a superscript digit) does not decide
-                texts = [[w for w in words_of(t) if w.isalpha()] if t else [] for t in part.column(len(keep)).to_pylist()]
+                texts = [words_of(t) if t else [] for t in part.column(len(keep)).to_pylist()]
                 scorer.learn(set().union(*texts))
                 names, scores = [], []
                 for words in texts:
@@ -359,7 +360,10 @@ def identify(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", key: str
 def known(docs: DataFrame, least: float = 0.5, vocabulary: str = "piece_bpe_32k.model", key: str = "doc_id", text: str = "text", lang: str = "lang", modulus: int = 4) -> DataFrame:
     """The documents, all columns, whose language is one of those learned, with a score of at least ``least``."""
     model = fit(docs.where(~held_out(key, modulus)), vocabulary, text, lang)
+
+    def work(rows: DataFrame) -> DataFrame:
+        marked = predict(rows, model, text)
+        return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score")
+
     # the prediction's columns may not hide the documents' own of that name
-    marked = predict(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), model, text)
-    own = marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).drop("lang_pred", "score")
-    return own.withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"})
+    return shielded(docs, {"score", "lang_pred", "_text"}, work)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import settled, written
+from evenhand.llm.common import settled, shielded, written
 
 #: Lines shorter than this are duplicates only if they are equal.
 MIN_CHARS = 20
@@ -130,8 +130,14 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
 
     Lines are parted by line feeds; those that are blank always stay. Earlier means a smaller key, null keys last,
     or a smaller line number in the document; lines of equal keys and numbers (repeated rows) do not drop one another.
-    A null text stays null and has no lines; a text whose lines all go is empty, or what blank lines it has.
+    A null text stays null and has no lines; a text whose lines all go is empty, or what blank lines it has. Columns
+    that are named like the two new ones are replaced; all others stay as they are.
     """
+    own = docs.drop("n_lines", "n_dropped")
+    return shielded(own, {"_hash", "_key", "_doc", "_gone"} - {key, text}, lambda d: _deduplicated(d, key, text, min_chars))
+
+
+def _deduplicated(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     lines = lines_of(docs, key, text)
     length = F.length("line")
     distinct = lines.groupBy("h1", "h2").agg(

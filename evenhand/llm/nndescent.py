@@ -235,7 +235,9 @@ def grouped(
     shipped(spark)
     whole = written(nodes_of(rows, key, vector, label).withColumnRenamed(key, "own"), "nodes")
     copies = whole.groupBy("node", "label").agg(F.count(F.lit(1)).alias("copies"))
-    links = settled(neighbour_links(whole, threshold, k))
+    # repeated rows are one vector with copies; a second line of it would be a partner of itself
+    vectors = whole.where(F.col("node") == F.col("own")).dropDuplicates(["node"])
+    links = settled(neighbour_links(vectors, threshold, k))
     weights = links.join(copies.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     found = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
     known = (

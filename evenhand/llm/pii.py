@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import settled, written
+from evenhand.llm.common import settled, shielded, written
 
 # What the kinds look like, the titles and their gender.
 WORD = r"\p{L}\p{N}"
@@ -216,8 +216,14 @@ def replaced(docs: DataFrame, secret: str = "corpus", key: str = "doc_id", text:
     """All columns of the documents, the text with its personal data replaced, and n_entities (mentions replaced).
 
     ``secret`` is the key of the hashes. Null texts stay null; repeated rows and null keys stay rows of their own
-    and get equal surrogates; an empty table gives no rows.
+    and get equal surrogates; an empty table gives no rows. A column that is named ``n_entities`` is replaced; all others
+    stay as they are.
     """
+    own = docs.drop("n_entities")
+    return shielded(own, {"_key", "_doc", "_text", "_hash", "_new", "_n"} - {key, text}, lambda d: _replaced(d, secret, key, text))
+
+
+def _replaced(docs: DataFrame, secret: str, key: str, text: str) -> DataFrame:
     has = has_match(F.col(text))
     rows = docs.where(has).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_doc"), F.col(text).alias("_text"))
     mentions = rows.select("_key", "_doc", F.posexplode(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("at", "match"))
