@@ -34,6 +34,8 @@ FILLING_NODES, PACKING_NODES, LAST_PIECES = 3_000, 20_000, 48
 # tokens -------------------------------------------------------------------------------------------------
 
 WORDS_HELD = 600_000
+#: Parts in one text for the tokenizer: long texts take longer a part.
+TOGETHER = 64
 #: What the tokenizer splits a normalised word into, and the characters for which that split and the lower-casing
 #: here are the same as its own (no character composes, and all keep their length); other words are left to it.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -82,17 +84,18 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, parts: list[str]) -> None:
-        if not parts:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts):
-            self.parts.update((p, self._whole(p)) for p in parts)
-            return
-        flat, at = ids.tobytes(), 0
-        for p, cut in zip(parts, (4 * cuts).tolist(), strict=True):
-            self.parts[p] = flat[at:cut]
-            at = cut
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, encoded, strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):
+                self.parts.update((p, self._whole(p)) for p in group)
+                continue
+            flat, at = ids.tobytes(), 0
+            for p, cut in zip(group, (4 * cuts).tolist(), strict=True):
+                self.parts[p] = flat[at:cut]
+                at = cut
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -269,8 +272,51 @@ def search(pieces: list[int], capacity: int, nodes: int = PACKING_NODES) -> list
     return best
 
 
+def decreasing(pieces: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """(times, lengths of one sequence): best fit decreasing over a histogram, sequences of like content together.
+
+    Pieces of one length go to the fullest sequences that hold them, each as often as it can; so a length adds a few
+    kinds of sequences, however many pieces it has.
+    """
+    kinds: list[tuple[int, int, list[int]]] = []  # (room, times, lengths), by room
+    for length in sorted(pieces, reverse=True):
+        left, after = pieces[length], []
+        at = bisect.bisect_left(kinds, (length,))
+        kept, open_kinds = kinds[:at], kinds[at:]
+        for i, (room, times, filling) in enumerate(open_kinds):
+            if not left:
+                after += open_kinds[i:]
+                break
+            each = room // length
+            full = min(times, left // each)
+            if full:
+                after.append((room - each * length, full, filling + [length] * each))
+                left -= full * each
+            if full < times and 0 < left < each:
+                after.append((room - left * length, 1, filling + [length] * left))
+                left, full = 0, full + 1
+            if full < times:
+                after.append((room, times - full, filling))
+        each = capacity // length
+        if left >= each:
+            after.append((capacity - each * length, left // each, [length] * each))
+        if left % each:
+            after.append((capacity - left % each * length, 1, [length] * (left % each)))
+        kinds = sorted(kept + after, key=lambda k: k[:2])
+    return [(times, filling) for _, times, filling in kinds]
+
+
 def plan(pieces: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, lengths of one sequence) for a histogram of lengths."""
+    """(times, lengths of one sequence) for a histogram of lengths: the completed bins, or best fit decreasing over
+    the whole histogram where that needs fewer."""
+    completed = completion(pieces, capacity)
+    if sum(times for times, _ in completed) <= lower_bound({k: n for k, n in pieces.items() if n > 0}, capacity):
+        return completed
+    return min(completed, decreasing({k: n for k, n in pieces.items() if n > 0}, capacity), key=lambda p: sum(times for times, _ in p))
+
+
+def completion(pieces: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """Bin completion around the largest piece left, again and again, and a search over the last pieces."""
     counts = {k: n for k, n in pieces.items() if n > 0}
     lengths = sorted(counts)
     total = sum(counts.values())

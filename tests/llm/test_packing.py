@@ -111,3 +111,22 @@ def test_a_first_filling_is_complete_whatever_the_nodes():
     assert Counter(packing.best_filling(4000, {1: 3700, 300: 2}, [1, 300], nodes=1)) == {300: 2, 1: 3400}
     assert Counter(packing.best_filling(12, {2: 9, 5: 9, 8: 1}, [2, 5, 8])) == {8: 1, 2: 2}
     assert Counter(packing.best_filling(12, {5: 9, 7: 1, 8: 1}, [5, 7, 8])) == {7: 1, 5: 1}
+
+
+def test_never_above_best_fit_decreasing():
+    for seed in range(100):
+        dice = random.Random(seed)
+        top = dice.choice([40, 300, 4096])
+        pieces = [min(top, int(dice.lognormvariate(dice.choice([2.0, 4.0, 6.0]), 1.2)) + 1) for _ in range(dice.choice([200, 700]))]
+        counts = Counter(pieces)
+        bins = packing.best_fit(pieces, top)
+        kinds = packing.decreasing(counts, top)
+        for patterns in (kinds, packing.plan(counts, top)):
+            held = Counter()
+            for times, filling in patterns:
+                assert times > 0 and sum(filling) <= top
+                for k in filling:
+                    held[k] += times
+            assert held == counts
+        assert sum(t for t, _ in kinds) == len(bins)
+        assert sum(t for t, _ in packing.plan(counts, top)) <= len(bins)
