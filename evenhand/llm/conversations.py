@@ -207,7 +207,8 @@ def audits(rows: DataFrame) -> DataFrame:
     )
     same = Window.partitionBy("conv_id", "gone", "role", "h1", "h2").orderBy(F.col("turn").asc_nulls_first(), "copy")
     known = marked.withColumn("nth", F.row_number().over(same))
-    order = [F.col("gone"), *_order()]
+    # the number at the end decides nothing; it keeps the two windows apart, so that the first is dealt by role and text
+    order = [F.col("gone"), *_order(), F.col("nth")]
     line = Window.partitionBy("conv_id").orderBy(*order)
     fault = F.when(F.col("blank"), BLANK).when(F.col("nth") > 1, REPEATED).when(F.col("short"), SHORT).otherwise(SOUND)
     role = F.when(F.col("initial") == "u", 0).when(F.col("initial") == "a", 1).when(F.col("initial") == "s", 2).otherwise(3)
@@ -215,7 +216,7 @@ def audits(rows: DataFrame) -> DataFrame:
     coded = known.select(
         "conv_id",
         "turn",
-        *["gone", "role", "h1", "h2", "copy"],
+        *["gone", "role", "h1", "h2", "copy", "nth"],
         (fault * 4 + role).alias("code"),
         F.coalesce(~pair.isin("su", "ua", "au"), F.lit(False)).alias("illegal"),
     ).sortWithinPartitions("conv_id", *order).select("conv_id", "turn", "gone", F.col("code").cast("int").alias("code"), "illegal")
