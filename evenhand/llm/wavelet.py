@@ -39,11 +39,17 @@ _HEAD = struct.Struct("<8s7Q")
 
 #: A space between two characters that no Unicode version calls white space starts a part of its own, whatever
 #: stands around it; where a space has other white space behind it, or ends the text, only such spaces split.
-_IRREGULAR = re.compile(r" (?:[\s\x1c-\x1f\x85\xa0 ᠎ -⁯　﻿]|$)")
-_PLAIN = r"[!-~\xa1-˿Ͱ-ᙿぁ-퟿]"
+_IRREGULAR = re.compile(r" (?:[\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u206f\u3000\ufeff]|$)")
+_PLAIN = r"[!-~\xa1-\u02ff\u0370-\u167f\u3041-\ud7ff]"
 _SPLIT = re.compile(f"(?<={_PLAIN}) (?={_PLAIN})")
 #: A letter with such a character behind it at the end of a word: the last character is a part of its own.
-_ENDED = re.compile(r"[a-zA-Z\xe0-\xf6\xf8-\xff][.,;:!?]\Z")
+_ENDED = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u017f][.,;:!?]\Z")
+
+#: Words of such letters are one part, and stay one whatever the Unicode version.
+_LETTERS = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
+#: The vocabulary writes a byte as the character of its number, and those that cannot be seen as the ones from 256 on.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_UNSEEN)}
 
 
 class WordTable:
@@ -86,8 +92,9 @@ class WordTable:
         encoded at once and cut where a token opens with a space, as a space starts a part."""
         tokenize, plain, odd = self.tokenizer.model.tokenize, [], []
         for w in words:
-            if w.isalpha() and w.isascii():
-                ids = [t.id for t in tokenize("Ġ" + w)]
+            if _LETTERS.fullmatch(w):
+                shown = w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
+                ids = [t.id for t in tokenize("Ġ" + shown)]
                 self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 (odd if " " in w else plain).append(w)
