@@ -197,13 +197,19 @@ def random_probe(
     check_sensitive(frame, scorers, allow_blind)
     groups = resolve_groups(frame, groups)
     row_id = frame.needs_row_id("the random probe")
-    n_rows = frame.df.agg(F.count("*").alias("n")).scalar()
+    facts = [F.count("*").alias("n")]
+    if frame.dense:
+        facts += [F.min(row_id).alias("lo"), F.max(row_id).alias("hi")]
+    seen = frame.df.agg(*facts).first()
+    n_rows = seen["n"]
+    # a frame that claims ids 0…n−1 and has others would lose draws; it is numbered instead
+    dense = frame.dense and (seen["lo"], seen["hi"]) == (0, n_rows - 1)
     spark = frame.df.sparkSession
-    picks = spark.range(draws).select(
-        F.col("id").alias("draw"), (draw_hash(seed, F.col("id")) % F.nullif(n_rows, F.lit(0))).alias("_pick")
-    ).filter(F.col("draw") < n_rows)
+    picks = spark.range(min(draws, n_rows)).select(
+        F.col("id").alias("draw"), (draw_hash(seed, F.col("id")) % F.lit(max(n_rows, 1))).alias("_pick")
+    )
     small = F.broadcast if draws <= BROADCAST_DRAWS else (lambda df: df)  # two longs per draw
-    if frame.dense:
+    if dense:
         chosen = picks.withColumnRenamed("_pick", "_drawn")
     else:
         # only the ids are numbered; the rows themselves are fetched by id

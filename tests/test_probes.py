@@ -187,6 +187,13 @@ def test_random_probe(spark):
     assert probes.random_probe(_frame(spark, 10, groups=("a",)), [LINEAR], 50).count() == 0
 
 
+def test_a_false_claim_of_dense_ids_loses_no_draw(spark):
+    claimed = _frame(spark, dense=True)  # its ids are multiples of three
+    assert probes.random_probe(claimed, [LINEAR], 50).exceptAll(probes.random_probe(_frame(spark), [LINEAR], 50)).count() == 0
+    right = claimed.with_df(claimed.df.withColumn("id", (F.col("id") / 3).cast("bigint")))
+    assert probes.random_probe(claimed, [LINEAR], 50).count() == probes.random_probe(right, [LINEAR], 50).count() == 50
+
+
 @pytest.mark.parametrize("k", [1, 30, 5000])
 def test_boundary_probe(spark, k):
     f = _frame(spark)
