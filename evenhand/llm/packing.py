@@ -84,6 +84,11 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, parts: list[str]) -> None:
+        """Plain letters go straight to the tokenizer's model, the others many at once."""
+        tokenize, letters = self.tokenizer.model.tokenize, [p for p in parts if p.isascii() and p.isalpha()]
+        for p in letters:
+            self.parts[p] = np.array([t.id for t in tokenize(p)], "<u4").tobytes()
+        parts = list(set(parts).difference(letters))
         groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
         encoded = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
         for group, found in zip(groups, encoded, strict=True):

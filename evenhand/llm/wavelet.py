@@ -49,13 +49,14 @@ _ENDED = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u017f][.,;:!?]\Z")
 _LETTERS = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 #: The vocabulary writes a byte as the character of its number, and those that cannot be seen as the ones from 256 on.
 _UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(40)]
 _SHOWN = {b: 256 + i for i, b in enumerate(_UNSEEN)}
 
 
 class WordTable:
     """Distinct words, each with the space before it, and their ids (packed); bounded, starts anew when full."""
 
-    def __init__(self, vocabulary: str, entries: int = 700_000, together: int = 64):
+    def __init__(self, vocabulary: str, entries: int = 1_200_000, together: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -63,6 +64,7 @@ class WordTable:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.entries, self.together = entries, together
         self.words: dict[str | None, bytes] = {None: b""}
+        self.firsts: dict[str, bytes] = {}
         self.ends = {c: self.ids(c) for c in ".,;:!?"}
 
     def ids(self, text: str) -> bytes:
@@ -70,13 +72,21 @@ class WordTable:
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [(_SPLIT.split(t) if _IRREGULAR.search(t) else t.split(" ")) for t in texts]
-        firsts = [self.ids(words[0]) for words in split]
+        firsts = [self._first(words[0]) for words in split]
         for words in split:
             words[0] = None
         self._learn(set().union(*split))
         got = self.words.__getitem__
         return [first + b"".join(map(got, words)) for first, words in zip(firsts, split, strict=True)]
 
+    def _first(self, word: str) -> bytes:
+        """The word that a text starts with has no space before it."""
+        if word not in self.firsts:
+            if len(self.firsts) > self.entries // 10:
+                self.firsts.clear()
+            self.firsts[word] = self.ids(word)
+        return self.firsts[word]
+
     def _learn(self, words: set) -> None:
         fresh = words.difference(self.words)
         if len(self.words) + len(fresh) > self.entries:
@@ -95,7 +105,7 @@ class WordTable:
             if _LETTERS.fullmatch(w):
                 shown = w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
                 ids = [t.id for t in tokenize("Ġ" + shown)]
-                self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+                self.words[w] = _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else np.array(ids, "<u4").tobytes()
             else:
                 (odd if " " in w else plain).append(w)
         groups = [plain[i : i + self.together] for i in range(0, len(plain), self.together)]
@@ -153,7 +163,8 @@ def build(ids: np.ndarray, keys: pa.Array, lengths: np.ndarray, part: int = 0, s
             ones.append(ones[-1] + int(np.count_nonzero(bits[i * 8 : i * 8 + SEGMENT_BITS])))
         head = struct.pack("<2Q", len(ids) - ones[-1], len(segments))
         planes.append(head + np.array(ones, "<u8").tobytes() + np.array(at, "<u8").tobytes() + b"".join(segments))
-        now = np.concatenate([now[~bits], now[bits]])
+        # places first: taking by them is several times as fast as by a mask of unforeseeable bits
+        now = np.concatenate([now.take(np.flatnonzero(~bits)), now.take(np.flatnonzero(bits))])
     sink = pa.BufferOutputStream()
     documents = pa.record_batch([keys, pa.array(lengths, pa.int64())], names=["key", "length"])
     with pa.ipc.new_stream(sink, documents.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
@@ -293,8 +304,8 @@ class WaveletFile:
         for level, plane in enumerate(reversed(self.planes)):
             one = plane.all().view(bool)
             above = np.empty_like(code)
-            above[~one] = code[: plane.zeros]
-            above[one] = code[plane.zeros :] | code.dtype.type(1 << level)
+            above[np.flatnonzero(~one)] = code[: plane.zeros]
+            above[np.flatnonzero(one)] = code[plane.zeros :] | code.dtype.type(1 << level)
             code = above
         return self.alphabet[code]
 
