@@ -6,9 +6,12 @@ rate is its width, whose points fall into a slot and a height of the level, and
 the shingle's weight. A slot's value is its first point, so two texts agree in a slot with a chance of just their
 similarity. Points are made in order of time and only while they can still be the first of a slot.
 
-Signatures are banded. Members of a bucket are compared with its leader, not with each other; those linked form
-components, and only buckets that still hold several components are gone through again, with new leaders, until
-none is left. Every link is verified with the true multisets.
+Signatures are banded. Members of a bucket are compared with its leader, not with each other: the member that meets
+the most others over all its buckets, as the least changed copy of a group does. Those linked form components. What
+shares a bucket that still holds several components is compared by its multisets: two texts of the wanted similarity
+share one of their rarest shingles, and what follows the first shared one in both bounds their overlap. Only pairs
+that pass this exact bound are verified, again with leaders and in rounds, until no shingle holds two components.
+Every link is verified with the true multisets.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import settled, shielded, written
+from evenhand.llm.common import freed, settled, shielded, written
 from evenhand.llm.graph import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
@@ -30,6 +33,8 @@ WORDS_HELD = 500_000
 MEMBERS_PER_LEADER = 200
 #: Leaders of a bucket in one of the later rounds.
 LEADERS = 16
+#: Counters that order shingles by how often they occur; fewer order them less well, with the same result.
+SLOTS = 1 << 18
 _HIGH = np.uint64(64 - 10)
 DOCS_AT_ONCE = 1 << 10
 
@@ -191,51 +196,124 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     return rows.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b) verified links between different texts (node, text) that join all near-duplicates found by the bands.
+def rarest(texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(bucket, node, size, rest) for the rarest shingles of every (node, text).
 
-    Rows with equal texts are one node. Texts are shuffled once: of those that share a bucket with another one.
+    ``bucket`` is the shingle, ``size`` the weight of all shingles of the text, ``rest`` that of this one and of those
+    that follow it in one order for all texts, rare ones first. A shingle counts while ``rest`` is at least the
+    threshold's share of ``size``: what two texts of that similarity have in common starts no later in either of them.
+    Shingles of a single text are left out. The order comes from ``SLOTS`` counters, the only thing that is broadcast.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, n = Shingler(shingle), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                _, keys, _ = shingler.bags(batch.slice(start, DOCS_AT_ONCE).column(1).to_pylist())
+                n += np.bincount((keys % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        on = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(n[on])], names=["slot", "n"])
+
+    spark = texts.sparkSession
+    texts = texts.select("node", "text")
+    counted = texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(SLOTS, np.int64)
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, often = Shingler(shingle), shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(start, DOCS_AT_ONCE)
+                owner, keys, weight = shingler.bags(part.column(1).to_pylist())
+                if not len(owner):
+                    continue
+                n = often[(keys % np.uint64(SLOTS)).astype(np.int64)]
+                order = np.lexsort((keys, n, owner))
+                keys, weight, n = keys[order], weight[order], n[order]
+                before = np.cumsum(weight) - weight
+                first = np.searchsorted(owner, np.arange(part.num_rows))
+                size = np.bincount(owner, weights=weight, minlength=part.num_rows).astype(np.int64)[owner]
+                rest = size - (before - before[first[owner]])
+                on = (rest >= threshold * size - 1e-9) & (n > 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[on].view(np.int64)), part.column(0).take(pa.array(owner[on])), pa.array(size[on]), pa.array(rest[on])],
+                    names=["bucket", "node", "size", "rest"],
+                )
+
+    return texts.mapInArrow(run, "bucket long, node binary, size long, rest long")
+
+
+def _several(members: DataFrame, threshold: float) -> DataFrame:
+    """Of (bucket, node, size, rest, component) the members that can be alike to one of another component in their bucket."""
+    for _ in range(2):
+        least = members.groupBy("bucket").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("size").alias("least"), F.max("rest").alias("most")
+        )
+        members = members.join(least.where("lo <> hi").drop("lo", "hi"), "bucket")
+        possible = F.least("rest", "most") * (1 + threshold) >= threshold * (F.col("size") + F.col("least")) - 1e-9
+        members = members.where(possible).drop("least", "most")
+    return members
+
+
+def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links and the (node, component) that they make."""
     keys = banded(docs, shingle, bands, rows).dropDuplicates(["node"])
     exploded = keys.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     exploded = written(exploded, "bands")
-    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(exploded.join(shared, "bucket").select("bucket", "node", "leader"), "buckets")
-    wanted = members.select("node").distinct()
-    texts = written(docs.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "texts")
-    pairs = settled(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(exploded.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
+    freed(exploded)
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    leaders = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("leader"))
+    leaders = leaders.select("bucket", F.col("leader.node").alias("leader"))
+    texts = written(docs.select("node", "text").dropDuplicates(["node"]).join(central.select("node"), "node", "left_semi"), "texts")
+    pairs = settled(members.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     known = written(verified(pairs, texts, threshold, shingle), "links")
-    alive = members.select("bucket", "node")
+    found = components(known.where("linked"))
+    of = lambda table: table.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = of(members).groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    unsettled = members.join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
+    texts = written(texts.join(unsettled, "node", "left_semi"), "open")
+    alive = written(rarest(texts, threshold, shingle), "rarest")
     while True:
-        found = components(known.where("linked"))
-        # a bucket is done when its members are one component, or when no uncompared pair is left
-        marked = alive.join(found, alive["node"] == found["node"], "left").select("bucket", alive["node"], F.coalesce("component", alive["node"]).alias("component"))
-        several = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        marked = settled(marked.join(several, "bucket"))
+        marked = settled(_several(of(alive), threshold))
         if marked.isEmpty():
             break
         # the members of a bucket's smallest components lead next; each leads once
-        sizes = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+        sizes = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "rest")).alias("first"))
         order = Window.partitionBy("bucket").orderBy("n", "component")
         leaders = (
             sizes.withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= LEADERS)
-            .select("bucket", F.col("first").alias("leader"), F.col("component").alias("own"), "place")
+            .select("bucket", F.col("first.node").alias("leader"), F.col("component").alias("own"), F.col("first.size").alias("of"), F.col("first.rest").alias("left"))
         )
+        possible = F.least("rest", "left") * (1 + threshold) >= threshold * (F.col("size") + F.col("of")) - 1e-9
         candidates = (
             marked.join(leaders, "bucket")
-            .where(F.col("component") != F.col("own"))
+            .where((F.col("component") != F.col("own")) & possible)
             .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
             .distinct()
         )
         seen = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = settled(candidates.join(seen, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
-            known = settled(known.union(verified(fresh, texts, threshold, shingle)))
-        alive = settled(
-            marked.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        )
-    return known.where("linked").select("a", "b")
+            more = settled(verified(fresh, texts, threshold, shingle))
+            known = known.union(more)
+            if not more.where("linked").isEmpty():
+                found = components(known.where("linked"))
+        led = leaders.select("bucket", F.col("leader").alias("node"))
+        alive = settled(marked.drop("component").join(led, ["bucket", "node"], "left_anti"))
+    return known.where("linked").select("a", "b"), found
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(a, b) verified links between different texts (node, text) that join all near-duplicates found by the bands.
+
+    Rows with equal texts are one node. Texts are shuffled once: of those that share a bucket with another one.
+    """
+    return _linked(docs, threshold, shingle, bands, rows)[0]
 
 
 def grouped(
@@ -250,7 +328,7 @@ def grouped(
     """
     own = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("node", F.unhex(F.md5("text")))
-    found = components(links(own, threshold, shingle))
+    _, found = _linked(own, threshold, shingle, BANDS, ROWS)
     rows = own.select("_key", "node")
     marked = rows.join(found, "node", "left").select("_key", "node", F.coalesce("component", "node").alias("component"))
     least = marked.groupBy("component").agg(

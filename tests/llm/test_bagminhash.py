@@ -112,3 +112,33 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rarest_shingles_bring_every_similar_pair_together(spark):
+    # copies of one text with one to many changed words, a long text of repeats, and texts that share a passage only
+    draw = np.random.default_rng(11)
+    base = [f"w{k}" for k in draw.integers(0, 60, 150)]
+    texts = []
+    for copy in range(60):
+        words = list(base)
+        for at in draw.integers(0, 150, int(draw.integers(1, 9))):
+            words[at] = f"x{copy}{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(["same", *base[:20], *(f"z{k}{j}" for j in range(40))]) for k in range(20)] + ["r s t " * 900, "r s t " * 800]
+    data = spark.createDataFrame([(str(k).encode(), t) for k, t in enumerate(texts)], "node binary, text string")
+    rows = bagminhash.rarest(data, 0.8, 5).collect()
+    at = {}
+    for r in rows:
+        at.setdefault(r["bucket"], []).append((int(bytes(r["node"])), r["size"], r["rest"]))
+    met = set()
+    for members in at.values():
+        for a, n, rest in members:
+            for b, m, other in members:
+                if a < b and min(rest, other) * 1.8 >= 0.8 * (n + m) - 1e-9:
+                    met.add((a, b))
+    bags = [bag(t) for t in texts]
+    alike = {
+        (a, b) for b in range(len(texts)) for a in range(b) if sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values())
+    }
+    assert len(alike) > 20 and alike <= met
+    assert len(met) < 0.5 * len(texts) * (len(texts) - 1) / 2
