@@ -32,7 +32,7 @@ ARRAY_LENGTH = 64
 SCALE = np.exp(2.5)
 #: Sums beyond these are rescaled while a word is passed.
 LEAST, MOST = 1e-100, 1e100
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
