@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import freed, settled, shielded, written
+from evenhand.llm.common import freed, packed, settled, shielded, written
 from evenhand.llm.graph import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
-WORDS_HELD = 500_000
+WORDS_HELD = 250_000
 #: Members that one copy of a leader's text is compared with.
 MEMBERS_PER_LEADER = 200
 #: Leaders of a bucket in one of the later rounds.
@@ -277,10 +277,13 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
     unsettled = members.join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
     texts = written(texts.join(unsettled, "node", "left_semi"), "open")
     alive = written(rarest(texts, threshold, shingle), "rarest")
-    while True:
-        marked = settled(_several(of(alive), threshold))
-        if marked.isEmpty():
+    size = alive.count()
+    while size:
+        marked = settled(packed(_several(of(alive), threshold), size))
+        size = marked.count()
+        if not size:
             break
+        marked = packed(marked, size)
         # the members of a bucket's smallest components lead next; each leads once
         sizes = marked.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size", "rest")).alias("first"))
         order = Window.partitionBy("bucket").orderBy("n", "component")
@@ -297,14 +300,14 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
             .distinct()
         )
         seen = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = settled(candidates.join(seen, ["a", "b"], "left_anti"))
+        fresh = settled(packed(candidates.join(seen, ["a", "b"], "left_anti"), size))
         if not fresh.isEmpty():
             more = settled(verified(fresh, texts, threshold, shingle))
             known = known.union(more)
             if not more.where("linked").isEmpty():
                 found = components(known.where("linked"))
         led = leaders.select("bucket", F.col("leader").alias("node"))
-        alive = settled(marked.drop("component").join(led, ["bucket", "node"], "left_anti"))
+        alive = settled(packed(marked.drop("component").join(led, ["bucket", "node"], "left_anti"), size))
     return known.where("linked").select("a", "b"), found
 
 

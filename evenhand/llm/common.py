@@ -60,6 +60,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int, at_once: int = 100_000) -> DataFrame:
+    """As many partitions as so many rows need, and no more than there are: a small table makes no host of tasks."""
+    return df.coalesce(rows // at_once + 1)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int = 2):
     """crc32 of the id's decimal text, as the fold of a document; a null id counts as the text ``null``."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import settled
+from evenhand.llm.common import packed, settled
 
 
-def _stars(links: DataFrame, large: bool) -> DataFrame:
+def _stars(links: DataFrame, large: bool, rows: int) -> DataFrame:
     """One step of alternating stars: every node's larger (or smaller) neighbours are linked to its least neighbour."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.union(links.select("b", "a")) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -18,7 +18,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-    return out.where("a <> b").distinct()
+    return packed(out.where("a <> b").distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,9 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the longest path. An empty table gives no rows.
     """
     now = settled(links.select("a", "b").where("a <> b").distinct())
-    before = None
+    rows, before = now.count(), None
+    now = packed(now, rows)
     while True:
-        now = settled(_stars(_stars(now, large=True), large=False))
+        now = settled(_stars(_stars(now, True, rows), False, rows))
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             break
