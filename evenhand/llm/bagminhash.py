@@ -277,7 +277,7 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
     unsettled = members.join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
     texts = written(texts.join(unsettled, "node", "left_semi"), "open")
     alive = written(rarest(texts, threshold, shingle), "rarest")
-    size = alive.count()
+    size, compared = alive.count(), known.count()
     while size:
         marked = settled(packed(_several(of(alive), threshold), size))
         size = marked.count()
@@ -300,10 +300,10 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
             .distinct()
         )
         seen = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = settled(packed(candidates.join(seen, ["a", "b"], "left_anti"), size))
+        fresh = settled(packed(candidates.join(seen, ["a", "b"], "left_anti"), size + compared))
         if not fresh.isEmpty():
             more = settled(verified(fresh, texts, threshold, shingle))
-            known = known.union(more)
+            known, compared = known.union(more), compared + more.count()
             if not more.where("linked").isEmpty():
                 found = components(known.where("linked"))
         led = leaders.select("bucket", F.col("leader").alias("node"))
