@@ -2,15 +2,15 @@
 
 A neighbour graph starts from vectors that fall on the same side of random hyperplanes. Each round joins the
 neighbours of every vector with each other (a neighbour of a neighbour is probably a neighbour) and keeps the
-best. A list is full at ``K`` entries; when all of it are links it is saturated and grows with the links found, so
-no link is crowded out. Rounds end when hardly a link is new. They leave out what no group brought together, so all
-vectors are then compared with those of their label, block by block, and no link is missing. Equal vectors are one
-node.
+best ``K``. Rounds end when hardly a link is new. The links of the lists make components. Lists leave out what no
+group brought together and what is beyond their length, so all vectors are then compared with those of their label,
+block by block: every link is counted, and those between components are kept. Links within a component are never rows,
+so a large group of near copies costs comparisons and no disk. Equal vectors are one node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,8 +68,8 @@ def _planes(nodes: DataFrame, first: int, tables: int) -> DataFrame:
     return fallen.join(parts, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("node", "t"), F.col("parts"))).alias("gid"), "node")
 
 
-def _pairs(members: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(u, v, sim): within every group (gid, node, fresh) each member's k best partners and all of its links.
+def _pairs(members: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(u, v, sim): within every group (gid, node, fresh) each member's k best partners, ties to the lesser node.
 
     Only pairs with a fresh member count. Groups stream through the tasks one after the other.
     """
@@ -79,15 +79,16 @@ def _pairs(members: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Da
     def compare(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2 or not g["fresh"].any() or len(g["vec"].iloc[0]) != len(g["vec"].iloc[-1]):
             return None
+        g = g.sort_values("node")
         node, fresh = g["node"].to_numpy(), g["fresh"].to_numpy()
         x = _unit(g["vec"].tolist())
         sim = x @ x.T
         sim[~(fresh[:, None] | fresh[None, :])] = -np.inf
         np.fill_diagonal(sim, -np.inf)
-        top = min(k, len(g) - 1)
-        kth = -np.partition(-sim, top - 1, axis=1)[:, top - 1]
-        u, v = np.nonzero(((sim >= kth[:, None]) | (sim >= threshold)) & np.isfinite(sim))
-        return pd.DataFrame({"u": node[u], "v": node[v], "sim": sim[u, v]})
+        v = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(g) - 1)].ravel()
+        u = np.repeat(np.arange(len(g)), min(k, len(g) - 1))
+        on = np.isfinite(sim[u, v])
+        return pd.DataFrame({"u": node[u[on]], "v": node[v[on]], "sim": sim[u[on], v[on]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -110,17 +111,14 @@ def _pairs(members: DataFrame, nodes: DataFrame, threshold: float, k: int) -> Da
     return rows.select("gid", "node", "fresh", "vec").mapInPandas(run, "u long, v long, sim double")
 
 
-def _best(lists: DataFrame | None, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(u, v, sim, fresh): the k best of every u and all of its links."""
+def _best(lists: DataFrame | None, pairs: DataFrame, k: int) -> DataFrame:
+    """(u, v, sim, fresh): the k best of every u."""
     both = pairs.select("u", "v", "sim", F.lit(1).alias("fresh")).union(pairs.select("v", "u", "sim", F.lit(1)))
     if lists is not None:
         both = both.union(lists.select("u", "v", "sim", F.lit(0)))
     merged = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    # links need no rank, so a list of very many links is not sorted with the others
-    links = merged.where(F.col("sim") >= threshold)
-    others = merged.where(F.col("sim") < threshold).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
-    return settled(links.union(others))
+    return settled(merged.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place"))
 
 
 def _centres(lists: DataFrame, turn: int) -> DataFrame:
@@ -167,14 +165,13 @@ def audit(lists: DataFrame, nodes: DataFrame, threshold: float, sample: int = AU
     return row["known"] / row["all"] if row["all"] else 1.0
 
 
-def block_links(nodes: DataFrame, threshold: float, values: int = BLOCK_VALUES) -> DataFrame:
-    """(u, v), both directions, of all links between different vectors.
+def _by_block(own: DataFrame, values: int, compare: Callable, schema: str) -> DataFrame:
+    """``compare(frames, block, shared)`` over the vectors of a block's own and later blocks, one block after the other.
 
-    Blocks of about ``values`` components are compared with the vectors of their own and later blocks, one after the
-    other. A block and the links of a batch are all that a task holds; vectors are not copied for other blocks.
+    A block has about ``values`` components; ``shared`` has its (frame, unit vectors) by label and length. Vectors are
+    not copied for other blocks.
     """
-    spark = nodes.sparkSession
-    own = nodes.where(F.col("node") == F.col("own")).select("node", F.col("label").cast("string").alias("label"), "dim", "vec").dropDuplicates(["node"])
+    spark = own.sparkSession
     size = own.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
     blocks = max(1, -(-size["n"] * (size["dim"] or 1) // values))
     parts = max(2 * spark.sparkContext.defaultParallelism, size["n"] // 4096)
@@ -182,38 +179,90 @@ def block_links(nodes: DataFrame, threshold: float, values: int = BLOCK_VALUES)
     out = None
     for block in range(blocks):
         asked = own.where(F.col("block") == block).toPandas()
-        shared = spark.sparkContext.broadcast({x: (g["node"].to_numpy(), _unit(g["vec"].tolist())) for x, g in asked.groupby(["label", "dim"])})
-
-        def compare(frames: Iterator[pd.DataFrame], shared=shared, block=block) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for x, g in f.groupby(["label", "dim"]):
-                    if x not in shared.value:
-                        continue
-                    ask, q = shared.value[x]
-                    for at in range(0, len(g), AT_ONCE):
-                        some = g.iloc[at : at + AT_ONCE]
-                        i, j = np.nonzero(_unit(some["vec"].tolist()) @ q.T >= threshold)
-                        u, v = some["node"].to_numpy()[i], ask[j]
-                        once = (some["block"].to_numpy()[i] > block) | (u > v)
-                        yield pd.DataFrame({"u": u[once], "v": v[once]})
-
-        found = settled(own.where(F.col("block") >= block).mapInPandas(compare, "u long, v long"))
+        shared = spark.sparkContext.broadcast({x: (g.drop(columns="vec"), _unit(g["vec"].tolist())) for x, g in asked.groupby(["label", "dim"])})
+        task = lambda frames, shared=shared, block=block: compare(frames, block, shared.value)
+        found = settled(own.where(F.col("block") >= block).mapInPandas(task, schema))
         shared.destroy()
         out = found if out is None else out.union(found)
+    return out
+
+
+def _once(frames: Iterator[pd.DataFrame], block: int, shared: dict, threshold: float) -> Iterator[tuple]:
+    """(label and length, some vectors, i, j): places of the links between some vectors and the block's, each link once."""
+    for f in frames:
+        for x, g in f.groupby(["label", "dim"]):
+            if x not in shared:
+                continue
+            ask, q = shared[x]
+            for at in range(0, len(g), AT_ONCE):
+                some = g.iloc[at : at + AT_ONCE]
+                i, j = np.nonzero(_unit(some["vec"].tolist()) @ q.T >= threshold)
+                on = (some["block"].to_numpy()[i] > block) | (some["node"].to_numpy()[i] > ask["node"].to_numpy()[j])
+                yield x, some, i[on], j[on]
+
+
+def _comparable(nodes: DataFrame, *columns: str) -> DataFrame:
+    own = nodes.where(F.col("node") == F.col("own"))
+    return own.select("node", F.col("label").cast("string").alias("label"), "dim", "vec", *columns).dropDuplicates(["node"])
+
+
+def block_links(nodes: DataFrame, threshold: float, values: int = BLOCK_VALUES) -> DataFrame:
+    """(u, v), both directions, of all links between different vectors, as rows."""
+
+    def compare(frames: Iterator[pd.DataFrame], block: int, shared: dict) -> Iterator[pd.DataFrame]:
+        for x, some, i, j in _once(frames, block, shared, threshold):
+            yield pd.DataFrame({"u": some["node"].to_numpy()[i], "v": shared[x][0]["node"].to_numpy()[j]})
+
+    out = _by_block(_comparable(nodes), values, compare, "u long, v long")
     return out.union(out.select("v", "u"))
 
 
+def block_sums(nodes: DataFrame, threshold: float, values: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, others), the copies of all vectors that link with a node, and (u, v) links between different components.
+
+    ``nodes`` also has ``copies`` and ``component``. Of the links that a batch finds between two components one is a row,
+    and a task hands on one sum for a vector of the block: rows grow with the vectors, not with the links.
+    """
+
+    def compare(frames: Iterator[pd.DataFrame], block: int, shared: dict) -> Iterator[pd.DataFrame]:
+        sums = {x: np.zeros(len(ask), np.int64) for x, (ask, _) in shared.items()}
+        for x, some, i, j in _once(frames, block, shared, threshold):
+            ask = shared[x][0]
+            sums[x] += _summed(j, some["copies"].to_numpy()[i], len(ask))
+            own = _summed(i, ask["copies"].to_numpy()[j], len(some))
+            yield pd.DataFrame({"u": some["node"].to_numpy()[own > 0], "v": some["node"].to_numpy()[own > 0], "n": own[own > 0]})
+            one, other = some["component"].to_numpy()[i], ask["component"].to_numpy()[j]
+            apart = np.flatnonzero(one != other)
+            if len(apart):
+                ends = np.unique(np.stack([one[apart], other[apart]]), axis=1)
+                yield pd.DataFrame({"u": ends[0], "v": ends[1], "n": 0})
+        for x, n in sums.items():
+            node = shared[x][0]["node"].to_numpy()[n > 0]
+            yield pd.DataFrame({"u": node, "v": node, "n": n[n > 0]})
+
+    out = _by_block(_comparable(nodes, "copies", "component"), values or BLOCK_VALUES, compare, "u long, v long, n long")
+    sums = out.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    return sums, out.where("n = 0").select("u", "v").distinct()
+
+
+def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
 def descent(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """(u, v), both directions, of the links between different vectors that the rounds found."""
+    """(u, v), both directions, of the links between different vectors in the lists of the rounds."""
     known = -1
     groups = _planes(nodes.where(F.col("node") == F.col("own")), 0, TABLES).withColumn("fresh", F.lit(1))
-    lists = _best(None, _pairs(groups, nodes, threshold, k), threshold, k)
+    lists = _best(None, _pairs(groups, nodes, k), k)
     for turn in range(1, 21):
-        lists = _best(lists, _pairs(_centres(lists, turn), nodes, threshold, k), threshold, k)
+        lists = _best(lists, _pairs(_centres(lists, turn), nodes, k), k)
         before, known = known, lists.where(F.col("sim") >= threshold).count()
         if known <= before * 1.002:
             break
-    return lists.where(F.col("sim") >= threshold).select("u", "v")
+    links = lists.where(F.col("sim") >= threshold)
+    return links.select("u", "v").union(links.select("v", "u")).distinct()
 
 
 def neighbour_links(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -237,13 +286,15 @@ def grouped(
     copies = whole.groupBy("node", "label").agg(F.count(F.lit(1)).alias("copies"))
     # repeated rows are one vector with copies; a second line of it would be a partner of itself
     vectors = whole.where(F.col("node") == F.col("own")).dropDuplicates(["node"])
-    links = settled(neighbour_links(vectors, threshold, k))
-    weights = links.join(copies.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
-    found = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    found = components(descent(vectors, threshold, k).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    marked = vectors.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    weights, missed = block_sums(marked.join(copies, ["node", "label"]), threshold)
+    if not missed.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(missed))
     known = (
         whole.select(F.col("own").alias("id"), "node", "label")
         .join(copies, ["node", "label"])
-        .join(weights.withColumnRenamed("u", "node"), "node", "left")
+        .join(weights, "node", "left")
         .join(found, "node", "left")
         .select(
             "id",

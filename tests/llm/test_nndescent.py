@@ -105,3 +105,22 @@ def test_blocks_find_every_link(spark):
     assert len(parts) == len(whole) and set(parts) == whole
     counts = {r[0]: r[1] for r in brute(rows)}
     assert all(sum(u == k for u, _ in whole) == n for k, n in counts.items())
+
+
+def test_links_of_a_large_group_are_counted_and_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK_VALUES", 64 * 300)
+    rng = np.random.default_rng(9)
+    near = rng.standard_normal(64) + 0.02 * rng.standard_normal((200, 64))
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate([*near, *near[:5], *rng.standard_normal((300, 64))])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = nndescent.nodes_of(data, "vec_id", "embedding", "label").withColumnRenamed("vec_id", "own").dropDuplicates(["node"]).cache()
+    # an entry of a list is a link in both directions
+    assert nndescent.descent(nodes).count() <= 2 * nndescent.K * len(rows)
+    made = []
+    sums = nndescent.block_sums
+    monkeypatch.setattr(nndescent, "block_sums", lambda *a: made.append(sums(*a)) or made[-1])
+    assert sorted(map(tuple, nndescent.grouped(data).collect())) == sorted(brute(rows))
+    assert made[0][0].count() == 200
+    # what the rounds leave out is found by the blocks
+    monkeypatch.setattr(nndescent, "descent", lambda n, *_: n.limit(0).select(n.node.alias("u"), n.node.alias("v")))
+    assert sorted(map(tuple, nndescent.grouped(data).collect())) == sorted(brute(rows))
