@@ -3,7 +3,7 @@
 Every document belongs to one of a few shards. First each shard is mined completely, level by level: a phrase of m
 words is counted only where both its parts of m - 1 words are frequent in the shard, and frequent means the support
 lowered by the shard's share of all words, so a phrase that is frequent at large is frequent in one shard at least.
-The union of what the shards found is then counted over all documents, exactly, by the words themselves; phrases
+The union of what the shards found, less what cannot reach the support with the others' counts, is then counted over all documents, exactly, by the words themselves; phrases
 below the support go. What is frequent is told to the scanning tasks by bit filters: a filter may let too much
 through, which costs counting, and never too little. Counts are summed within a task before they are shuffled.
 """
@@ -23,6 +23,8 @@ from evenhand.llm.common import shipped, written
 
 SHARD_BITS, CODE_BITS = 3, 12
 SLICE_BYTES = 4 << 20
+#: Lines of phrases that a scanning task holds before it sums them, and what it hands on early if sums stay above.
+HELD_LINES, HELD_SUMS = 600_000, 400_000
 #: A filter has ten bits for every key, up to 2**28 bits (32 MB); beyond that it lets more through.
 FILTER_BITS = (16, 28)
 
@@ -184,7 +186,7 @@ def _counted(rows: DataFrame, filters, size: int) -> DataFrame:
 
 
 def _mined(rows: DataFrame, support: int, longest: int) -> list[BitFilter]:
-    """Per length the filter of all phrases that some shard found frequent."""
+    """Per length the filter of all phrases that some shard found frequent and that can reach the support at large."""
     spark = rows.sparkSession
     code = F.col("key").bitwiseAND((1 << CODE_BITS) - 1)
     local, union = [], []
@@ -197,19 +199,47 @@ def _mined(rows: DataFrame, support: int, longest: int) -> list[BitFilter]:
             together: dict[int, int] = {}
             for c, n in sizes.items():
                 together[c >> SHARD_BITS] = together.get(c >> SHARD_BITS, 0) + n
-            bounds = [(c, -(-support * n // together[c >> SHARD_BITS])) for c, n in sizes.items()]
-            least = spark.createDataFrame(bounds, "code long, least long")
-        frequent = counts.withColumn("code", code).join(F.broadcast(least), "code").where("n >= least").select("key")
+            bounds = {c: -(-support * n // together[c >> SHARD_BITS]) for c, n in sizes.items()}
+            needed: dict[int, int] = {}
+            for c, n in bounds.items():
+                needed[c >> SHARD_BITS] = needed.get(c >> SHARD_BITS, support) - (n - 1)
+            least = spark.createDataFrame([(c, n, needed[c >> SHARD_BITS]) for c, n in bounds.items()], "code long, least long, needed long")
+        frequent = counts.withColumn("code", code).join(F.broadcast(least), "code").where("n >= least")
+        frequent = frequent.select("key", (F.col("n") - F.col("least") + 1).alias("more"), "needed")
         frequent = written(frequent, f"shard-frequent-{m}")
         n = frequent.count()
         local.append(BitFilter.of(frequent, n))
         shard = (1 << SHARD_BITS) - 1
-        union.append(BitFilter.of(frequent.select(F.col("key").bitwiseAND(~shard).alias("key")).distinct(), n))
+        # where a phrase was not found it has less than that shard's least; with what the others counted it must reach the support
+        possible = frequent.groupBy(F.col("key").bitwiseAND(~shard).alias("key")).agg(F.sum("more").alias("more"), F.first("needed").alias("needed"))
+        union.append(BitFilter.of(possible.where("more >= needed"), n))
         if n == 0:
             break
     return union
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, words, phrase, n) with one line for a phrase, as long as a bounded number of lines holds them all."""
+    held, lines = [], 0
+
+    def summed() -> pa.Table:
+        whole = pa.Table.from_batches(held)
+        sums = whole.group_by(["lang", "words", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["lang", "words", "phrase", "n_sum"]).rename_columns(whole.column_names)
+
+    for batch in batches:
+        held.append(batch)
+        lines += batch.num_rows
+        if lines > HELD_LINES:
+            sums = summed()
+            if sums.num_rows > HELD_SUMS:
+                yield from sums.to_batches()
+                sums = sums.slice(0, 0)
+            held, lines = sums.to_batches(), sums.num_rows
+    if held:
+        yield from summed().to_batches()
+
+
 def phrase_counts(
     docs: DataFrame, support: int, longest: int, key: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
@@ -225,7 +255,7 @@ def phrase_counts(
     filters = docs.sparkSession.sparkContext.broadcast(_mined(rows, support, longest))
     names = ["lang", "words", "phrase", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = filters.value
         for batch in batches:
             for part in _slices(batch):
@@ -247,6 +277,10 @@ def phrase_counts(
                     langs = pa.array(np.array(part.names, object)[part.lang[where]], pa.string())
                     yield pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(n), m, np.int32)), phrase, pa.array(n, pa.int64())], names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a phrase is in nearly every slice, so a task sums its slices
+        yield from _summed(lines(batches))
+
     counts = rows.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return counts.where((F.col("words") == 0) | (F.col("n") >= support))
 

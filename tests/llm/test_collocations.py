@@ -90,3 +90,47 @@ def test_filter_has_all_its_keys(spark):
     assert made.has(keys.view(np.uint64)).all()
     others = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 5_000).view(np.uint64)
     assert made.has(others).mean() < 0.1
+
+
+@pytest.mark.parametrize("held, most", [(600_000, 12), (8, 12), (20, 5)])
+def test_a_task_sums_its_slices(monkeypatch, held, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(C, "HELD_LINES", held)
+    monkeypatch.setattr(C, "HELD_SUMS", most)
+    words = [("en" if i % 2 else "de", i % 3, f"w{i}") for i in range(12)]
+    names = ["lang", "words", "phrase", "n"]
+    batch = lambda ws, n: pa.RecordBatch.from_arrays([pa.array([w[0] for w in ws]), pa.array([w[1] for w in ws], pa.int32()), pa.array([w[2] for w in ws]), pa.array([n] * len(ws))], names=names)
+    made = [tuple(r.values()) for b in C._summed(batch(words[i % 4 :], i) for i in range(9)) for r in b.to_pylist()]
+    sums = Counter()
+    for *w, n in made:
+        sums[tuple(w)] += n
+    assert sums == {w: sum(i for i in range(9) if i % 4 <= k) for k, w in enumerate(words)}
+    if most == 12:
+        assert len(made) == 12
+    assert list(C._summed(iter([]))) == []
+
+
+def test_phrases_that_no_count_of_the_shards_lets_reach_the_support_are_no_candidates(spark):
+    dice = random.Random(11)
+    rows = [(i, " ".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)), "en") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shard = C.F.pmod(C.F.xxhash64("doc_id", "text"), C.F.lit(1 << C.SHARD_BITS)).cast("int").alias("shard")
+    rows = docs.select("lang", shard, "text")
+    known = C._mined(rows, 50, 2)[1]
+    pairs, words = Counter(), Counter()
+    for r in rows.collect():
+        own = r["text"].split()
+        words[r["shard"]] += len(own)
+        pairs.update((p, r["shard"]) for p in zip(own, own[1:], strict=False))
+    least = {k: -(-50 * n // words.total()) for k, n in words.items()}
+    distinct = sorted({p for p, _ in pairs})
+    at_most = np.array([sum(pairs[p, k] if pairs[p, k] >= m else m - 1 for k, m in least.items()) for p in distinct])
+    found = np.array([any(pairs[p, k] >= m for k, m in least.items()) for p in distinct])
+    part = C._Slice(C.pa.array(["\n".join(" ".join(p) for p in distinct)]), ["en"], np.zeros(1, int), np.zeros(1, int))
+    part.prepare(sharded=False)
+    at = np.flatnonzero(part.piece[1:] == part.piece[:-1])
+    passed = known.has(part.keys(at, C._chain(part.hash[at], part.hash[at + 1])))
+    assert passed[at_most >= 50].all() and (at_most >= 50).any()
+    # before, all that a shard had found passed
+    assert (found & (at_most < 50)).sum() > 100 and passed[found & (at_most < 50)].mean() < 0.05
