@@ -31,7 +31,9 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 WORDS_HELD = 250_000
 #: Members that one copy of a leader's text is compared with.
 MEMBERS_PER_LEADER = 200
-#: Leaders of a bucket in one of the later rounds.
+#: Pairs, or texts where these are more, that one partition verifies.
+VERIFIED_AT_ONCE = 2_000
+#: Leaders of a bucket in the first of the later rounds; every further round has twice as many.
 LEADERS = 16
 #: Counters that order shingles by how often they occur; fewer order them less well, with the same result.
 SLOTS = 1 << 18
@@ -159,19 +161,22 @@ def banded(texts: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int, rows_at_most: int) -> DataFrame:
     """(a, b, linked) for pairs (member a, leader b).
 
     A leader's text travels once for every ``MEMBERS_PER_LEADER`` members, so neither a leader with very many
-    members nor its text's copies gather in one task.
+    members nor its text's copies gather in one task. ``rows_at_most``, the number of pairs or of texts, whichever
+    is larger, sets the number of partitions.
     """
+    parts = rows_at_most // VERIFIED_AT_ONCE + 1
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_LEADER).cast("int").alias("salts"))
     salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     leaders = salted.select("b", "salt").distinct()
     wanted = salted.select(F.col("a").alias("id"), "b", "salt", F.lit(1).alias("role")).union(
         leaders.select(F.col("b").alias("id"), "b", "salt", F.lit(0).alias("role"))
     )
-    rows = texts.select(F.col("node").alias("id"), "text").join(wanted, "id").repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+    rows = texts.select(F.col("node").alias("id"), "text").repartition(parts, "id").join(wanted.repartition(parts, "id"), "id")
+    rows = rows.repartition(parts, "b", "salt").sortWithinPartitions("b", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, leader, bag = Shingler(shingle), None, None
@@ -265,19 +270,24 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(exploded.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
     freed(exploded)
+    n_members = members.count()
+    members = packed(members, n_members)
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     leaders = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("leader"))
     leaders = leaders.select("bucket", F.col("leader.node").alias("leader"))
     texts = written(docs.select("node", "text").dropDuplicates(["node"]).join(central.select("node"), "node", "left_semi"), "texts")
-    pairs = settled(members.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    known = written(verified(pairs, texts, threshold, shingle), "links")
+    pairs = members.join(leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = settled(packed(pairs, n_members))
+    compared = pairs.count()
+    known = written(verified(packed(pairs, compared), texts, threshold, shingle, max(compared, texts.count())), "links")
     found = components(known.where("linked"))
     of = lambda table: table.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = of(members).groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     unsettled = members.join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
     texts = written(texts.join(unsettled, "node", "left_semi"), "open")
     alive = written(rarest(texts, threshold, shingle), "rarest")
-    size, compared = alive.count(), known.count()
+    size, n_texts = alive.count(), texts.count()
+    alive, at_once = packed(alive, size), LEADERS
     while size:
         marked = settled(packed(_several(of(alive), threshold), size))
         size = marked.count()
@@ -289,7 +299,7 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
         order = Window.partitionBy("bucket").orderBy("n", "component")
         leaders = (
             sizes.withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= LEADERS)
+            .where(F.col("place") <= at_once)
             .select("bucket", F.col("first.node").alias("leader"), F.col("component").alias("own"), F.col("first.size").alias("of"), F.col("first.rest").alias("left"))
         )
         possible = F.least("rest", "left") * (1 + threshold) >= threshold * (F.col("size") + F.col("of")) - 1e-9
@@ -299,15 +309,18 @@ def _linked(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: i
             .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
             .distinct()
         )
-        seen = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        seen = packed(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), compared)
         fresh = settled(packed(candidates.join(seen, ["a", "b"], "left_anti"), size + compared))
-        if not fresh.isEmpty():
-            more = settled(verified(fresh, texts, threshold, shingle))
-            known, compared = known.union(more), compared + more.count()
+        n_fresh = fresh.count()
+        if n_fresh:
+            more = settled(verified(packed(fresh, n_fresh), texts, threshold, shingle, max(n_fresh, n_texts)))
+            known, compared = known.union(more), compared + n_fresh
             if not more.where("linked").isEmpty():
-                found = components(known.where("linked"))
+                # a component stands for the links that made it
+                found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.where("linked").select("a", "b")))
         led = leaders.select("bucket", F.col("leader").alias("node"))
         alive = settled(packed(marked.drop("component").join(led, ["bucket", "node"], "left_anti"), size))
+        at_once *= 2
     return known.where("linked").select("a", "b"), found
 
 

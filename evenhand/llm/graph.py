@@ -12,22 +12,25 @@ def _stars(links: DataFrame, large: bool, rows: int) -> DataFrame:
     """One step of alternating stars: every node's larger (or smaller) neighbours are linked to its least neighbour."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.union(links.select("b", "a")) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    both = packed(both, 2 * rows)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-    return packed(out.where("a <> b").distinct(), rows)
+    return packed(packed(out.where("a <> b"), 2 * rows).distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the least node that it reaches.
+    """(node, component) for every node of ``links`` (a, b, stored): the least node that it reaches.
 
     Alternating large and small stars: each round is a few shuffles of the links, sums are made before them, and
-    the number of rounds grows with the logarithm of the longest path. An empty table gives no rows.
+    the number of rounds grows with the logarithm of the longest path; links that fit one partition are not shuffled
+    at all. An empty table gives no rows.
     """
-    now = settled(links.select("a", "b").where("a <> b").distinct())
+    links = links.select("a", "b").where("a <> b")
+    now = settled(packed(links, links.count()).distinct())
     rows, before = now.count(), None
     now = packed(now, rows)
     while True:
@@ -36,4 +39,5 @@ def components(links: DataFrame) -> DataFrame:
         if before == state:
             break
         before = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    now = packed(now, rows)
+    return packed(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct()), 2 * rows)

@@ -114,6 +114,42 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_components_are_not_dealt_over_all_partitions(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)], "a long, b long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graph.components(links)
+        assert found.rdd.getNumPartitions() == 1
+        assert {(r["node"], r["component"]) for r in found.collect()} == {(k, 1) for k in range(1, 41)}
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+
+
+def test_a_bucket_of_unlike_texts_takes_few_rounds(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bagminhash, "LEADERS", 2)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(8))) for k in range(30)], "doc_id long, text string").coalesce(1)
+
+    def same(texts, *_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))], names=["node", "bands"])
+
+        return texts.select("node", "text").mapInArrow(run, "node binary, bands array<long>")
+
+    rounds, several = [], bagminhash._several
+    monkeypatch.setattr(bagminhash, "banded", same)
+    monkeypatch.setattr(bagminhash, "rarest", lambda texts, *_: texts.selectExpr("7L as bucket", "node", "4L as size", "4L as rest"))
+    monkeypatch.setattr(bagminhash, "_several", lambda *a: (rounds.append(1), several(*a))[1])
+    got = {(r["doc_id"], r["class_id"]) for r in bagminhash.grouped(docs).collect()}
+    assert got == {(k, k) for k in range(30)}
+    assert len(rounds) <= 6
+
+
 def test_rarest_shingles_bring_every_similar_pair_together(spark):
     # copies of one text with one to many changed words, a long text of repeats, and texts that share a passage only
     draw = np.random.default_rng(11)
