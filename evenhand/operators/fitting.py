@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
     LogisticRegression,
+    LogisticRegressionModel,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import MatrixUDT, VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenhand.frame import AuditFrame
-from evenhand.functions.expressions import plain
-from evenhand.operators.features import CategoricalBlock, Encoder, fit_encoder
+from evenhand.functions.expressions import number, plain
+from evenhand.operators import profiled
+from evenhand.operators.features import CategoricalBlock, DictionaryBlock, Encoder, fit_encoder
 from evenhand.operators.scorers import LinearScorer, Node, RuleListScorer, TreeScorer, all_of, rule_list_from_tree
 from evenhand.session import scratch_path, settle
 
@@ -24,6 +32,9 @@ KINDS = ("tree", "logreg", "rulelist")
 TREE_DEPTH = 5
 RULE_DEPTH = 3
 MAX_BINS = 256
+#: Weights of a wide column that one MLlib model holds, and rows of a partition that is scored with it.
+PART, PART_ROWS = 1 << 20, 500_000
+MODEL_FIELDS = {"numClasses": "int", "numFeatures": "int", "interceptVector": "void", "coefficientMatrix": "void", "isMultinomial": "boolean"}
 
 
 @dataclass(frozen=True)
@@ -90,7 +101,16 @@ def _training_rows(frame: AuditFrame, encoder: Encoder) -> DataFrame:
 
 
 def _fit_logreg(train: DataFrame, encoder: Encoder, name: str, include_sensitive: bool) -> Fitted:
-    """L2-penalised logistic regression with unit penalty strength on the summed loss."""
+    """L2-penalised logistic regression with unit penalty strength on the summed loss.
+
+    The learner keeps some twenty dense vectors of all weights on the driver. So where a dictionary column makes most of
+    them, the same optimum is found with that column's weights as a table, and only the model holds them side by side.
+    """
+    widest = max(encoder.dictionaries, key=lambda b: b.size, default=None)
+    if widest is not None and encoder.size - widest.size < profiled.SHARED:
+        labels = [r["_label"] for r in train.groupBy("_label").count().limit(3).collect()]
+        if sorted(labels) == [0.0, 1.0]:
+            return _fit_wide(train, encoder, widest, name, include_sensitive)
     n = train.count()
     model = LogisticRegression(
         labelCol="_label",
@@ -109,11 +129,138 @@ def _fit_logreg(train: DataFrame, encoder: Encoder, name: str, include_sensitive
             weights.update(zip(block.names(), map(float, own)))
             continue
         # the learner hands all coefficients to the driver; they go back by slot and never become expressions
-        slots = pa.table({"slot": pa.array(range(len(own)), pa.int64()), "weight": pa.array(own, pa.float64())})
-        tables[block.source] = settle(block.table.join(train.sparkSession.createDataFrame(slots), "slot").select("value", "weight"))
+        tables[block.source] = _by_value(block, _by_slot(train.sparkSession, own))
     return Fitted(model, LinearScorer(name, encoder, weights, float(model.intercept), include_sensitive, tables=tables), encoder)
 
 
+def _by_slot(spark: SparkSession, weights) -> DataFrame:
+    return spark.createDataFrame(pa.table({"slot": pa.array(range(len(weights)), pa.int64()), "weight": pa.array(weights, pa.float64())}))
+
+
+def _by_value(block: DictionaryBlock, slots: DataFrame) -> DataFrame:
+    return settle(block.table.join(slots, "slot", "left").select("value", F.coalesce("weight", F.lit(0.0)).alias("weight")))
+
+
+def _fit_wide(train: DataFrame, encoder: Encoder, widest: DictionaryBlock, name: str, include_sensitive: bool) -> Fitted:
+    offset = dict(zip([b.source for b in encoder.blocks], encoder.offsets()))[widest.source]
+    intercept, others, slots = profiled.fit(train, "_label", offset, widest.size, encoder.size)
+    weights = {f.name: float(w) for f, w in zip(encoder.numeric, others)}
+    tables = {widest.source: _by_value(widest, slots)}
+    for block, at in zip(encoder.blocks, encoder.offsets()):
+        if block is widest:
+            continue
+        start = at - widest.size * (at > offset)
+        own = others[start : start + block.size]
+        if isinstance(block, CategoricalBlock):
+            weights.update(zip(block.names(), map(float, own)))
+        else:
+            tables[block.source] = _by_value(block, _by_slot(train.sparkSession, own))
+    model = _library_model(slots, intercept, others, offset, widest.size)
+    return Fitted(model, LinearScorer(name, encoder, weights, intercept, include_sensitive, tables=tables), encoder)
+
+
+@dataclass(frozen=True)
+class ModelParts:
+    """MLlib's model of a wide column by parts of it, each with the other features' weights and the intercept.
+
+    A row has one entry of the wide column at most, so the model of its part sees all that the whole one would; neither
+    the driver nor a task holds more than a part. ``path`` keeps a line (part, intercept, weights) for every part.
+    """
+
+    path: str
+    spark: SparkSession
+    parts: int
+    at: int
+    wide: int
+    size: int
+
+    def width(self, part: int) -> int:
+        return self.size - self.wide + min(PART, self.wide - part * PART)
+
+    def part(self, part: int) -> LogisticRegressionModel:
+        """One part, by MLlib's own file format."""
+        spark, size, path = self.spark, self.width(part), scratch_path(self.spark, "logreg")
+        kinds = {"interceptVector": VectorUDT(), "coefficientMatrix": MatrixUDT()}
+        schema = T.StructType([T.StructField(n, kinds.get(n, T._parse_datatype_string(t))) for n, t in MODEL_FIELDS.items()])
+        spark.read.schema(schema).parquet(f"{self.path}/part={part}").write.parquet(f"{path}/data")
+        learner = LogisticRegression(labelCol="_label")
+        params = {p.name: v for p, v in learner.extractParamMap().items()}
+        about = {
+            "class": "org.apache.spark.ml.classification.LogisticRegressionModel",
+            "timestamp": int(time.time() * 1000),
+            "sparkVersion": spark.version,
+            "uid": learner.uid,
+            "paramMap": {"labelCol": "_label"},
+            "defaultParamMap": params | {"labelCol": "label"},
+        }
+        spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+        model = LogisticRegressionModel.load(path)
+        if model.numFeatures != size:
+            raise ValueError(f"part {part} has {model.numFeatures} features instead of {size}")
+        return model
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        """Every row and its ``prediction``. The parts follow one another, each job with one part's weights."""
+        keep = [c for c in vectors.columns if c != "features"]
+        vector, end = F.unwrap_udt("features"), self.at + self.wide
+        rows = vectors.select(*keep, vector["indices"].alias("_i"), vector["values"].alias("_v"))
+        own = F.expr(f"element_at(filter(_i, e -> e >= {self.at} AND e < {end}), 1)")
+        has = F.expr(f"exists(_i, e -> e >= {self.at} AND e < {end})")
+        rows = rows.withColumn("_part", F.when(has, F.floor((own - self.at) / F.lit(PART))).otherwise(0).cast("int")).withColumn("_deal", F.rand(13))
+        rows = rows.repartitionByRange(rows.count() // PART_ROWS + 1, "_part", "_deal")
+        # features behind the wide column move up to the end of its part
+        width = F.least(F.lit(PART), F.lit(self.wide) - F.col("_part") * PART)
+        index = F.transform(
+            "_i",
+            lambda e: F.when(e < self.at, e).when(e < end, e - F.col("_part") * PART).otherwise(e - self.wide + width).cast("int"),
+        )
+        local = F.struct(
+            F.lit(0).cast("byte").alias("type"), (width + (self.size - self.wide)).cast("int").alias("size"), index.alias("indices"), F.col("_v").alias("values")
+        )
+        path = scratch_path(self.spark, "parts")
+        dealt = rows.select(*keep, "_part", local.alias("features"))
+        dealt.write.partitionBy("_part").parquet(f"{path}/rows")
+        there = {r["_part"] for r in self.spark.read.schema(dealt.schema).parquet(f"{path}/rows").select("_part").distinct().collect()}
+        kept = T.StructType([dealt.schema[c] for c in keep])
+        for part in sorted(there):
+            found = self.spark.read.schema(T.StructType([*kept.fields, T.StructField("features", VectorUDT())])).parquet(f"{path}/rows/_part={part}")
+            self.part(part).transform(found).select(*keep, "prediction").write.parquet(f"{path}/found/{part}")
+        schema = T.StructType([*kept.fields, T.StructField("prediction", T.DoubleType())])
+        return self.spark.read.schema(schema).parquet(*[f"{path}/found/{part}" for part in sorted(there)]) if there else self.spark.createDataFrame([], schema)
+
+
+def _library_model(slots: DataFrame, intercept: float, others: np.ndarray, at: int, wide: int) -> LogisticRegressionModel | ModelParts:
+    """MLlib's model of these weights; in parts if the wide column has more than ``PART`` of them."""
+    spark, size, each = slots.sparkSession, len(others) + wide, PART
+    parts = -(-wide // each)
+
+    def line(table: pa.Table) -> pa.Table:
+        part, slot, weight = table["part"][0].as_py(), table["slot"].to_numpy(), table["weight"].to_numpy()
+        whole = np.zeros(min(each, wide - part * each))
+        whole[slot[slot >= 0] - part * each] = weight[slot >= 0]
+        whole = np.concatenate([others[:at], whole, others[at:]])
+        values = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), pa.array(whole))
+        return pa.table({"part": pa.array([part], pa.int64()), "weights": values})
+
+    # every part has a line, and a place for slots without rows
+    empty = spark.range(parts).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("slot"), F.lit(0.0).alias("weight"))
+    lines = slots.select(F.floor(F.col("slot") / F.lit(each)).alias("part"), "slot", "weight").unionByName(empty)
+    lines = lines.groupBy("part").applyInArrow(line, "part long, weights array<double>")
+    plain_fields = lines.selectExpr(
+        "part",
+        "2 AS numClasses",
+        "size(weights) AS numFeatures",
+        f"named_struct('type', CAST(1 AS TINYINT), 'size', CAST(NULL AS INT), 'indices', CAST(NULL AS ARRAY<INT>), 'values', array({number(intercept)})) AS interceptVector",
+        "named_struct('type', CAST(1 AS TINYINT), 'numRows', 1, 'numCols', size(weights), 'colPtrs', CAST(NULL AS ARRAY<INT>), "
+        "'rowIndices', CAST(NULL AS ARRAY<INT>), 'values', weights, 'isTransposed', true) AS coefficientMatrix",
+        "false AS isMultinomial",
+    )
+    path = scratch_path(spark, "weights")
+    plain_fields.write.partitionBy("part").parquet(path)
+    model = ModelParts(path, spark, parts, at, wide, size)
+    return model.part(0) if parts == 1 else model
+
+
 def _tree(train: DataFrame, depth: int) -> DecisionTreeClassificationModel:
     return DecisionTreeClassifier(labelCol="_label", maxDepth=depth, maxBins=MAX_BINS, seed=42).fit(train)
 
